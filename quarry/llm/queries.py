@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, fingerprint, packing, secret_scan
+from quarry.llm import bpe, exact_dedup, fingerprint, language_id, packing, secret_scan
+from quarry.llm.common import crc_remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(divisor: int, remainder: int):
+    return (crc_remainder("doc_id", divisor) == remainder).alias("held_out")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~_held_out(4, 2)))
+    return language_id.predict(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score", "ambiguous", "runner_up")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), keep=False)
 
@@ -32,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op5_fingerprint": op5_fingerprint,
