@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, fingerprint, html_extract, language_id, packing, secret_scan
+from quarry.llm import bpe, exact_dedup, fingerprint, html_extract, language_id, packing, secret_scan, toxicity
 from quarry.llm.common import crc_remainder
 
 
@@ -35,6 +35,12 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~_held_out(5, 0)))
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op5_fingerprint": op5_fingerprint,
+    "op6_toxicity": op6_toxicity,
     "op8_html_extract": op8_html_extract,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
