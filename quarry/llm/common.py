@@ -175,3 +175,13 @@ def anti_join_ids(docs: DataFrame, gone: DataFrame, key: str = "doc_id", limit:
     """
     gone = gone.select(key).where(F.col(key).isNotNull()).distinct()
     return docs.join(F.broadcast(gone) if gone.count() <= limit else gone.hint("merge"), key, "left_anti").select(*docs.columns)
+
+
+def semi_join_ids(docs: DataFrame, wanted: DataFrame, key: str, limit: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in ``wanted[key]`` (distinct ids).
+
+    The ids are broadcast only after a count has shown at most ``limit`` of
+    them; beyond it both sides are shuffled.
+    """
+    ids = wanted.select(F.col(key).alias("doc_id"))
+    return docs.join(F.broadcast(ids) if ids.count() <= limit else ids.hint("merge"), "doc_id", "left_semi").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, fingerprint, html_extract, language_id, packing, secret_scan, toxicity
+from quarry.llm import bpe, exact_dedup, fingerprint, html_extract, language_id, near_dedup, packing, secret_scan, toxicity
 from quarry.llm.common import crc_remainder
 
 
@@ -23,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score", "ambiguous", "runner_up")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), keep=False)
 
@@ -55,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_near_dedup": op2_near_dedup,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op5_fingerprint": op5_fingerprint,
