@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, fingerprint, html_extract, language_id, near_dedup, packing, secret_scan, toxicity
+from quarry.llm import bpe, exact_dedup, fingerprint, html_extract, language_id, lm_score, near_dedup, packing, secret_scan, toxicity
 from quarry.llm.common import crc_remainder
 
 
@@ -45,6 +45,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = lm_score.train(docs.where(~_held_out(7, 2)))
+    return lm_score.score(docs, model, counts).select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_fingerprint": op5_fingerprint,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_score": op7_lm_score,
     "op8_html_extract": op8_html_extract,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
