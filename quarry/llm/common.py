@@ -185,3 +185,18 @@ def semi_join_ids(docs: DataFrame, wanted: DataFrame, key: str, limit: int = 1_0
     """
     ids = wanted.select(F.col(key).alias("doc_id"))
     return docs.join(F.broadcast(ids) if ids.count() <= limit else ids.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``docs`` without the ids that ``marked`` (doc_id, kept) drops.
+
+    An id is dropped if none of its rows is kept.  Of rows that repeat under one
+    id with the same text one stays.  Rows with a null id cannot be named and stay.
+    """
+    marked = write_shared(marked.select("doc_id", "kept"), "marked")
+    by_id = marked.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    left = anti_join_ids(docs, by_id.where("not kept"))
+    repeated = by_id.where("kept and n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    return anti_join_ids(left, repeated).unionByName(semi_join_ids(left, repeated, "doc_id").dropDuplicates(["doc_id", "text"]))

@@ -284,3 +284,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, _SPAN_TYPE)], ["doc_id", "score", "predicted", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _COLUMNS)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is below ``limit``; no rows move."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text_col):
+            scores, _, _ = model.score(*byte_view(batch.column(batch.schema.get_field_index(text_col))))
+            yield batch.filter(pa.array(scores < limit))
+
+    return docs.mapInArrow(run, docs.schema)
