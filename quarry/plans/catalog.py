@@ -1,7 +1,14 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""All registered queries of the engine; importing a plan module registers its queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+import importlib
+
+from quarry.plans.base import ORACLES, QUERIES
+
+for _name in ("text_plans",):
+    importlib.import_module(f"quarry.plans.{_name}")
+
+FLAGSHIP = "t9_line_windows"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
