@@ -6,9 +6,9 @@ import importlib
 
 from quarry.plans.base import ORACLES, QUERIES
 
-for _name in ("text_plans", "vector_plans", "relation_plans", "fusion_plans", "ranking_plans", "record_plans"):
+for _name in ("text_plans", "vector_plans", "relation_plans", "fusion_plans", "ranking_plans", "record_plans", "source_plans"):
     importlib.import_module(f"quarry.plans.{_name}")
 
-FLAGSHIP = "t9_line_windows"
+FLAGSHIP = "flagship_context"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

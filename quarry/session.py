@@ -30,3 +30,15 @@ def local_session(app: str = "quarry", cores: int | str | None = None, **extra:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def on_workers_path(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it.
+
+    On a cluster the package is shipped with ``--py-files`` or installed; then
+    the extra path does no harm.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, held) if p)
