@@ -25,21 +25,30 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import bounded_batches
+
 #: Code points with the White_Space property (fixed values).
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most words that a worker remembers.
 MEMO_WORDS = 400_000
 
 
+#: Letters and numbers that came with Unicode 16, which the tokenizers library knows and
+#: ``unicodedata`` does not yet (fixed values).
+NEW_LETTERS = "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
+NEW_NUMBERS = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
+
+
 @functools.cache
 def category_class(major: str) -> str:
     """The inside of a character class: all code points whose general category starts with ``major``."""
     out, start = [], None
     for point in range(sys.maxunicode + 2):
-        inside = point <= sys.maxunicode and unicodedata.category(chr(point))[0] == major
+        inside = point <= sys.maxunicode and unicodedata.category(chr(point)).startswith(major)
         if inside and start is None:
             start = point
         elif not inside and start is not None:
@@ -48,18 +57,20 @@ def category_class(major: str) -> str:
     return "".join(out)
 
 
-@functools.cache
-def word_pattern() -> re.Pattern:
-    """Splits lower-cased text as the word-end vocabulary does; white space falls away."""
-    letters, numbers = category_class("L"), category_class("N")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{WHITE_SPACE}{letters}{numbers}]+")
+def _split_pattern(letters: str, numbers: str) -> str:
+    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{WHITE_SPACE}{letters}{numbers}]+"
 
 
 @functools.cache
-def byte_pattern() -> re.Pattern:
-    """Splits text as the byte-level vocabulary does; every code point lies in one piece."""
-    letters, numbers, space = category_class("L"), category_class("N"), WHITE_SPACE
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
+def word_patterns() -> tuple[regex.Pattern, re.Pattern, re.Pattern]:
+    """Splits lower-cased text as the word-end vocabulary does; white space falls away.
+
+    The first pattern is the faster one and serves where the second, which
+    finds code points that only newer Unicode versions assign, finds nothing;
+    elsewhere the third, with the tokenizers library's classes spelt out, serves.
+    """
+    letters, numbers = category_class("L") + NEW_LETTERS, category_class("N") + NEW_NUMBERS
+    return regex.compile(_split_pattern(r"\p{L}", r"\p{N}")), re.compile(f"[{category_class('Cn')}]"), re.compile(_split_pattern(letters, numbers))
 
 
 @functools.cache
@@ -131,7 +142,7 @@ class WordBpe:
         self.inner = [self.vocab[s] for s in byte_symbols()]
         self.last = [self.vocab[s + self.suffix] for s in byte_symbols()]
         self.memo = _Memo(self.encode_word)
-        self.pattern = word_pattern()
+        self.usual, self.newer, self.exact = word_patterns()
 
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
@@ -146,8 +157,9 @@ class WordBpe:
         return text.replace("Σ", "σ").lower()
 
     def _plain(self, text: str) -> bytes:
-        memo = self.memo
-        return b"".join([memo[w] for w in self.pattern.findall(self.normalise(text))])
+        memo, text = self.memo, self.normalise(text)
+        pattern = self.usual if text.isascii() or not self.newer.search(text) else self.exact
+        return b"".join([memo[w] for w in pattern.findall(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -196,4 +208,5 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                 columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}")
