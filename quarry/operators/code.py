@@ -33,6 +33,10 @@ CONTAINERS = {"class_declaration", "interface_declaration", "object_declaration"
 _IMPORT_LINE = {"js": r"^\s*(?:import\b.*|(?:const|let|var)\s+.*\brequire\(.*)$", "java": r"^\s*import\s.*$", "kt": r"^\s*import\s.*$", "scala": r"^\s*import\s.*$"}
 
 
+#: What a declaration's head may go on with on the next line (fixed values).
+_HEAD_GOES_ON = re.compile(r"\s*(?:\{|extends\b|implements\b|with\b|where\b|throws\b|:|=>|->|\()")
+
+
 def suffix_of(path: str) -> str:
     return path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "text"
 
@@ -44,7 +48,7 @@ def _chunk(path: str, project: str, language: str, kind: str, name: str, content
 
 def body_end(text: str, at: int) -> int | None:
     """Where the block that opens next after ``at`` ends (past its brace); None if none opens before the statement ends."""
-    depth, k, n = 0, at, len(text)
+    depth, parens, k, n = 0, text.count("(", max(0, at - 1), at), at, len(text)
     while k < n:
         c = text[k]
         if c in "\"'`":
@@ -62,7 +66,9 @@ def body_end(text: str, at: int) -> int | None:
             depth -= 1
             if depth <= 0:
                 return k + 1 if depth == 0 else None
-        elif c == ";" and depth == 0:
+        elif c in "()" and depth == 0:
+            parens += 1 if c == "(" else -1
+        elif depth == 0 and (c == ";" or c == "\n" and parens <= 0 and not _HEAD_GOES_ON.match(text, k)):
             return None
         k += 1
     return None
@@ -160,7 +166,7 @@ def chunk_text(path: str, project: str, text: str) -> list[tuple]:
 
 def semantic_windows(text: str, most_tokens: int = 1000) -> list[str]:
     """Python text packed by segments (each def or class at a line's start) up to a token budget; imports lead each window."""
-    pieces = re.split(r"(?m)^(?=(?:def|class|async def|@)\b?)", text)
+    pieces = re.split(r"(?m)^(?=(?:def|class|async def)\s|@)", text)
     head = "\n".join(re.findall(r"(?m)^(?:import|from)\s.*$", pieces[0])) if pieces else ""
     out, now = [], ""
     for piece in pieces:

@@ -23,7 +23,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where either vector has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def euclidean(a: Column, b: Column) -> Column:
