@@ -55,6 +55,33 @@ class Engine:
         score = rerank.by_question_type(score, Q.query_type(F.col("_q")), Q.symbols(F.col("_q")), F.col("chunk_type"), F.col("content"), F.col("file_path"))
         return analysed.withColumn("score", score).drop("_q").orderBy(F.desc("score"), "seed_ord", "rel_ord", "id").limit(top_k)
 
+    def multi_stage(self, question: str, project_path: str | None = None, top_k: int = 10) -> DataFrame:
+        """(id, score, sightings): exact-symbol, semantic and broader stages fused by id, best first."""
+        one = self.spark.createDataFrame([(question,)], "q string")
+        asked = one.select(Q.symbols(F.col("q")).alias("symbols"), Q.broader_queries(F.col("q")).alias("broader")).first()
+        stages = []
+        for symbol in asked["symbols"][:3]:
+            near = self.retrieve(symbol, project_path, max(1, top_k // max(1, len(asked["symbols"])) + 2))
+            stages.append(near.withColumn("score", rerank.exact_symbol(F.col("score"), F.lit(symbol), F.col("content"))).where("score is not null"))
+        stages.append(self.retrieve(question, project_path, top_k))
+        for broader in asked["broader"][:2]:
+            stages.append(self.retrieve(broader, project_path, max(1, top_k // 2)).withColumn("score", F.col("score") * 0.7))
+        seen = None
+        for k, stage in enumerate(stages):
+            rows = stage.select("id", "score", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) + k * 10_000).alias("ord"))
+            seen = rows if seen is None else seen.unionByName(rows)
+        return fusion.fuse_scores(seen, ["id"]).orderBy(F.desc("score"), "id").limit(top_k)
+
+    def boosted(self, question: str, activity_state: DataFrame, now, project_path: str | None = None, top_k: int = 10) -> DataFrame:
+        """Twice the results, re-scored by recent work on their files (clamped), the best ``top_k``.
+
+        ``activity_state`` has file_path, last_edited, last_opened and edit_frequency.
+        """
+        found = self.retrieve(question, project_path, 2 * top_k).join(activity_state, "file_path", "left")
+        hours = lambda c: (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col(c).cast("timestamp"))) / F.lit(3600e6)
+        boost = rerank.edit_recency(hours("last_edited")) * rerank.open_recency(hours("last_opened")) * rerank.edit_frequency(F.coalesce("edit_frequency", F.lit(0))) * rerank.name_patterns(F.col("file_path"), F.lit(question))
+        return found.withColumn("score", rerank.clamped(F.col("score"), boost)).orderBy(F.desc("score"), "id").limit(top_k)
+
     def query(self, question: str, project_path: str | None = None, max_tokens: int = 8000, top_k: int = 10, expand: bool = False, level: str | None = None, seen: DataFrame | None = None) -> DataFrame:
         """One row: the packed context, its tokens and the number of chunks in it."""
         if level is not None:

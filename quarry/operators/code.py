@@ -259,3 +259,13 @@ def extract_symbols(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     source = files.select("file_path", "content")
     return source.mapInArrow(run(0, SYMBOLS), SYMBOLS), source.mapInArrow(run(1, IMPORTS), IMPORTS)
+
+
+def text_pieces(files: DataFrame, cut) -> DataFrame:
+    """(file_path, ord, content): the pieces that ``cut`` makes of each file's text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _table([(path, k, piece) for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, piece in enumerate(cut(text or ""))], "file_path string, ord int, content string")
+
+    return files.select("file_path", "content").mapInArrow(run, "file_path string, ord int, content string")

@@ -81,6 +81,26 @@ def import_structure(content: Column) -> Column:
     return F.struct(F.array_sort(F.array_distinct(F.concat(plain, modules))).alias("modules"), F.array_sort(F.array_distinct(names)).alias("names"))
 
 
+#: Declarations by language, for chunks that no parser has read (fixed values).
+SYMBOL_PATTERNS = {
+    "py": [r"(?m)^\s*class\s+(\w+)", r"(?m)^\s*(?:async\s+)?def\s+(\w+)"],
+    "js": [r"class\s+(\w+)", r"function\s+(\w+)", r"(?:const|let|var)\s+(\w+)\s*="],
+    "java": [r"(?:class|interface|enum)\s+(\w+)", r"(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\("],
+}
+
+
+def symbols_by_pattern(content: Column, language: Column) -> Column:
+    """Names that a chunk declares, in order; TypeScript counts as JavaScript, other languages give none."""
+    found = {k: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(content, F.lit(p), 1) for p in ps]))) for k, ps in SYMBOL_PATTERNS.items()}
+    return F.when(language == "py", found["py"]).when(language.isin("js", "ts", "jsx", "tsx"), found["js"]).when(language == "java", found["java"]).otherwise(F.array().cast("array<string>"))
+
+
+def parent_summary(chunk_type: Column, content: Column) -> Column:
+    """One line about an enclosing class, or the first line of anything else."""
+    shape = class_structure(content)
+    return F.when(strategy(chunk_type) == "class", F.concat(F.lit("class "), shape["name"], F.lit(" with "), F.array_join(shape["methods"], ", "))).otherwise(F.get(F.split(content, "\n"), F.lit(0)))
+
+
 def keyword_density(content: Column, keywords: list[str]) -> Column:
     """Keyword hits for each word of the content."""
     words = F.filter(F.split(content, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")

@@ -175,3 +175,28 @@ def flagship(spark, sf_dir):
     tokens = estimated_tokens(F.col("content"))
     packed = prefix_packing(seed_rows(spark, sf_dir), "project_path", 2000, tokens)
     return packed.select("project_path", "id", tokens.alias("tokens"), "running")
+
+
+@query("p6_symbols_by_pattern", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, 4::BIGINT AS n FROM nation")
+def p6(spark, sf_dir):
+    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py")))
+    return python.select("file_path", F.size(embedding.symbols_by_pattern(F.col("content"), F.lit("py"))).cast("long").alias("n"))
+
+
+@query("p11_parent_summary", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, '__init__,path' AS methods FROM nation")
+def p11(spark, sf_dir):
+    found = code.chunk_files(code_files(spark, sf_dir)).where("chunk_type = 'class_complete'")
+    shown = embedding.parent_summary(F.col("chunk_type"), F.col("content"))
+    return found.select("file_path", F.regexp_replace(F.regexp_extract(shown, "with (.*)$", 1), ", ", ",").alias("methods"))
+
+
+@query("t12_paired_pieces")
+def t12(spark, sf_dir):
+    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py")))
+    return code.text_pieces(python, code.paired_pieces)
+
+
+@query("t13_semantic_windows")
+def t13(spark, sf_dir):
+    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py")))
+    return code.text_pieces(python, code.semantic_windows)

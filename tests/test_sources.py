@@ -56,6 +56,31 @@ def test_engine(spark, project, tmp_path):
     assert "class Auth" in row["context"] and row["tokens"] <= 8000
     assert "class Auth" in engine.query("login", project, expand=True, level="moderate").first()["context"]
     assert engine.context(project, "retry").count() == 1
+    fused = engine.multi_stage("How does the login of Auth work?", project, 3).collect()
+    assert fused and fused[0]["sightings"] >= 1
+    state = spark.createDataFrame([(project + "/src/util.js", datetime(2024, 1, 2), None, 9)], "file_path string, last_edited timestamp, last_opened timestamp, edit_frequency int")
+    assert engine.boosted("retry", state, datetime(2024, 1, 2, 1), project, 2).first()["file_path"].endswith("util.js")
+
+
+def test_records_and_config(spark, tmp_path):
+    from quarry.config import Config
+    from quarry.functions.tokens import with_token_counts
+    from quarry.sources import records_io
+
+    frame = spark.createDataFrame([("a", 'x "y", z', None), ("b", "line\nbreak", "1")], "k string, v string, n string")
+    records_io.write_csv(frame, str(tmp_path / "csv"))
+    assert records_io.read_csv(spark, str(tmp_path / "csv")).orderBy("k").first()["v"] == 'x "y", z'
+    records_io.backup(frame, str(tmp_path / "json"))
+    assert sorted(map(tuple, records_io.restore(spark, str(tmp_path / "json"), "k string, v string, n string").collect())) == sorted(map(tuple, frame.collect()))
+    assert records_io.read_state(spark, str(tmp_path / "none"), "k string").count() == 0
+    config = Config.preset("thorough")
+    config.save(str(tmp_path / "c.json"))
+    assert Config.load(str(tmp_path / "c.json")) == config and config.retrieval.top_k == 20
+    with pytest.raises(ValueError):
+        Config.of({"vectors": {"metric": "none"}})
+    tokenizers = pytest.importorskip("public_tokenizers")
+    counted = with_token_counts(frame, "v", tokenizers.path("byte_bpe_50k.json"))
+    assert all(r["tokens"] > 0 for r in counted.collect())
 
 
 def test_debounce_and_sessions(spark, tmp_path):
