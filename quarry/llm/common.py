@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import on_workers_path
+
 #: Bytes of text that one array step handles; a longer document is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -37,6 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lower the session's Arrow batch size to ``rows``: texts may be long, and a batch is held whole on both sides."""
+    on_workers_path(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if not 0 < held <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the reread table.
 

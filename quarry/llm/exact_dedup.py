@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import write_shared
+from quarry.llm.common import bounded_batches, write_shared
 
 SPACE = b" \t\n\x0b\x0c\r"
 DIGEST = "doc_id long, n_chars long, digest binary"
@@ -98,6 +98,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, code points of the text, 40-byte digest of the bare text."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, DIGEST)
 
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_WORDS, byte_view, mix64, prefix_hashes, span_hashes, steps, word_spans, write_shared
+from quarry.llm.common import SPACE_WORDS, bounded_batches, byte_view, mix64, prefix_hashes, span_hashes, steps, word_spans, write_shared
 
 HEAD_LIMIT = 1 << 20
 #: Classes: single tokens, clusters of endings, and repeats of the last token and the one before.
@@ -230,6 +230,7 @@ def _learn(model: Model, rate: float = 0.4):
 
 def train(texts: DataFrame) -> tuple[Model | None, DataFrame | None]:
     """Train on the column ``text``; returns the model and the counts (hash, n) of all tokens."""
+    bounded_batches(texts.sparkSession)
     counted = write_shared(texts.select("text").mapInArrow(_count, "hash long, bin int, n long, block binary"), "counted")
     counts = write_shared(counted.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n"), F.min("bin").alias("bin")), "counts")
     by_bin = np.zeros((ENDINGS, 2), np.int64)
@@ -334,6 +335,7 @@ def _score(load):
 
 def score(docs: DataFrame, model: Model | None, counts: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row; logs are decimal."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LETTER_WORDS, byte_view, mix64, prefix_hashes, span_hashes, steps, word_spans
+from quarry.llm.common import LETTER_WORDS, bounded_batches, byte_view, mix64, prefix_hashes, span_hashes, steps, word_spans
 
 BITS = 17
 MAX_SEQUENCE = 256
@@ -283,6 +283,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     spans[r].append({"start": start, "end": start + int(((word & 0xC0) != 0x80).sum()), "p": float(p[i])})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, _SPAN_TYPE)], ["doc_id", "score", "predicted", "spans"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _COLUMNS)
 
 
@@ -294,4 +295,5 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: flo
             scores, _, _ = model.score(*byte_view(batch.column(batch.schema.get_field_index(text_col))))
             yield batch.filter(pa.array(scores < limit))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
