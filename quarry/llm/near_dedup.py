@@ -13,9 +13,15 @@
    Only pairs between sets that are not yet connected need confirming: first one
    pair a set, then what still lies across.
 5. Components are found by large-star and small-star.
-6. Larger buckets whose sets did not all meet in one component are compared in
-   full, but only across components and only for sets outside the component of
-   the bucket's least set: exact, and little unless a bucket is truly mixed.
+6. In larger buckets whose sets did not all meet in one component, sets outside
+   are first compared with the bucket's *hub*, the set with the most widespread
+   shingles, and then, still across components only, with every set that can be
+   near enough: those that share a shingle of at most ``RARE`` sets, met on that
+   shingle, and those that are near without one.  The latter are few: what two
+   sets have in common lies in the hub or is widespread outside it, which
+   bounds their intersection, so the join is on the hub's component and a band
+   of sizes.  This loses no pair, and a group of copies edited apart never
+   meets itself.
 
 Null and empty texts, and those of white space only, have empty sets and no
 links.  Rows with a null id get the component of their set if one of its rows
@@ -33,12 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_WORDS, byte_view, mix64, prefix_hashes, semi_join_ids, span_hashes, steps, word_spans, write_shared
+from quarry.llm.common import SPACE_WORDS, bounded_batches, byte_view, mix64, prefix_hashes, semi_join_ids, span_hashes, steps, word_spans, write_shared
 from quarry.llm.components import components
 
 WORDS = 5
 MINIMA, BANDS = 128, 32
 ROWS = MINIMA // BANDS
+#: A shingle of at most so many sets of mixed buckets is rare.
+RARE = 16
 _DRAW = np.random.default_rng(75)
 _A = _DRAW.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _DRAW.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -54,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> t
     at = np.searchsorted(row, np.arange(n + 1))
     whole = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
-        whole += words[k : len(words) - width + 1 + k] * _PLACE[k]
+        whole += words[k : k + len(whole)] * _PLACE[k]
     whole = mix64(whole)
     parts = []
     for i in range(n):
@@ -139,6 +147,14 @@ def _sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["rep", "hashes"])
 
 
+def _tokens_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, token), one row for each shingle of a set."""
+    for batch in steps(batches):
+        hashes, at = shingle_sets(*byte_view(batch.column(1)))
+        reps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(at))
+        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(hashes.view(np.int64))], ["rep", "token"])
+
+
 def _confirm(percent: int):
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -162,7 +178,6 @@ class _Linker:
         self.docs, self.sets, self.percent, self.repeated = docs, sets, percent, repeated
         p = percent / 100
         self.least = int(np.ceil(MINIMA * (p - margin * np.sqrt(p * (1 - p) / MINIMA))))
-        self.links: list[DataFrame] = []
         self.known: DataFrame | None = None  # (node, component)
 
     def alike(self, pairs: DataFrame) -> DataFrame:
@@ -189,16 +204,17 @@ class _Linker:
         full = write_shared(full, "sets")
         side = lambda name, held: full.select(F.col("rep").alias(name), F.col("hashes").alias(held))
         joined = pairs.join(side("a", "ha"), "a").join(side("b", "hb"), "b").select("a", "b", "ha", "hb")
-        self.links.append(write_shared(joined.mapInArrow(_confirm(self.percent), "a long, b long"), "confirmed"))
-        links = self.links[0]
-        for more in self.links[1:]:
-            links = links.union(more)
+        links = write_shared(joined.mapInArrow(_confirm(self.percent), "a long, b long"), "confirmed")
+        if links.isEmpty():
+            return
+        if self.known is not None:  # each set's link to its component stands for all links before
+            links = links.union(self.known.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
         self.known = write_shared(components(links), "components")
 
-    def link(self, pairs: DataFrame) -> None:
-        """Confirm what is needed of the candidates: first one pair a set, then all that lies across."""
+    def link(self, pairs: DataFrame, sparing: bool = False) -> None:
+        """Confirm what is needed of the candidates: all that lies across, if ``sparing`` one pair a set first."""
         pairs = write_shared(pairs, "alike")
-        for single in (True, False):
+        for single in (True, False) if sparing else (False,):
             left = self.across(pairs)
             if single:
                 left = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -208,12 +224,80 @@ class _Linker:
             self.confirm(left)
 
 
+    def _components_of(self, rows: DataFrame, name: str, out: str) -> DataFrame:
+        """Adds the component of a set (itself while it has no links)."""
+        if self.known is None:
+            return rows.withColumn(out, F.col(name))
+        known = self.known.select(F.col("node").alias(name), F.col("component").alias("_c"))
+        return rows.join(known, name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
+
+    def settle(self, large: DataFrame) -> None:
+        """Finds what links the sets of large buckets beyond their least set (step 6)."""
+        placed = self._components_of(self._components_of(large.select("band", "rep", "pivot"), "rep", "c"), "pivot", "pc")
+        mixed = placed.where("c <> pc").select("band").distinct()
+        members = write_shared(placed.join(mixed, "band", "left_semi").select("band", "rep", "c"), "members")
+        reps = write_shared(members.select("rep").distinct(), "reps")
+        tokens = semi_join_ids(self.docs, reps, "rep").mapInArrow(_tokens_of, "rep long, token long")
+        tokens = write_shared(tokens.distinct() if self.repeated else tokens, "tokens")
+        spread = tokens.groupBy("token").agg(F.count("*").alias("sets"))
+        spread = write_shared(tokens.join(spread, "token").withColumn("rare", F.col("sets") <= RARE), "spread")
+        stats = spread.groupBy("rep").agg(F.avg("sets").alias("common"))
+        rare = spread.where("rare and sets > 1").select("rep", "token")
+        stats = write_shared(stats, "stats")
+        hub = F.max_by(F.col("rep"), F.struct("common", -F.col("rep"))).alias("hub")
+        hubs = write_shared(members.join(stats, "rep").groupBy("band").agg(hub), "hubs")
+        near_hub = self._components_of(members.join(hubs, "band"), "hub", "hc").where("c <> hc")
+        self.link(self.alike(near_hub.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()))
+
+        members = self._components_of(self._components_of(members.drop("c").join(hubs, "band"), "rep", "c"), "hub", "hc")
+        # sets that meet in several buckets of one component meet once
+        members = write_shared(members.groupBy("hc", "rep").agg(F.min("c").alias("c")).withColumn("outside", F.col("c") != F.col("hc")), "members")
+        pairs = self._sharing_rare(members, rare).union(self._near_without(members, spread, stats)).distinct()
+        self.link(self.alike(pairs))
+
+    @staticmethod
+    def _sharing_rare(members: DataFrame, rare: DataFrame) -> DataFrame:
+        """Pairs of an outside set and another component's set that share a shingle of few sets."""
+        own = rare.join(members.groupBy("rep").agg(F.min("c").alias("c"), F.bool_or("outside").alias("outside")), "rep")
+        asking = own.where("outside").select("token", F.col("rep").alias("x"), F.col("c").alias("cx"))
+        met = asking.join(own.select("token", F.col("rep").alias("y"), F.col("c").alias("cy")), "token").where("cx <> cy")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def _near_without(self, members: DataFrame, spread: DataFrame, stats: DataFrame) -> DataFrame:
+        """Pairs round one hub that may be near enough although they share no rare shingle.
+
+        Their common shingles lie in the hub, at most as many as either has
+        there, or outside it and are not rare; that bounds the intersection.
+        """
+        need = self.percent / (100 + self.percent)  # of both sizes together
+        best = members.where("not outside").join(stats, "rep").groupBy("hc").agg(F.max_by("rep", F.struct("common", -F.col("rep"))).alias("rep"))
+        centre = best.join(spread.select("rep", "token"), "rep").select("hc", "token", F.lit(True).alias("inner"))
+        placed = members.join(spread, "rep").join(centre, ["hc", "token"], "left")
+        inner = F.coalesce("inner", F.lit(False))
+        if self.repeated:  # texts that share an id are one set here, so nothing bounds what each has
+            size = count = F.lit(1).cast("long")
+            other = F.lit(0).cast("long")
+        else:
+            size, count, other = F.count("*"), F.count_if(inner), F.count_if(~inner & ~F.col("rare"))
+        own = write_shared(placed.groupBy("hc", "rep", "c", "outside").agg(size.alias("size"), count.alias("inner"), other.alias("other")), "bounds")
+        high = (F.col("inner") + F.col("other")) / need - F.col("size")  # the largest partner that these shingles allow
+        low = F.col("size") * (self.percent / 100)
+        bin_of = lambda x: F.floor(F.ln(F.greatest(x, F.lit(0.5))) / 0.05).cast("int")
+        asking = own.where(F.col("outside") & (high >= low - 1e-6)).withColumn("bin", F.explode(F.sequence(bin_of(low - 1e-6), bin_of(high + 1e-6))))
+        side = lambda df, x, *keep: df.select("hc", *keep, *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "c", "size", "inner", "other")))
+        most = F.least("x_inner", "y_inner") + F.least("x_other", "y_other")
+        fits = (F.col("x_c") != F.col("y_c")) & (most >= need * (F.col("x_size") + F.col("y_size")) - 1e-6)
+        met = side(asking, "x", "bin").join(side(own.withColumn("bin", bin_of(F.col("size"))), "y", "bin"), ["hc", "bin"]).where(fits)
+        return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, small: int = 24) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``percent`` is the similarity in hundredths from which two sets are linked;
     buckets of more than ``small`` sets take the way of step 6.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = write_shared(source.mapInArrow(_describe, _SETS), "described")
     least = F.min(F.struct("doc_id", "signature")).alias("least")
@@ -228,10 +312,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = met.where((F.col("n") > small) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     repeated = not described.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     linker = _Linker(source, signed, percent, repeated)
-    linker.link(linker.alike(few.union(stars).distinct()))
+    linker.link(linker.alike(few.union(stars).distinct()), sparing=True)
     large = met.where(F.col("n") > small)
     if not large.isEmpty():
-        linker.link(linker.alike(_mixed(large, linker.known)))
+        linker.settle(large)
     known = linker.known
     joined = described.select("doc_id", "n_shingles", "set_key").join(sets.select("set_key", "rep"), "set_key", "left")
     if known is not None:
@@ -240,16 +324,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = joined.withColumn("component", F.lit(None).cast("long"))
     found = F.coalesce("component", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.col("doc_id").isNull() & found.isNull()).alias("kept"))
-
-
-def _mixed(large: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Pairs across components in large buckets: sets outside the component of the bucket's least one, against all."""
-    if known is not None:
-        large = large.join(known.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
-        large = large.join(known.select(F.col("node").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
-        large = large.select("band", "rep", F.coalesce("c", "rep").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
-    else:
-        large = large.select("band", "rep", F.col("rep").alias("c"), F.col("pivot").alias("pc"))
-    outside = write_shared(large.where("c <> pc").select("band", F.col("rep").alias("x"), F.col("c").alias("cx")), "outside")
-    pairs = outside.join(large.select("band", F.col("rep").alias("y"), F.col("c").alias("cy")), "band").where("cx <> cy")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
