@@ -1,13 +1,12 @@
 """A keyed chunk table on Parquet: upsert, delete, scan, statistics.
 
-Tables are folders of immutable versions.  A write makes a new version and
-then moves the pointer, so readers never see half a write and a failed job
-leaves the last version in place.
+Tables are folders of immutable, numbered versions.  A reader takes the newest
+one that Spark has marked as complete, so nobody sees half a write and a failed
+job leaves the last version in place.  There is one writer at a time.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,12 +86,16 @@ class ChunkTable:
         where = jvm.org.apache.hadoop.fs.Path(self.path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _version(self) -> str | None:
+    def _versions(self) -> list[str]:
+        """Complete versions, oldest first."""
         fs, path = self._fs()
-        pointer = path(f"{self.path}/_current")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
+        if not fs.exists(path(self.path)):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(path(self.path))]
+        return sorted(n for n in names if n.startswith("v-") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    def _version(self) -> str | None:
+        return (self._versions() or [None])[-1]
 
     def exists(self) -> bool:
         return self._version() is not None
@@ -105,13 +108,12 @@ class ChunkTable:
 
     def write(self, rows: DataFrame) -> None:
         """A new version, partitioned by project so that a project's rows can be pruned and replaced alone."""
-        version = f"v-{uuid.uuid4().hex}"
-        rows.select(*[f.name for f in CHUNK_SCHEMA.fields]).write.partitionBy("project_path").parquet(f"{self.path}/{version}")
-        old = self._version()
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_current")
-        if old:
-            fs, path = self._fs()
-            fs.delete(path(f"{self.path}/{old}"), True)
+        old = self._versions()
+        version = f"v-{int(old[-1][2:]) + 1 if old else 0:012d}"
+        rows.select(*[f.name for f in CHUNK_SCHEMA.fields]).write.mode("overwrite").partitionBy("project_path").parquet(f"{self.path}/{version}")
+        fs, path = self._fs()
+        for name in old:
+            fs.delete(path(f"{self.path}/{name}"), True)
 
     def upsert(self, batch: DataFrame, order: str | None = None) -> bool:
         """False if the batch holds nothing to write."""
