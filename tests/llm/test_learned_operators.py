@@ -150,10 +150,9 @@ def test_language_model_is_a_distribution(spark, data, texts):
     own = model.classes(t)
     p = model.probabilities(model.context(t, own))
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    head_mass = np.zeros(len(model.mass))
     vocabulary = counts.toArrow()
     n = vocabulary["n"].to_numpy()
-    assert model.mass[: lm_score.SINGLES + lm_score.CLUSTERS].sum() == pytest.approx((n + 1).sum()) and len(head_mass) == lm_score.CLASSES
+    assert model.mass[: lm_score.SINGLES + lm_score.CLUSTERS].sum() == pytest.approx((n + 1).sum())
 
 
 def test_html_pages(spark, data):
@@ -176,7 +175,7 @@ def test_html_furniture():
     plain = "<div><a>Home</a> <a>About</a></div><h1>Some title</h1><p>" + "word " * 60 + "</p><p>" + "text " * 40 + "</p><div><a>x</a> <a>y</a></div>"
     assert html_extract.main_text(plain).split("\n\n")[0] == "Some title" and "About" not in html_extract.main_text(plain)
     assert html_extract.main_text("") == html_extract.main_text(None) == ""
-    assert html_extract.main_text("<p>cut off in a tag <a href='") == "" or True
+    assert html_extract.main_text("<article><p>cut off in a tag <a href='") == "cut off in a tag"
 
 
 def test_pipeline_against_plain_stages(spark, data, texts, tmp_path):
@@ -186,7 +185,7 @@ def test_pipeline_against_plain_stages(spark, data, texts, tmp_path):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, held, data)
         out.write.parquet(str(tmp_path / f"{k}"))
-        before, held = held, spark.read.parquet(str(tmp_path / f"{k}"))
+        held = spark.read.parquet(str(tmp_path / f"{k}"))
         if name != "packing":
             assert held.columns == docs.columns
         left = {r["doc_id"]: r["text"] for r in held.select("doc_id", "text").collect()} if name != "packing" else None
@@ -210,4 +209,3 @@ def test_pipeline_against_plain_stages(spark, data, texts, tmp_path):
             assert found == {i: len(encode(t)) // 4 + 1 for i, t in expected.items()}
             continue
         assert left == expected
-    assert before is not None
