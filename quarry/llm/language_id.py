@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import steps
+from quarry.llm.common import bounded_batches, steps
 
 BUCKET_BITS = 15
 UNDETERMINED = "und"
@@ -144,7 +144,7 @@ class Model:
         return order[:, 0], share[rows, order[:, 0]], second
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 40, rate: float = 1.0) -> Model | None:
+def fit(texts: list[str], labels: list[str], rounds: int = 25, rate: float = 1.0) -> Model | None:
     """Logistic bit classifiers on mean-pooled n-grams, by full-batch Adagrad."""
     languages = sorted(set(labels))
     if not languages:
@@ -214,10 +214,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 score, second = np.where(some, score, 0.0), np.where(some, second, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(score - second < margin), pa.array(second)], [c.split()[0] for c in _COLUMNS.split(", ")])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _COLUMNS)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 500, sample_chars: int = 3_000) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 300, sample_chars: int = 2_000) -> Model | None:
     """Fit on a bounded sample of the labelled rows."""
     rows = sample_labelled(docs, F.col(label_col), F.col(text_col), F.col(id_col), per_language, sample_chars)
     return fit([t for _, t in rows], [x for x, _ in rows])
