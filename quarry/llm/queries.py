@@ -13,22 +13,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents over as many tasks as the cluster has cores: a small table may be one file split."""
+    docs, cores = _table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _held_out(divisor: int, remainder: int):
     return (crc_remainder("doc_id", divisor) == remainder).alias("held_out")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = language_id.train(docs.where(~_held_out(4, 2)))
     return language_id.predict(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score", "ambiguous", "runner_up")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), keep=False)
+    return bpe.encode_decode(_documents(spark, sf_dir), keep=False)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +46,13 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~_held_out(5, 0)))
     return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model, counts = lm_score.train(docs.where(~_held_out(7, 2)))
     return lm_score.score(docs, model, counts).select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -77,6 +83,27 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS shingles
+            FROM w),
+        u AS (SELECT doc_id, unnest(shingles) AS shingle, len(shingles) AS n FROM s),
+        met AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common, any_value(a.n) + any_value(b.n) AS both_sizes
+            FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM met WHERE 100 * common >= 75 * (both_sizes - common)
+            UNION ALL SELECT y, x FROM met WHERE 100 * common >= 75 * (both_sizes - common)),
+        reached AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other)
+        SELECT s.doc_id, CAST(len(any_value(shingles)) AS BIGINT) AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept
+        FROM s JOIN reached USING (doc_id) GROUP BY s.doc_id
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
