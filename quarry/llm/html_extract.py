@@ -36,11 +36,14 @@ SILENT = frozenset("script style noscript template iframe object svg math canvas
 #: Elements that hold the page's content, and those that hold its furniture (fixed values).
 CONTENT_TAGS = frozenset({"article", "main"})
 FURNITURE_TAGS = frozenset({"nav", "footer", "aside", "form", "menu", "dialog", "search"})
-_FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu\w*|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|comment-\w+|disqus|replies|reply|respond|footer|masthead|site-header|page-header|topbar|related|recommend\w*|share|sharing|social|newsletter|subscribe|subscription|signup|sign-up|login|search|pagination|pager|widget|toolbar|copyright|skip|skip-link|contentinfo|complementary|toc)(?:$|[\s_-])",
+#: Words of class, id and role names that mark furniture or content, and what takes a name's meaning away (fixed values).
+_FURNITURE_NAME = re.compile(
+    r"(?:[a-z0-9]+[-_])*(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu\w*|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|warning|popup|modal|overlay|comments?|disqus|repl(?:y|ies)|respond|footer|masthead|topbar|related|recommend\w*|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?|toolbar|copyright|skip|contentinfo|complementary|toc|teasers?)(?:[-_][a-z0-9]+)*"
+    r"|(?:site|page|top|main|global)[-_]header|header|sign-up",
     re.IGNORECASE,
 )
-_CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|post-body|post-content|entry-content|story-body|main-content|main)(?:$|[\s_-])", re.IGNORECASE)
+_CONTENT_NAME = re.compile(r"(?:[a-z0-9]+[-_])?(?:article|articlebody|content|post|entry|story|main)(?:[-_](?:body|content|text|main))?|markdown-body|prose", re.IGNORECASE)
+_LAYOUT_NAME = re.compile(r"(?:has|with|no|without|is|hide|show)[-_].*", re.IGNORECASE)
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -57,22 +60,28 @@ class Block:
 
 
 def _mark(tag: str, attributes: str, inside: int) -> int | None:
-    """What an element says of its inside: 1 content, -1 furniture, None nothing."""
+    """What an element says of its inside: 1 content, -1 furniture by name, -2 furniture by tag, None nothing.
+
+    Names say nothing on the whole page's elements.  An article or main element
+    is content even inside something named like furniture, but not inside a
+    tag that is.
+    """
+    if tag in ("html", "body"):
+        return None
     if tag in FURNITURE_TAGS or tag == "header" and inside != 1:
-        return -1
+        return -2
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value, name = "".join(values), name.lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-                return -1
+                return -2
             if name in ("class", "id", "role"):
-                if tag not in CONTENT_TAGS and _FURNITURE_WORDS.search(value):
-                    return -1
-                if _CONTENT_WORDS.search(value) and inside != -1:
+                words = [w for w in value.split() if not _LAYOUT_NAME.fullmatch(w)]
+                if any(_FURNITURE_NAME.fullmatch(w) for w in words):
+                    return -2 if "comment" in value.lower() else -1
+                if inside >= 0 and any(_CONTENT_NAME.fullmatch(w) for w in words):
                     return 1
-    if tag in CONTENT_TAGS and inside != -1:
-        return 1
-    return None
+    return 1 if tag in CONTENT_TAGS and inside > -2 else None
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -90,7 +99,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             if text:
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(1.0, linked / words), stack[-1][1] if stack else 0, heading > 0))
+                out.append(Block(text, words, min(1.0, linked / words), max(-1, stack[-1][1]) if stack else 0, heading > 0))
         pieces, linked = [], 0
 
     for found in _MARKUP.finditer(page):

@@ -178,6 +178,17 @@ def test_html_furniture():
     assert html_extract.main_text("<article><p>cut off in a tag <a href='") == "cut off in a tag"
 
 
+def test_html_names_of_elements():
+    body = "<p>One paragraph of the text itself.</p><p>Two.</p>"
+    for page in (
+        f'<body class="has-sidebar"><div class="layout sidebar-right"><article class="post">{body}</article></div></body>',
+        f'<body><div class="header">Site name</div><ul class="main-menu"><li>Home</li></ul><div id="content"><div class="entry-content">{body}</div></div><div id="site-footer">Me</div></body>',
+        f'<main class="with-comments">{body}<div class="comment-list"><article class="comment"><p>Reader words.</p></article><article><p>More reader words.</p></article></div></main>',
+        f'<div class="notice">Please note.</div><div class="post-content">{body}<form><p>Your mail</p></form><div class="left_sidebar"><p>Side.</p></div></div><aside><article><p>Other story.</p></article></aside>',
+    ):
+        assert html_extract.main_text(page) == "One paragraph of the text itself.\n\nTwo."
+
+
 def test_pipeline_against_plain_stages(spark, data, texts, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     scores = {r["doc_id"]: r["predicted"] for r in queries.op6_toxicity(spark, data).collect()}
