@@ -112,7 +112,9 @@ def merge_runs(digests: DataFrame, fan_in: int = 8, shard_rows: int = 400_000) -
     left = max(1, digests.rdd.getNumPartitions())
     while True:  # one round at least: it also unites the batches of one partition
         left = -(-left // fan_in)
-        runs = runs.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("shard", "run").applyInArrow(_merge, RUN)
+        # the last round takes all that is left of a shard, whatever its numbers
+        place = F.floor(F.col("run") / fan_in) if left > 1 else F.lit(0).cast("long")
+        runs = runs.withColumn("run_", place).groupBy("shard", "run_").applyInArrow(lambda t: _merge(t.drop_columns("run_")), RUN)
         if left == 1:
             return runs.select("digest", "keep_n", "keep_id", "group_size")
 
