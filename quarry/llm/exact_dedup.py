@@ -85,15 +85,15 @@ def _first_runs(shards: int):
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Multiway merge of the runs in one group; entries of a run arrive in any order."""
-    shard, run, *rest = (c.to_pylist() for c in table.columns)
+    """Multiway merge of the runs in one group, whose place is the merged run's number; entries of a run arrive in any order."""
+    shard, run, *rest, place = (c.to_pylist() for c in table.columns)
     runs: dict[int, list[tuple]] = {}
     for r, entry in zip(run, zip(*rest, strict=True), strict=True):
         runs.setdefault(r, []).append(entry)
     for entries in runs.values():
         entries.sort(key=lambda e: e[0])
     merged = _run_of(heapq.merge(*runs.values(), key=lambda e: e[0]))
-    return pa.Table.from_batches([_run_batch([shard[0]] * len(merged), [min(run)] * len(merged), merged)])
+    return pa.Table.from_batches([_run_batch([shard[0]] * len(merged), [place[0]] * len(merged), merged)])
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +114,7 @@ def merge_runs(digests: DataFrame, fan_in: int = 8, shard_rows: int = 400_000) -
         left = -(-left // fan_in)
         # the last round takes all that is left of a shard, whatever its numbers
         place = F.floor(F.col("run") / fan_in) if left > 1 else F.lit(0).cast("long")
-        runs = runs.withColumn("run_", place).groupBy("shard", "run_").applyInArrow(lambda t: _merge(t.drop_columns("run_")), RUN)
+        runs = runs.withColumn("place", place).groupBy("shard", "place").applyInArrow(_merge, RUN)
         if left == 1:
             return runs.select("digest", "keep_n", "keep_id", "group_size")
 

@@ -198,6 +198,18 @@ def test_exact_groups_match_plain_groups(spark, data, texts):
             assert (rows[i]["keep_id"], rows[i]["group_size"], rows[i]["kept"], rows[i]["text_sha256"]) == (keep, len(ids), i == keep, hashlib.sha256(bare.encode()).hexdigest())
 
 
+def test_runs_merge_over_several_rounds(spark):
+    """70 partitions in rounds of two; copies of a text lie in all of them."""
+    from quarry.llm.exact_dedup import exact_groups, merge_runs, digest_rows
+
+    docs = spark.createDataFrame([(i, f" t{i % 9}" + " " * (i % 4)) for i in range(700)], "doc_id long, text string").repartition(70)
+    merged = merge_runs(digest_rows(docs), fan_in=2, shard_rows=3).collect()
+    assert len(merged) == 9 and sum(r["group_size"] for r in merged) == 700
+    for r in exact_groups(docs).collect():
+        same = [i for i in range(700) if i % 9 == r["doc_id"] % 9]
+        assert r["keep_id"] == min(same, key=lambda i: (-(i % 4), i)) and r["group_size"] == len(same)
+
+
 def test_language_held_out_accuracy(spark, data):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").collect()}
     rows = queries.op1_language_id(spark, data).collect()
