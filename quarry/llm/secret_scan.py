@@ -6,7 +6,8 @@ a role (identifier, secret or endpoint) and a scope: the part's span widened by
 ``scope`` code points on both sides.  An interval join of the parts of one
 text, done as one sweep over their sorted starts, links parts whose scopes
 meet; a weak part is reported only where a complementary role co-occurs: a
-secret with an identifier or an endpoint.  The sweep holds only the latest end
+secret with an identifier or an endpoint.  The sweep goes over the starts
+forwards and backwards and holds only the latest end, then the earliest start,
 of each role, so it is linear however many parts a text has, and since a scope
 never leaves its text, no rows move between tasks.
 
@@ -70,8 +71,9 @@ def linked_weak_spans(text: str, lower: str, base: list[Span], scope: int) -> li
     parts = sorted([*base, *weak], key=_order)
     found = set()
     for forward in (True, False):
+        # for each role the latest end of the parts that start before, then (negative) the earliest start of those after
         reach: list[int | None] = [None] * 3
-        for start, end, kind in parts if forward else sorted(parts, key=lambda p: -p[1]):
+        for start, end, kind in parts if forward else reversed(parts):
             role = ROLES[kind]
             others = (IDENTIFIER, ENDPOINT) if role == SECRET else (SECRET,)
             near, far = (start, end) if forward else (-end, -start)

@@ -187,6 +187,26 @@ def test_weak_parts_need_a_complement():
     assert redact_text(near) == "[REDACTED]\n[REDACTED]\n[REDACTED]"
 
 
+def test_weak_parts_that_contain_their_complement():
+    text = "mysql://db1.internal/app?pwd=hunter2xyz"
+    assert all_spans(text, 120)[1] == [(0, 39, "weak_endpoint"), (25, 39, "weak_secret")]
+    assert redact_text(f"see {text} now") == "see [REDACTED] now"
+
+
+def test_linked_parts_match_all_pairs():
+    from quarry.llm.secret_scan import _WEAK, ROLES, SECRET
+
+    pick = random.Random(8)
+    pieces = ["mysql://db1.internal/app?", "pwd=hunter2xyz", "user=alice.b", "host: db.example.com", "AKIA" + "A1" * 8, "0123456789abcdef", "&", " ", "\n", " word" * 3]
+    for _ in range(2000):
+        text, scope = "".join(pick.choice(pieces) for _ in range(pick.randint(1, 9))), pick.choice([0, 3, 120])
+        base = base_spans(text)
+        weak = [(m.start(), m.end(), kind) for kind, _, pattern in _WEAK for m in pattern.finditer(text)]
+        meets = lambda p, q: (ROLES[p[2]] == SECRET) != (ROLES[q[2]] == SECRET) and p[0] - q[1] <= 2 * scope and q[0] - p[1] <= 2 * scope  # noqa: E731, B023
+        kept = [p for p in weak if any(meets(p, q) for q in [*base, *weak]) and not any(s < p[1] and p[0] < e for s, e, _ in base)]
+        assert sorted(all_spans(text, scope)[1]) == sorted([*base, *kept]), text
+
+
 def test_exact_groups_match_plain_groups(spark, data, texts):
     groups = {}
     for i, t in texts.items():
