@@ -278,11 +278,15 @@ def train(texts: DataFrame) -> tuple[Model | None, DataFrame | None]:
     return model, counts.select("hash", "n")
 
 
-_SCORED = "key long, doc_id long, hash long, tokens long, fresh long, known long, base double, score double"
+_SCORED = "key long, doc_id long, hash long, tokens long, fresh long, known long, base double, score double, repeats array<double>, draws array<double>"
 
 
 def _score(load):
-    """Two kinds of rows: with null hash a text's sums over head tokens, else a text's other tokens of one hash."""
+    """Two kinds of rows: with null hash a text's sums over head tokens, else a text's other tokens of one hash.
+
+    The latter have the sum of the tokens that can only be drawn, and for each
+    of their repeats its probability as a repeat and the factor of its draw.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = load()
@@ -301,22 +305,23 @@ def _score(load):
             own = model.classes(t)
             rows = model.context(t, own)
             again, skip = model.repeats(t)
-            score = np.empty(len(own))
+            score, repeats, draws = (np.empty(len(own)) for _ in range(3))
             for a in range(0, len(own), BATCH):
                 z = slice(a, a + BATCH)
                 p, k = model.probabilities(rows[:, z]), np.arange(len(own[z]))
                 repeat = p[k, REPEAT] * again[z] + p[k, SKIP_REPEAT] * skip[z]
                 drawn = np.log10(p[k, own[z]]) - log_mass[own[z]]
-                # a token of the tail counts as a repeat, or as drawn: its frequency is joined later
+                # the frequency of a token of the tail is joined later
                 whole = np.log10(repeat + 10.0 ** (drawn + np.log10(count[z] + 1.0)))
-                score[z] = np.where(known[z], whole, np.where(repeat > 0, np.log10(np.maximum(repeat, 1e-300)), drawn))
+                score[z] = np.where(known[z], whole, drawn)
+                repeats[z], draws[z] = repeat * (1.0 - unknown), 10.0**drawn * (1.0 - unknown)
             score += np.log10(1.0 - unknown)
             sums = lambda x: np.bincount(row[known], x[known], n)
             base = np.log10((count + 1.0) * unknown)
             keys = key + np.arange(n)
             key += n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), batch.column(0), pa.nulls(n, pa.int64()), pa.array(np.diff(t.offsets)), pa.array(np.zeros(n, np.int64)), pa.array(np.bincount(row[known], minlength=n)), pa.array(sums(base)), pa.array(sums(score))],
+                [pa.array(keys), batch.column(0), pa.nulls(n, pa.int64()), pa.array(np.diff(t.offsets)), pa.array(np.zeros(n, np.int64)), pa.array(np.bincount(row[known], minlength=n)), pa.array(sums(base)), pa.array(sums(score)), *[pa.nulls(n, pa.list_(pa.float64()))] * 2],
                 [c.split()[0] for c in _SCORED.split(", ")],
             )
             if (rest := np.flatnonzero(~known)).size:
@@ -325,8 +330,11 @@ def _score(load):
                 first = order[heads]
                 add = lambda x: np.add.reduceat(x[order], heads)
                 fresh = ~(again | skip)
+                late = order[~fresh[order]]
+                ends = pa.array(np.concatenate([[0], np.cumsum(add((~fresh).astype(np.int64)))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[late])) for x in (repeats, draws)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[row[first]]), pa.nulls(len(first), pa.int64()), pa.array(t.hash[first].view(np.int64)), pa.array(add(np.ones(len(row), np.int64))), pa.array(add(fresh.astype(np.int64))), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.float64()), pa.array(add(score))],
+                    [pa.array(keys[row[first]]), pa.nulls(len(first), pa.int64()), pa.array(t.hash[first].view(np.int64)), pa.array(add(np.ones(len(row), np.int64))), pa.array(add(fresh.astype(np.int64))), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.float64()), pa.array(add(score * fresh)), *lists],
                     [c.split()[0] for c in _SCORED.split(", ")],
                 )
 
@@ -344,12 +352,14 @@ def score(docs: DataFrame, model: Model | None, counts: DataFrame | None, id_col
     sent = docs.sparkSession.sparkContext.broadcast(model)
     scored = write_shared(source.mapInArrow(_score(lambda: sent.value), _SCORED), "scored")
     unknown = 1.0 / (model.total + model.kinds + 1)
-    tail = scored.where("hash is not null").select("key", "hash", "tokens", "fresh", "score").join(counts, "hash", "left")
+    tail = scored.where("hash is not null").select("key", "hash", "tokens", "fresh", "score", "repeats", "draws").join(counts, "hash", "left")
     one = F.log10(F.coalesce("n", F.lit(0)) + 1.0)
+    repeated = F.zip_with("repeats", "draws", lambda r, d: F.log10(F.greatest(r + d * (F.col("n") + 1), F.lit(1e-300))))
+    late = F.aggregate(repeated, F.lit(0.0), lambda a, x: a + x)
     tail = tail.groupBy("key").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("tokens")).otherwise(0)).alias("more_known"),
         F.sum(F.col("tokens") * (one + float(np.log10(unknown)))).alias("more_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("score") + F.col("fresh") * one).otherwise(F.col("tokens") * float(np.log10(unknown)))).alias("more_score"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("score") + F.col("fresh") * one + late).otherwise(F.col("tokens") * float(np.log10(unknown)))).alias("more_score"),
     )
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     joined = scored.where("hash is null").select("key", "doc_id", F.col("tokens").alias("n_tokens"), "known", "base", F.col("score").alias("own")).join(tail, "key", "left")

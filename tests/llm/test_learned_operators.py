@@ -155,6 +155,26 @@ def test_language_model_is_a_distribution(spark, data, texts):
     assert model.mass[: lm_score.SINGLES + lm_score.CLUSTERS].sum() == pytest.approx((n + 1).sum())
 
 
+def test_language_model_scores_head_and_tail_alike(spark):
+    """Repeats of known and unknown tokens, with every token in the head, half of them, or a fifth."""
+    from dataclasses import replace
+
+    from quarry.llm import lm_score
+
+    pick = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(40)]
+    make = lambda own: " ".join(w for w in pick.choice(own, 30) for _ in range(int(pick.integers(1, 4))))
+    docs = spark.createDataFrame([(i, make(words[:30]) if i < 60 else make(words) + " w1 w2 w1 w2") for i in range(90)], "doc_id long, text string").repartition(3, "doc_id")
+    model, counts = lm_score.train(docs.where("doc_id < 60"))
+    scores = []
+    for step in (1, 2, 5):
+        part = replace(model, head=model.head[::step], head_counts=model.head_counts[::step])
+        rows = lm_score.score(docs, part, counts).collect()
+        scores.append({r["doc_id"]: [r["n_known"], r["base_score"], r["score"]] for r in rows})
+    for other in scores[1:]:
+        assert all(other[i] == pytest.approx(scores[0][i], rel=1e-6) for i in scores[0])
+
+
 def test_html_pages(spark, data):
     import html
 
