@@ -33,6 +33,10 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose inside is no text of the page (fixed values).
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button head".split())
+#: Those whose inside is raw text: nothing in it is markup (fixed values).
+RAW = frozenset({"script", "style", "textarea"})
+#: Tags that may stand in the head; any other one begins the body (fixed values).
+HEAD_TAGS = frozenset("html head title base link meta script style noscript template".split())
 #: Elements that hold the page's content, and those that hold its furniture (fixed values).
 CONTENT_TAGS = frozenset({"article", "main"})
 FURNITURE_TAGS = frozenset({"nav", "footer", "aside", "form", "menu", "dialog", "search"})
@@ -92,6 +96,11 @@ def blocks_of(page: str) -> list[Block]:
     linked = anchors = heading = 0
     silent: str | None = None
     silent_depth = at = 0
+    hidden: list[str] = []  # block elements open inside the silent one
+
+    def end_of(tag: str) -> int | None:
+        end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+        return end.end() if end else None
 
     def flush() -> None:
         nonlocal linked, pieces
@@ -120,14 +129,30 @@ def blocks_of(page: str) -> list[Block]:
                 silent_depth += -1 if closing else not attributes.endswith("/")
                 if silent_depth <= 0:
                     silent = None
-            continue
+                continue
+            if not closing and not attributes.endswith("/") and (tag in RAW or silent == "head" and tag in ("title", "noscript", "template")):
+                at = end_of(tag) or at
+                continue
+            if silent == "head":
+                if closing or tag in HEAD_TAGS:
+                    continue
+            elif not closing:
+                if tag in BLOCK and tag not in VOID and not attributes.endswith("/"):
+                    hidden.append(tag)
+                continue
+            elif tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+                continue
+            elif tag not in BLOCK or all(name != tag for name, _ in stack):
+                continue
+            silent = None  # its end tag is missing: the body begins, or a block around it ends
         if tag in SILENT:
             if not closing and not attributes.endswith("/"):
-                if tag in ("script", "style", "textarea"):  # raw text: nothing in it is markup
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-                    at = end.end() if end else len(page)
+                if tag in RAW:
+                    at = end_of(tag) or len(page)
                 else:
-                    silent, silent_depth = tag, 1
+                    silent, silent_depth, hidden = tag, 1, []
             continue
         if tag == "br" or tag in VOID and tag not in BLOCK:
             pieces.append(" ")

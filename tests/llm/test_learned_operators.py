@@ -209,6 +209,18 @@ def test_html_names_of_elements():
         assert html_extract.main_text(page) == "One paragraph of the text itself.\n\nTwo."
 
 
+def test_html_silent_elements_without_an_end_tag():
+    body = "<article><p>One paragraph of the text itself.</p><p>Two.</p></article>"
+    for page in (
+        f"<html><head><title>T</title><script>write('<p>no</p>')</script><noscript><img src=x></noscript><body>{body}</body></html>",
+        f"<head><meta charset=utf-8><title>A <b> in it</title><link href=x>{body}",
+        f"<head><title>T</title></head><body><div><noscript><div><p>No script.</p></div></div>{body}</body>",
+        f"<body><div><button>Press</div><div><svg><g><text>Drawn</text></div><ul><li><select><option>x</ul>{body}</body>",
+        f"<body><div><template><div>Not shown</div><script>'</div>'</script></template></div>{body}</body>",
+    ):
+        assert html_extract.main_text(page) == "One paragraph of the text itself.\n\nTwo.", page
+
+
 def test_pipeline_against_plain_stages(spark, data, texts, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     scores = {r["doc_id"]: r["predicted"] for r in queries.op6_toxicity(spark, data).collect()}
