@@ -184,7 +184,8 @@ class _Linker:
         """Candidates (a, b) whose signatures agree well enough."""
         side = lambda name, sign: self.sets.select(F.col("rep").alias(name), F.col("signature").alias(sign))
         joined = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb")
-        return joined.mapInArrow(_alike(self.least), "a long, b long")
+        alike = joined.mapInArrow(_alike(self.least), "a long, b long")
+        return alike.distinct() if self.repeated else alike  # any texts of two ids may be alike
 
     def across(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are not connected yet."""
@@ -303,14 +304,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = F.min(F.struct("doc_id", "signature")).alias("least")
     sets = described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(least)
     sets = write_shared(sets.select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.signature").alias("signature")), "distinct")
-    # two texts under one id are one node: they have been linked by their id alone
-    signed = sets.groupBy("rep").agg(F.min("signature").alias("signature"))
-    bands = signed.select("rep", "signature").mapInArrow(_bands, "rep long, band long")
+    repeated = not described.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    # two texts under one id are one node, linked by their id alone; each is met under its own signature
+    signed = sets.select("rep", "signature")
+    bands = signed.mapInArrow(_bands, "rep long, band long")
+    if repeated:
+        bands = bands.distinct()
     counts = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     met = write_shared(bands.join(counts, "band").select("band", "rep", "pivot", "n"), "met")
     few = met.where(F.col("n") <= small).groupBy("band").agg(F.collect_list("rep").alias("reps")).select("reps").distinct().mapInArrow(_all_pairs, "a long, b long")
     stars = met.where((F.col("n") > small) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    repeated = not described.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     linker = _Linker(source, signed, percent, repeated)
     linker.link(linker.alike(few.union(stars).distinct()), sparing=True)
     large = met.where(F.col("n") > small)

@@ -71,6 +71,16 @@ def test_groups_of_edited_copies(spark, small):
     check_components(near_dedup.near_duplicates(docs, small=small).collect(), texts)
 
 
+@pytest.mark.parametrize("small", [1, 24])
+def test_every_text_of_a_repeated_id_is_met(spark, small):
+    pick = np.random.default_rng(12)
+    base = [[f"w{pick.integers(0, 10**9)}" for _ in range(80)] for _ in range(4)]
+    rows = [(1, " ".join(b)) for b in base] + [(i + 2, " ".join([*b[:-2], "x", "y"])) for i, b in enumerate(base)] + [(9, "some other text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, small=small).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 9}
+
+
 def test_components_on_random_graphs(spark):
     pick = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in pick.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(None, 3), (7, 7)]
