@@ -9,7 +9,9 @@ Decoding concatenates the vocabulary's strings.
 Words repeat, so each Python worker remembers the words it has encoded (a
 bounded memo, emptied when full; results do not depend on it).  Texts are
 encoded whole, whatever their length; null counts as empty; repeated rows give
-equal results.  Only the named columns are read.
+equal results, rows with null ids too.  An empty table gives an empty one.  Of
+pairs of equal rank the leftmost merges first; vocabularies have no other ties.
+Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -61,16 +63,41 @@ def _split_pattern(letters: str, numbers: str) -> str:
     return f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{WHITE_SPACE}{letters}{numbers}]+"
 
 
+#: Lower-case partners of capitals that are newer than ``unicodedata``; the library knows them
+#: (fixed values: first capital, last capital, first partner, step).
+NEW_LOWER = (
+    (0x1C89, 0x1C89, 0x1C8A, 1),
+    (0xA7CB, 0xA7CB, 0x0264, 1),
+    (0xA7CC, 0xA7CE, 0xA7CD, 2),
+    (0xA7D2, 0xA7D4, 0xA7D3, 2),
+    (0xA7DA, 0xA7DA, 0xA7DB, 1),
+    (0xA7DC, 0xA7DC, 0x019B, 1),
+    (0x10D50, 0x10D65, 0x10D70, 1),
+    (0x16EA0, 0x16EB8, 0x16EBB, 1),
+)
+LOWER_TABLE = {c: to + c - first for first, last, to, step in NEW_LOWER for c in range(first, last + 1, step)}
+
+#: Marks and compositions that came after Unicode 9, which the library's NFC does not know: nothing
+#: moves past or merges with them (fixed values).
+LATE_MARKS = "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U00011938\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+_LATE_MARK = re.compile(f"([{LATE_MARKS}])")
+
+
 @functools.cache
-def word_patterns() -> tuple[regex.Pattern, re.Pattern, re.Pattern]:
-    """Splits lower-cased text as the word-end vocabulary does; white space falls away.
+def usual_pattern() -> regex.Pattern:
+    """Splits lower-cased text as the word-end vocabulary does; white space falls away."""
+    return regex.compile(_split_pattern(r"\p{L}", r"\p{N}"))
 
-    The first pattern is the faster one and serves where the second, which
-    finds code points that only newer Unicode versions assign, finds nothing;
-    elsewhere the third, with the tokenizers library's classes spelt out, serves.
-    """
-    letters, numbers = category_class("L") + NEW_LETTERS, category_class("N") + NEW_NUMBERS
-    return regex.compile(_split_pattern(r"\p{L}", r"\p{N}")), re.compile(f"[{category_class('Cn')}]"), re.compile(_split_pattern(letters, numbers))
+
+@functools.cache
+def exact_pattern() -> re.Pattern:
+    """The same with the library's classes spelt out, for texts with newer code points."""
+    return re.compile(_split_pattern(category_class("L") + NEW_LETTERS, category_class("N") + NEW_NUMBERS))
+
+
+def is_newer(point: str) -> bool:
+    """Does ``unicodedata`` see this code point otherwise than the library: unassigned, or a late mark?"""
+    return unicodedata.category(point) == "Cn" or _LATE_MARK.match(point) is not None
 
 
 @functools.cache
@@ -142,24 +169,42 @@ class WordBpe:
         self.inner = [self.vocab[s] for s in byte_symbols()]
         self.last = [self.vocab[s + self.suffix] for s in byte_symbols()]
         self.memo = _Memo(self.encode_word)
-        self.usual, self.newer, self.exact = word_patterns()
+        self.usual = usual_pattern()
+        #: Code points that have been seen and are not newer; it never outgrows Unicode.
+        self.seen: set[str] = set()
 
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
         return merge_symbols([self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]], self.merges)
 
-    def normalise(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
+    def has_newer(self, text: str) -> bool:
+        """Looks at code points that no text before has had; one pass over the text's distinct ones."""
+        fresh = set(text) - self.seen
+        newer = {c for c in fresh if is_newer(c)}
+        self.seen |= fresh - newer
+        return bool(newer)
+
+    @staticmethod
+    def normalise(text: str) -> str:
+        """NFC and lower case, for texts without newer code points."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # code point by code point: a capital sigma never takes its final form
         return text.replace("Σ", "σ").lower()
 
+    def normalise_newer(self, text: str) -> str:
+        """The same with newer code points: late marks stand between what NFC may join."""
+        return "".join(self.normalise(part) for part in _LATE_MARK.split(text)).translate(LOWER_TABLE)
+
     def _plain(self, text: str) -> bytes:
-        memo, text = self.memo, self.normalise(text)
-        pattern = self.usual if text.isascii() or not self.newer.search(text) else self.exact
-        return b"".join([memo[w] for w in pattern.findall(text)])
+        memo = self.memo
+        if text.isascii():
+            words = self.usual.findall(text.lower())
+        elif self.has_newer(text):
+            words = exact_pattern().findall(self.normalise_newer(text))
+        else:
+            words = self.usual.findall(self.normalise(text))
+        return b"".join([memo[w] for w in words])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
