@@ -5,25 +5,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.rerank import file_name_relevance, symbol_relevance
-
-
-def checkpoint_table(df: DataFrame, label: str) -> DataFrame:
-    """Written to the folder in ``spark.checkpoint.dir`` and read again, which cuts the lineage.
-
-    An own temporary folder is used only where the session names none.
-    """
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    path = f"{base.rstrip('/')}/quarry-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quarry.session import write_scratch
 
 
 def importance(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
@@ -39,25 +25,25 @@ def importance(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: fl
         received = edges.join(given, "src").groupBy(F.col("dst").alias("key")).agg(F.sum("gift").alias("got"))
         scores = scores.select("key").join(received, "key", "left").select("key", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("importance"))
         if k % cut_every == 0 and k < rounds:
-            scores = checkpoint_table(scores, "importance")
+            scores = write_scratch(scores, "importance")
     return scores
 
 
-def shortest_paths(edges: DataFrame, source: str, most: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str) -> DataFrame:
     """(key, distance, path): fewest steps from ``source``; among equals the least path as text.
 
     A breadth-first frontier: each round joins the frontier to the edges and
-    keeps the nodes not reached before.
+    keeps the nodes not reached before, until no node is new.
     """
     start = edges.sparkSession.createDataFrame([(source, 0, source)], "key string, distance int, path string")
     reached, frontier = start, start
-    for _ in range(most):
+    while True:
         step = frontier.join(edges, F.col("key") == F.col("src")).select(F.col("dst").alias("key"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.lit(">"), "dst").alias("path"))
         fresh = step.groupBy("key").agg(F.min("distance").alias("distance"), F.min("path").alias("path")).join(reached.select("key"), "key", "left_anti")
-        frontier = checkpoint_table(fresh, "frontier")
+        frontier = write_scratch(fresh, "frontier")
         if frontier.isEmpty():
             break
-        reached = checkpoint_table(reached.union(frontier), "reached")
+        reached = write_scratch(reached.union(frontier), "reached")
     return reached
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from quarry.plans.base import FILES, chunks, chunks_sql, files, query, questions
 from quarry.plans.relation_plans import SEEDS, seed_rows, typed_chunks
 from quarry.plans.source_plans import code_files, stored
 from quarry.plans.vector_plans import RESULTS, results
+from quarry.session import scratch_path
 from quarry.sources import records_io
 from quarry.sources.files import EMBED_EXTENSIONS, INDEX_EXTENSIONS
 
@@ -62,35 +61,30 @@ def s16(spark, sf_dir):
     return stored(spark, sf_dir).limit(1).agg(F.count("*").alias("alive"))
 
 
-def _scratch(spark, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return f"{base.rstrip('/')}/quarry-{label}-{uuid.uuid4().hex}"
-
-
 @query("s17_index_round_trip", "SELECT vec_id, label, len(embedding) AS dimension FROM embeddings")
 def s17(spark, sf_dir):
-    vectors, path = table(spark, sf_dir, "embeddings"), _scratch(spark, "index")
+    vectors, path = table(spark, sf_dir, "embeddings"), scratch_path(spark, "index")
     vectors.write.parquet(path)
     return spark.read.schema(vectors.schema).parquet(path).select("vec_id", "label", F.size("embedding").cast("long").alias("dimension"))
 
 
 @query("s18_state_round_trip", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def s18(spark, sf_dir):
-    state, path = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")), _scratch(spark, "state")
+    state, path = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")), scratch_path(spark, "state")
     records_io.backup(state, path)
     return records_io.read_state(spark, path, "user_id long, n long")
 
 
 @query("k5_backup_restore", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def k5(spark, sf_dir):
-    rows, path = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), _scratch(spark, "backup")
+    rows, path = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), scratch_path(spark, "backup")
     records_io.backup(rows, path)
     return records_io.restore(spark, path, "c_custkey long, c_name string, c_acctbal double")
 
 
 @query("k8_csv_round_trip", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
 def k8(spark, sf_dir):
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     records_io.write_csv(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), path)
     return records_io.read_csv(spark, path)
 

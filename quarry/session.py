@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: By application: the own temporary folder of a local session, and the paths of the tables written so far.
+_OWN_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def local_session(app: str = "quarry", cores: int | str | None = None, **extra: str) -> SparkSession:
@@ -42,3 +51,49 @@ def on_workers_path(spark: SparkSession) -> None:
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in held.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, held) if p)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the session names none, a local session gets a temporary folder of its
+    own, removed when the process ends; on a cluster that is an error, as every
+    executor would write its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, _OWN_DIRS[app], ignore_errors=True)
+    return "file://" + _OWN_DIRS[app]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; ``drop_scratch`` removes what lies there."""
+    path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def write_scratch(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and return the reread table.
+
+    This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this application; results that still read them must be written before."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
