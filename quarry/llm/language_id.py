@@ -9,12 +9,15 @@ training; the language of least loss wins, and a text is flagged ambiguous
 where the runner-up is close.
 
 The classifiers are fitted on a bounded sample of labelled rows: at most
-``per_language`` texts a language (those of the least id hashes) and
-``sample_chars`` code points of each.  Prediction reads whole texts.
+``per_language`` texts a language, those whose id and text hash least.  The
+sample's texts are read whole too, on the executors; the driver gets their
+n-gram counts, at most 2^``BUCKET_BITS`` a text.
 
 ``und`` with score 0 is predicted for null texts, texts without a letter, and
-where nothing could be learned.  Repeated rows are predicted alike; ids may be
-null or repeated.  Only the named columns are read.
+where nothing could be learned, so an empty table trains no model.  Of languages
+with equal loss the first by name wins.  Rows repeated under one id with one
+text are one row of the sample and are predicted alike; ids may be null or
+repeated.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -144,16 +147,24 @@ class Model:
         return order[:, 0], share[rows, order[:, 0]], second
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 25, rate: float = 1.0) -> Model | None:
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of a text that occur, and how often."""
+    return np.unique(gram_features([text])[0], return_counts=True)
+
+
+def fit(texts: list[str], labels: list[str], rounds: int = 40, rate: float = 1.0) -> Model | None:
+    return fit_counts([gram_counts(t) for t in texts], labels, rounds, rate)
+
+
+def fit_counts(cells: list[tuple[np.ndarray, np.ndarray]], labels: list[str], rounds: int = 40, rate: float = 1.0) -> Model | None:
     """Logistic bit classifiers on mean-pooled n-grams, by full-batch Adagrad."""
     languages = sorted(set(labels))
     if not languages:
         return None
     code = codewords(len(languages))
-    buckets = 1 << BUCKET_BITS
-    cells = [np.unique(gram_features([t])[0], return_counts=True) for t in texts]  # text by text: bounded memory
-    r = np.repeat(np.arange(len(texts)), [len(g) for g, _ in cells])
-    g = np.concatenate([g for g, _ in cells]).astype(np.int64)
+    buckets, texts = 1 << BUCKET_BITS, cells
+    r = np.repeat(np.arange(len(texts), dtype=np.int32), [len(g) for g, _ in cells])
+    g = np.concatenate([g for g, _ in cells]).astype(np.int32)
     value = np.concatenate([c / max(1, c.sum()) for _, c in cells])
     y = code[[languages.index(x) for x in labels]]
     share = np.bincount(g, value, buckets) / max(1, len(texts))
@@ -173,25 +184,37 @@ def fit(texts: list[str], labels: list[str], rounds: int = 25, rate: float = 1.0
     return Model(languages, code, (tempered * weights * scale[:, None]).astype(np.float32), tempered * bias, np.clip(2 * right - 1, 0.05, 1.0))
 
 
-def sample_labelled(docs: DataFrame, label: Column, text: Column, key: Column, per_label: int, text_chars: int) -> list[tuple[str, str]]:
-    """(label, text) of at most ``per_label`` rows a label: those whose ids hash least.
+def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, h, text) to (label, h, grams, counts)."""
+    for batch in steps(batches):
+        cells = [gram_counts(t) for t in batch.column(2).to_pylist()]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g, _ in cells])]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([c[k] for c in cells]), pa.int32())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["label", "h", "grams", "counts"])
 
-    Counts by label fix a hash limit, so one filter finds the rows: none are sorted or shuffled.
+
+def sample_labelled(docs: DataFrame, label: Column, text: Column, key: Column, per_label: int) -> list[tuple[str, tuple[np.ndarray, np.ndarray]]]:
+    """(label, n-gram counts) of at most ``per_label`` distinct rows a label: those that hash least.
+
+    The number of distinct rows by label fixes a hash limit, so one filter finds the rows: none are
+    sorted.  Copies under one id, or under none, have one hash and count as one row.
     """
     span = 1 << 31
-    h = F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(span))
-    labelled = docs.select(label.cast("string").alias("label"), h.alias("h"), text.cast("string").alias("text")).where("label is not null and text <> ''")
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labelled = docs.select(label.cast("string").alias("label"), key.cast("string").alias("key"), text.cast("string").alias("text")).where("label is not null and text <> ''")
+    labelled = labelled.select("label", F.pmod(F.xxhash64("key", "text", F.lit("sample")), F.lit(span)).alias("h"), "text")
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     # a share of the hashes that holds per_label rows all but surely, and not many more
-    reach = {name: min(span, int(span * (1.1 * per_label + 60) / n) + 1) for name, n in counts.items()}
+    reach = {name: min(span, int(span * (1.2 * per_label + 60) / max(1, n)) + 1) for name, n in counts.items()}
     if not reach:
         return []
     limit = F.create_map(*[F.lit(x) for pair in reach.items() for x in pair])[F.col("label")]
-    rows = labelled.where(F.col("h") < limit).withColumn("text", F.substring("text", 1, text_chars)).collect()
-    out: list[tuple[str, str]] = []
+    bounded_batches(docs.sparkSession)
+    chosen = labelled.where(F.col("h") < limit).dropDuplicates(["label", "h"])
+    rows = chosen.select("label", "h", "text").mapInArrow(_sampled, "label string, h long, grams array<int>, counts array<int>").toArrow().to_pylist()
+    out = []
     for name in sorted(reach):
-        least = sorted((r["h"], r["text"]) for r in rows if r["label"] == name)[:per_label]
-        out += [(name, t) for _, t in least]
+        least = sorted((r for r in rows if r["label"] == name), key=lambda r: r["h"])[:per_label]
+        out += [(name, (np.array(r["grams"], np.int64), np.array(r["counts"], np.int64))) for r in least]
     return out
 
 
@@ -218,7 +241,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _COLUMNS)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 300, sample_chars: int = 2_000) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 500) -> Model | None:
     """Fit on a bounded sample of the labelled rows."""
-    rows = sample_labelled(docs, F.col(label_col), F.col(text_col), F.col(id_col), per_language, sample_chars)
-    return fit([t for _, t in rows], [x for x, _ in rows])
+    rows = sample_labelled(docs, F.col(label_col), F.col(text_col), F.col(id_col), per_language)
+    return fit_counts([cells for _, cells in rows], [x for x, _ in rows])
