@@ -11,13 +11,16 @@ logistic layer, and tokens likely to be toxic are returned as offsets.
 Labels exist for whole documents only, so token labels are derived from them:
 in documents labelled toxic, tokens are marked whose word or beginning is
 significantly more frequent there than in clean ones.  Only labels teach: the
-field is fitted on half of a bounded sample of labelled rows (``per_label`` rows
-a label, ``sample_chars`` code points each), the logistic layer on the other
-half, weighted to the labels' true shares.  Scoring reads whole texts.
+field is fitted on half of a bounded sample of labelled rows (at most
+``per_label`` whole texts a label), the logistic layer on the other half,
+weighted to the labels' true shares.  Scoring reads whole texts.
 
 Null and empty texts get the score of a text without tokens.  If no row of
-either label can be learned from, every score is the share of label 1 (0 where
-nothing is labelled).  Repeated rows score alike.  Only named columns are read.
+either label can be learned from, as on empty tables, every score is the share
+of label 1 (0 where nothing is labelled).  Where an id has several rows or
+labels, its text of least hash and its greatest label teach.  A score of exactly
+one half predicts label 1; of tied ids the lesser hash is sampled.  Repeated
+rows score alike, null ids too.  Only named columns are read.
 """
 
 from __future__ import annotations
@@ -81,7 +84,7 @@ def feature_buckets(tokens: Tokens) -> np.ndarray:
         keys[first, own] = np.uint64(101)
         keys[first[1:] - 1, own + 1] = np.uint64(202)
         keys[-1, own + 1] = np.uint64(202)
-    return (mix64(keys) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mix64(keys) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 @dataclass
@@ -93,7 +96,10 @@ class Chain:
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
     def emissions(self, buckets: np.ndarray) -> np.ndarray:
-        return self.weights[buckets].sum(axis=1, dtype=np.float64) + self.bias
+        out = np.full(len(buckets), self.bias)
+        for k in range(buckets.shape[1]):  # column by column: no array of all features' weights
+            out += self.weights[buckets[:, k]]
+        return out
 
     def forward_backward(self, score: np.ndarray, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-odds of the toxic state: from the left (own score included), from the right, and both."""
@@ -139,14 +145,16 @@ def fit_chain(tokens: Tokens, toxic: np.ndarray, rounds: int = 40, rate: float =
     after[tokens.sequence[:-1]] = False
     at = np.flatnonzero(after)
     seen_moves = np.bincount(2 * toxic[at - 1].astype(np.int64) + toxic[at], minlength=4).reshape(2, 2).astype(np.float64)
-    weights, flat = np.zeros(1 << BITS), buckets.reshape(-1)
+    weights, buckets = np.zeros(1 << BITS), np.asfortranarray(buckets)
     g_w, g_m, g_b = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6), 1e-6
     for _ in range(rounds):
         chain.weights = weights
         score = chain.emissions(buckets)
         left, right, both = chain.forward_backward(score, tokens.sequence)
         miss = y - 1.0 / (1.0 + np.exp(-np.clip(both, -40, 40)))
-        slope = np.bincount(flat, np.repeat(miss, buckets.shape[1]), 1 << BITS) - decay * n * weights
+        slope = -decay * n * weights
+        for k in range(buckets.shape[1]):
+            slope += np.bincount(buckets[:, k], miss, 1 << BITS)
         moves = seen_moves - chain.pair_counts(score, left, right, tokens.sequence)
         g_w += slope**2
         g_m += moves**2
@@ -233,6 +241,7 @@ def fit(rows: list[tuple[str, int]], shares: tuple[float, float]) -> Model:
         rest = train
     tokens = tokenize(*view(train))
     chain = fit_chain(tokens, derive_labels(tokens, label[train]))
+    del tokens
     held = tokenize(*view(rest))
     x = document_features(chain.marginals(held), held.row, len(rest))
     y = label[rest]
@@ -240,11 +249,12 @@ def fit(rows: list[tuple[str, int]], shares: tuple[float, float]) -> Model:
     return Model(chain, fit_logistic(x, y, weight), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1_500, sample_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1_500) -> Model:
     """Fit on a bounded sample: of each label the rows whose ids hash least.
 
     ``labels`` may have repeated and null rows (the greatest label of an id
-    counts).  Only the sample's ids, at most about 2.5 x ``per_label``, are broadcast.
+    counts).  Only the sample's ids, at most about 2.5 x ``per_label``, are broadcast,
+    and one text for each comes back, however often an id repeats.
     """
     span = 1 << 31
     keyed = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("k")).agg(F.max(label_col).cast("int").alias("y"))
@@ -254,7 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return fit([], (0.0, 0.0))
     limit = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, min(span, int(span * (1.2 * per_label + 60) / n) + 1))])[F.col("y")]
     chosen = keyed.where(F.col("h") < limit)
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, sample_chars).alias("text")).join(F.broadcast(chosen), "k").collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "k").groupBy("k", "y", "h").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("least")).select("k", "y", "h", "least.text").collect()
     # copies of one text count once, or their words would look typical of their label
     out = list({(y, text): (h, k, text, y) for h, k, text, y in sorted(((r["h"], r["k"], r["text"], r["y"]) for r in rows), reverse=True)}.values())
     kept = [r for y in (0, 1) for r in sorted(x for x in out if x[3] == y)[:per_label]]
