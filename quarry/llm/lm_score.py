@@ -1,25 +1,36 @@
 """Scoring texts with a hashed maximum-entropy language model.
 
 The model factors a token over classes: P(token) = P(class | context) *
-P(token | class).  The class is drawn from a softmax over hashed features of
-the context: the previous token's ending (n-gram), the ending of the one before
-(skip) and the classes of the last three tokens together.  Classes are the most
-frequent tokens, one each; word endings clustered by what stands before them;
-and two that repeat the last token or the one before it.  Within a class tokens
-have their add-one frequency.  Unknown tokens have, here as in the base model,
-the share 1 / (N + V + 1) altogether, so the two can be compared token by token.
+P(token | class, context).  Both factors are softmaxes over hashed features of
+the context, trained by gradient updates:
+
+* The class is drawn by the previous token's ending (n-gram), the ending of the
+  one before (skip) and the classes of the last three tokens together.  Classes
+  are the most frequent tokens, one each; word endings clustered by what stands
+  before them; and two that repeat the last token or the one before it.
+* Within its class a token t has (count + 1) * exp(f(t)) / Z.  The hash of t gives two
+  digits, and f adds a weight for each, from the rows of the previous token
+  (bigram) and of the token before it (skip), whole words hashed.  Z sums over
+  all tokens of the class: tokens of one class and equal digits share their f,
+  so the sum runs over ``CELLS`` masses, exactly.  The hashed rows grow with the
+  number of distinct tokens, from 2^12 to 2^``WORD_BITS``.
+
+Unknown tokens have, here as in the base model, the share 1 / (N + V + 1)
+altogether, so the two can be compared token by token.
 
 Training reads all training texts twice.  The first pass counts tokens and, for
 the clustering, endings by what stands before them.  The second makes the
 gradient updates: each partition runs Adagrad over its tokens from a common
 start, and every weight row is averaged over the partitions by how often they
-used it.  Scoring runs in numpy over sparse batches.
+used it.  Scoring runs in numpy over sparse batches, in log space.
 
 Only the most frequent tokens, at most ``HEAD_LIMIT``, reach every worker; the
-rest of a text's tokens are joined to the counts by a shuffle.  Nulls count as
-empty texts (the end token alone).  Without training texts the model is the
-base model.  Repeated rows score alike; rows with null ids are scored too.
-Only the named columns are read.
+rest of a text's tokens are joined to the counts by a shuffle and scored by the
+same formula, whichever side a token is on.  Nulls count as empty texts (the end
+token alone).  Without training texts, or on an empty table, the model is the
+base model.  Ties: of tokens of equal count the one of least hash becomes a
+class, and of clusters equally near the first is taken.  Repeated rows score
+alike; rows with null ids are scored too.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -44,6 +55,11 @@ CLASSES = SINGLES + CLUSTERS + 2
 ENDINGS, BEFORE, ROWS = 1024, 128, 4096
 #: Hash of the end token; its last byte cannot occur in a word.
 END = np.uint64(0xE5D_0F_7E87)
+#: Two digits of a token's hash, of so many values each, and the cells that they span.
+DIGIT = 16
+CELLS = DIGIT * DIGIT
+#: Most bits of the hashed rows of whole words.
+WORD_BITS = 17
 _START = 3  # tokens before a text's first have this ending bin
 BATCH = 8192
 
@@ -161,6 +177,9 @@ class Model:
     head_counts: np.ndarray
     tables: np.ndarray  # 3 x ROWS x CLASSES
     bias: np.ndarray
+    cells: np.ndarray  # CLASSES x DIGIT x DIGIT: sum of count + 1 by class and digits
+    word_bits: int
+    words: np.ndarray | None = None  # 2 x 2**word_bits x 2 DIGIT: rows of the previous token and the one before
 
     def classes(self, t: Tokens) -> np.ndarray:
         """The class of each token, repeats aside."""
@@ -180,50 +199,105 @@ class Model:
         h = t.hash.view(np.int64)
         return _shifted(h, 1, t.place, 0) == h, _shifted(h, 2, t.place, 0) == h
 
-    def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        """tokens x classes; a repeat is ruled out where the text has no such token yet."""
+    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
+        """tokens x classes, natural logarithms."""
         logits = self.tables[0][rows[0]]
         logits += self.tables[1][rows[1]]
         logits += self.tables[2][rows[2]]
         logits += self.bias
         logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return logits
 
-
-def _learn(model: Model, rate: float = 0.4):
+    def word_rows(self, t: Tokens) -> np.ndarray:
+        """2 x tokens: the hashed rows of the previous token and of the one before."""
+        rows = (mix64(t.hash) >> np.uint64(64 - self.word_bits)).astype(np.int64)
+        return np.stack([_shifted(rows, 1, t.place, _START), _shifted(rows, 2, t.place, _START)])
+
+    def within(self, rows: np.ndarray, own: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log f / Z of each token, and the probabilities of both digits; ``own`` must be ascending."""
+        logits = self.words[0][rows[0]]
+        logits += self.words[1][rows[1]]
+        n = len(own)
+        logits = logits.reshape(n, 2, DIGIT)
+        logits -= logits.max(axis=2, keepdims=True)
+        k = np.arange(n)
+        chosen = logits[k, 0, digits[0]].astype(np.float64) + logits[k, 1, digits[1]]
+        first, second = np.exp(logits[:, 0]), np.exp(logits[:, 1])
+        left, right = np.empty_like(first), np.empty_like(second)
+        edges = [*np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), n] if n else []
+        for a, b in zip(edges, edges[1:], strict=False):  # one class at a time
+            mass = self.cells[own[a]]
+            np.matmul(first[a:b], mass, out=right[a:b])
+            np.matmul(second[a:b], mass.T, out=left[a:b])
+        left *= first
+        right *= second
+        z = right.sum(axis=1, dtype=np.float64)
+        scale = (1.0 / np.maximum(z, 1e-30))[:, None].astype(np.float32)
+        return chosen - np.log(np.maximum(z, 1e-30)), left * scale, right * scale
+
+
+def digits_of(hashes: np.ndarray) -> np.ndarray:
+    """2 x tokens: the two digits of each hash (bits 8 to 11 and 12 to 15)."""
+    return np.stack([hashes >> np.uint64(8), hashes >> np.uint64(12)]).astype(np.int64) & (DIGIT - 1)
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, index: np.ndarray, miss: np.ndarray, rate: float) -> None:
+    """One Adagrad update of the rows that a batch uses."""
+    kinds, slope = _sum_rows(index, miss)
+    squares[kinds] += slope * slope
+    weights[kinds] += rate * slope / np.sqrt(squares[kinds])
+
+
+def _learn(model: Model, rate: float = 0.4, word_rate: float = 0.4):
     """Adagrad over a partition's tokens; yields each table row with its use and use-weighted weights."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = Model(**{**model.__dict__, "tables": model.tables.copy(), "bias": model.bias.copy()})
+        size = 1 << model.word_bits
+        words = np.zeros((2, size, 2 * DIGIT), np.float32)
+        local = Model(**{**model.__dict__, "tables": model.tables.copy(), "bias": model.bias.copy(), "words": words})
         squares, used = np.full_like(local.tables, 1e-3), np.zeros((3, ROWS))
+        word_squares, word_used = np.full_like(words, 1e-3), np.zeros((2, size))
         bias_squares, seen = np.full(CLASSES, 1e-3, np.float32), 0
         for batch in steps(batches, "text"):
             t = read_tokens(*byte_view(batch.column(0)))
             own = local.classes(t)
-            rows = local.context(t, own)
+            rows, word_rows, digits = local.context(t, own), local.word_rows(t), digits_of(t.hash)
             again, skip = local.repeats(t)
             target = np.where(again, REPEAT, np.where(skip, SKIP_REPEAT, own))
             for k in range(3):
                 used[k] += np.bincount(rows[k], minlength=ROWS)
             seen += len(own)
             for at in range(0, len(own), BATCH):
-                part, goal = rows[:, at : at + BATCH], target[at : at + BATCH]
-                miss = -local.probabilities(part)
+                z = slice(at, at + BATCH)
+                goal = target[z]
+                miss = -np.exp(local.log_probabilities(rows[:, z]))
                 miss[np.arange(len(goal)), goal] += 1.0
                 for k in range(3):
-                    index, slope = _sum_rows(part[k], miss)
-                    squares[k][index] += slope * slope
-                    local.tables[k][index] += rate * slope / np.sqrt(squares[k][index])
+                    _step(local.tables[k], squares[k], rows[k, z], miss, rate)
                 slope = miss.sum(axis=0)
                 bias_squares += slope * slope
                 local.bias += rate * slope / np.sqrt(bias_squares)
+                # the token within its class; classes of one token have nothing to learn there
+                order = np.argsort(goal.astype(np.int8), kind="stable")
+                order = order[slice(*np.searchsorted(goal[order], [SINGLES, REPEAT]))]
+                if not len(order):
+                    continue
+                here, digit, n = word_rows[:, z][:, order], digits[:, z][:, order], np.arange(len(order))
+                _, first, second = local.within(here, goal[order], digit)
+                miss = -np.concatenate([first, second], axis=1)
+                miss[n, digit[0]] += 1.0
+                miss[n, DIGIT + digit[1]] += 1.0
+                for k in range(2):
+                    _step(words[k], word_squares[k], here[k], miss, word_rate)
+                    word_used[k] += np.bincount(here[k], minlength=size)
         weights = np.concatenate([local.tables.reshape(-1, CLASSES), local.bias[None]])
-        use = np.append(used.reshape(-1), seen)
-        some = np.flatnonzero(use)
-        scaled = (weights[some] * use[some, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(use[some]), *(pa.array(scaled[:, c]) for c in range(CLASSES))], ["row", "used", *(f"w{c}" for c in range(CLASSES))])
+        for start, table, use in ((0, weights, np.append(used.reshape(-1), seen)), (len(weights), words.reshape(-1, 2 * DIGIT), word_used.reshape(-1))):
+            some = np.flatnonzero(use)
+            for a in range(0, len(some), BATCH):
+                part = some[a : a + BATCH]
+                scaled = (table[part] * use[part, None]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(start + part, pa.int32()), pa.array(use[part]), *(pa.array(scaled[:, c]) for c in range(CLASSES))], ["row", "used", *(f"w{c}" for c in range(CLASSES))])
 
     return run
 
@@ -233,10 +307,11 @@ def train(texts: DataFrame) -> tuple[Model | None, DataFrame | None]:
     bounded_batches(texts.sparkSession)
     counted = write_shared(texts.select("text").mapInArrow(_count, "hash long, bin int, n long, block binary"), "counted")
     counts = write_shared(counted.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n"), F.min("bin").alias("bin")), "counts")
-    by_bin = np.zeros((ENDINGS, 2), np.int64)
-    for r in counts.groupBy("bin").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-        by_bin[r["bin"]] = r["n"], r["kinds"]
-    total, kinds = (int(x) for x in by_bin.sum(axis=0))
+    # at most ENDINGS x CELLS rows, whatever the corpus
+    cell = F.shiftright("hash", 8).bitwiseAND(CELLS - 1).cast("int").alias("cell")
+    by_cell = counts.groupBy("bin", cell).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
+    bin_of, cell_of, tokens_in, kinds_in = (by_cell[c].to_numpy() for c in ("bin", "cell", "n", "kinds"))
+    total, kinds = int(tokens_in.sum()), int(kinds_in.sum())
     if not total:
         return None, None
     # the least count of the head: as many tokens as the limit allows, whole counts only
@@ -260,21 +335,28 @@ def train(texts: DataFrame) -> tuple[Model | None, DataFrame | None]:
     for r in blocks.collect():
         matrix[r["bin"]] = np.frombuffer(r["block"], np.int64)
     cluster = SINGLES + cluster_endings(matrix)
-    mass = np.bincount(cluster, by_bin.sum(axis=1), CLASSES).astype(np.float64)
+    # the cell's number has the second digit in its upper bits
+    cells = np.bincount((cluster[bin_of] * DIGIT + cell_of % DIGIT) * DIGIT + cell_of // DIGIT, tokens_in + kinds_in, CLASSES * CELLS).reshape(CLASSES, DIGIT, DIGIT)
     for k, i in enumerate(top.tolist()):
-        mass[k] = number[i] + 1
-        mass[cluster[bins[i]]] -= number[i] + 1
+        one, two = digits_of(hashes[i : i + 1])[:, 0]
+        cells[k, one, two] = number[i] + 1
+        cells[cluster[bins[i]], one, two] -= number[i] + 1
+    mass = cells.sum(axis=(1, 2))
     start = np.log(np.maximum(mass, 1) / mass.sum()).astype(np.float32)
     start[[REPEAT, SKIP_REPEAT]] = np.log(1e-3)
-    model = Model(total, kinds, hashes[top], cluster, mass, hashes, number, np.zeros((3, ROWS, CLASSES), np.float32), start)
+    bits = min(WORD_BITS, max(12, kinds.bit_length()))
+    model = Model(total, kinds, hashes[top], cluster, mass, hashes, number, np.zeros((3, ROWS, CLASSES), np.float32), start, cells.astype(np.float32), bits)
     columns = [f"w{c}" for c in range(CLASSES)]
     # the counts of the head are not needed here, so they do not travel with the task
     lean = Model(**{**model.__dict__, "head": np.zeros(0, np.uint64), "head_counts": np.zeros(0, np.int64)})
     learned = texts.select("text").mapInArrow(_learn(lean), "row int, used double, " + ", ".join(f"{c} float" for c in columns))
-    learned = learned.groupBy("row").agg(F.sum("used").alias("used"), *(F.sum(c).alias(c) for c in columns)).toArrow()
-    weights = np.zeros((3 * ROWS + 1, CLASSES), np.float32)
-    weights[learned["row"].to_numpy()] = np.stack([learned[c].to_numpy() for c in columns], axis=1) / learned["used"].to_numpy()[:, None]
-    model.tables, model.bias = weights[:-1].reshape(3, ROWS, CLASSES), weights[-1]
+    learned = learned.groupBy("row").agg(F.sum("used").alias("used"), *(F.sum(c).alias(c) for c in columns)).select("row", *((F.col(c) / F.col("used")).cast("float").alias(c) for c in columns))
+    learned = learned.toArrow()  # at most 3 ROWS + 1 + 2 * 2**WORD_BITS rows
+    weights = np.zeros((3 * ROWS + 1 + (2 << bits), CLASSES), np.float32)
+    at = learned["row"].to_numpy()
+    for c, name in enumerate(columns):
+        weights[at, c] = learned[name].to_numpy()
+    model.tables, model.bias, model.words = weights[: 3 * ROWS].reshape(3, ROWS, CLASSES), weights[3 * ROWS], weights[3 * ROWS + 1 :].reshape(2, 1 << bits, 2 * DIGIT)
     return model, counts.select("hash", "n")
 
 
@@ -292,7 +374,8 @@ def _score(load):
         model: Model = load()
         unknown = 1.0 / (model.total + model.kinds + 1)
         key = TaskContext.get().partitionId() << 33
-        log_mass = np.log10(np.maximum(model.mass, 1e-9))
+        log_mass = np.log(np.maximum(model.mass, 1e-9))
+        to_ten = 1.0 / np.log(10.0)
         for batch in steps(batches, "text"):
             t = read_tokens(*byte_view(batch.column(1)))
             n = batch.num_rows
@@ -303,18 +386,25 @@ def _score(load):
             count = np.where(there, model.head_counts[at] if len(model.head) else 0, 0)[inverse]
             known = there[inverse]
             own = model.classes(t)
-            rows = model.context(t, own)
+            rows, word_rows, digits = model.context(t, own), model.word_rows(t), digits_of(t.hash)
             again, skip = model.repeats(t)
             score, repeats, draws = (np.empty(len(own)) for _ in range(3))
             for a in range(0, len(own), BATCH):
                 z = slice(a, a + BATCH)
-                p, k = model.probabilities(rows[:, z]), np.arange(len(own[z]))
-                repeat = p[k, REPEAT] * again[z] + p[k, SKIP_REPEAT] * skip[z]
-                drawn = np.log10(p[k, own[z]]) - log_mass[own[z]]
+                mine = own[z]
+                p, k = model.log_probabilities(rows[:, z]), np.arange(len(mine))
+                drawn = p[k, mine].astype(np.float64)
+                order = np.argsort(mine.astype(np.int8), kind="stable")
+                alone = np.searchsorted(mine[order], SINGLES)
+                drawn[order[:alone]] -= log_mass[mine[order[:alone]]]
+                order = order[alone:]
+                drawn[order] += model.within(word_rows[:, z][:, order], mine[order], digits[:, z][:, order])[0]
+                with np.errstate(divide="ignore"):  # no repeat: log 0
+                    repeat = np.logaddexp(np.where(again[z], p[k, REPEAT].astype(np.float64), -np.inf), np.where(skip[z], p[k, SKIP_REPEAT].astype(np.float64), -np.inf))
                 # the frequency of a token of the tail is joined later
-                whole = np.log10(repeat + 10.0 ** (drawn + np.log10(count[z] + 1.0)))
-                score[z] = np.where(known[z], whole, drawn)
-                repeats[z], draws[z] = repeat * (1.0 - unknown), 10.0**drawn * (1.0 - unknown)
+                whole = np.logaddexp(repeat, drawn + np.log(count[z] + 1.0))
+                score[z] = np.where(known[z], whole, drawn) * to_ten
+                repeats[z], draws[z] = np.exp(repeat) * (1.0 - unknown), np.exp(drawn) * (1.0 - unknown)
             score += np.log10(1.0 - unknown)
             sums = lambda x: np.bincount(row[known], x[known], n)
             base = np.log10((count + 1.0) * unknown)
