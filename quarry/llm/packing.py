@@ -9,19 +9,23 @@ whose rest is routed anew.  So every window is exactly full.  At a partition's
 end, a document that finds no filler is cut at the next shorter tier, and the
 last few tokens are cut at powers of two, so nothing is padded.
 
-Sequences of one tier are dealt into step groups that hold the same number of
-tokens, whatever their tier.  Packing needs no exchange of rows: each partition
+Sequences of one size are dealt into step groups of exactly ``group_tokens``
+tokens.  What is left of all sizes at a partition's end is dealt, longest first,
+into groups of as many tokens; so every step group is equal but one a partition,
+the last, which holds the rest.  Packing needs no exchange of rows: each partition
 packs its own documents with at most ``buffer_tokens`` waiting, so the plan is
 the same at every size and a lost task only repeats its own partition.
 
 Null texts count as empty (the end id alone is packed).  Rows with a null id
-are packed too; repeated rows are packed once for each row.  A very long
-document streams through as whole windows.  Only the named columns are read.
+are packed too; repeated rows are packed once for each row.  An empty table has
+no pieces.  Of pieces that fill a gap equally well the latest is taken.  A very
+long document streams through as whole windows.  Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import zlib
 from array import array
@@ -167,6 +171,38 @@ class Packer:
         yield from self._pack(last=True)
 
 
+class StepGroups:
+    """Deals sequences into numbered groups of ``tokens`` tokens; an open group waits for each size."""
+
+    def __init__(self, tokens: int) -> None:
+        self.tokens, self.count = tokens, 0
+        self.open: dict[int, list] = {}
+
+    def _close(self, group: list) -> tuple[int, list]:
+        self.count += 1
+        return self.count - 1, group
+
+    def add(self, size: int, sequence) -> Iterator[tuple[int, list]]:
+        group = self.open.setdefault(size, [])
+        group.append(sequence)
+        if (len(group) + 1) * size > self.tokens:
+            yield self._close(self.open.pop(size))
+
+    def finish(self) -> Iterator[tuple[int, list]]:
+        """The rest, longest first: where each size divides the next, all these groups but the last are full too."""
+        group, held = [], 0
+        for size, sequences in sorted(self.open.items(), reverse=True):
+            for sequence in sequences:
+                if held + size > self.tokens:
+                    yield self._close(group)
+                    group, held = [], 0
+                group.append(sequence)
+                held += size
+        if group:
+            yield self._close(group)
+        self.open = {}
+
+
 def pack(
     docs: DataFrame,
     path: str | None = None,
@@ -186,22 +222,27 @@ def pack(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer, end = byte_ids(path), Packer(tiers), array("I", [END_ID]).tobytes()
         base = TaskContext.get().partitionId() << 33
-        in_tier: dict[int, int] = {}
-        groups: dict[tuple[int, int], int] = {}
         count = 0
         rows: list[tuple] = []
+        balance = StepGroups(group_tokens)
 
-        def place(sequence: tuple) -> None:
+        def describe(sequence: tuple) -> list[list]:
+            """The rows of a sequence, still without their step group."""
             nonlocal count
             size, pieces = sequence
-            at, k = 0, in_tier.get(size, 0)
-            in_tier[size] = k + 1
-            group = groups.setdefault((size, k * size // group_tokens), len(groups))
+            at, out = 0, []
             for doc_id, start, ids, total in pieces:
                 n = len(ids) // 4
-                rows.append((doc_id, start, n, zlib.crc32(ids), total, base + count, at, size, base + group, array("I", ids).tolist() if keep_ids else None))
+                out.append([doc_id, start, n, zlib.crc32(ids), total, base + count, at, size, None, array("I", ids).tolist() if keep_ids else None])
                 at += n
             count += 1
+            return out
+
+        def deal(groups: Iterable[tuple[int, list]]) -> None:
+            for number, group in groups:
+                for row in itertools.chain.from_iterable(group):
+                    row[8] = base + number
+                    rows.append(row)
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(10)]
@@ -215,10 +256,11 @@ def pack(
         for batch in steps(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 for sequence in packer.add(doc_id, encoder.encode(text) + end):
-                    place(sequence)
+                    deal(balance.add(sequence[0], describe(sequence)))
             yield flush()
         for sequence in packer.finish():
-            place(sequence)
+            deal(balance.add(sequence[0], describe(sequence)))
+        deal(balance.finish())
         yield flush()
 
     bounded_batches(docs.sparkSession)
