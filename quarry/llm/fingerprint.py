@@ -8,12 +8,14 @@ difference of two digests (sum of bucket distances, opposite quartiles counting
 double, plus the length codes' distance) into a number from 0 to 1.
 
 Equal texts have equal digests; null counts as empty, and the empty text has
-the all-zero digest.  Texts of one or two bytes count as they are padded with
+the all-zero digest.  Buckets of equal count get the same quartile, the lowest
+that holds one of them.  An empty table gives an empty result.  Texts of one or two bytes count as they are padded with
 zero bytes.  ``edited_pairs`` needs each document's successor by ascending id:
 documents are dealt by ranges whose borders are ids that occur, so a range
 needs just one foreign row, the head of the next range, and each text is
-shuffled once (heads twice).  Null ids come last; rows repeated under one id
-follow in the order of their texts.  Only the named columns are read.
+shuffled once (heads twice).  Rows without an id have no place in that order:
+for them the next document is empty.  Rows repeated under one id follow in the
+order of their texts.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches
@@ -105,15 +107,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _range_heads(docs: DataFrame, parts: int) -> list[int]:
-    """First ids of at most ``parts`` ranges of about equal size; all of them occur in the table."""
+#: Bytes of text that one range should hold.
+RANGE_BYTES = 32 << 20
+
+
+def _range_heads(docs: DataFrame) -> tuple[list[int], int]:
+    """First ids of ranges of about equal numbers of rows, all of which occur in the table, and the number of partitions.
+
+    There are as many as the texts' bytes ask for, at least one for each shuffle partition.
+    """
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("least")).first()
+    parts = max(least, -(-(size["bytes"] or 0) // RANGE_BYTES))
+    if size["least"] is None:
+        return [], parts
     probs = [k / parts for k in range(1, parts)] or [0.5]
-    row = docs.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", probs, max(10_000, 20 * parts)).alias("cuts")).first()
-    return [] if row["least"] is None else sorted({row["least"], *row["cuts"]})
+    cuts = docs.agg(F.percentile_approx("doc_id", probs, min(2_000_000, max(10_000, 20 * parts)))).first()[0]
+    return sorted({size["least"], *cuts}), parts
 
 
-def _deal(heads: list[int]):
-    """Adds the range of each row, and once more each range's head as the tail of the range before."""
+def _keys_of(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each range a number that the shuffle's hash sends to the partition of that range alone."""
+    tries = int(parts * (np.log(parts + 1) + 8)) + 1
+    place = F.pmod(F.hash("id"), F.lit(parts))
+    found = spark.range(tries).groupBy(place.alias("part")).agg(F.min("id").alias("key")).toArrow()
+    keys = np.arange(tries, tries + parts)  # a range without one, all but never, shares a partition
+    keys[found["part"].to_numpy()] = found["key"].to_numpy()
+    return keys
+
+
+def _deal(heads: list[int], keys: np.ndarray):
+    """Adds the key of each row's range, and once more each range's head as the tail of the range before."""
     edges = np.array(heads, np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +145,13 @@ def _deal(heads: list[int]):
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            part = np.where(known, np.maximum(np.searchsorted(edges, values, side="right") - 1, 0), max(0, len(edges) - 1))
+            # rows without an id go round all partitions
+            part = np.where(known, np.maximum(np.searchsorted(edges, values, side="right") - 1, 0), np.arange(len(values)) % len(keys))
             names = ["doc_id", "text", "part", "tail"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int64()), pa.array(np.zeros(len(part), bool))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[part]), pa.array(np.zeros(len(part), bool))], names)
             if len(edges) and (at := np.flatnonzero(known & np.isin(values, edges))).size:
                 rows = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((part[at] - 1) % len(edges), pa.int64()), pa.array(np.ones(len(at), bool))], names)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys[(part[at] - 1) % len(edges)]), pa.array(np.ones(len(at), bool))], names)
 
     return run
 
@@ -154,29 +179,35 @@ def _score(rows: list[tuple], following: list[int]) -> pa.RecordBatch:
 
 
 def _pair_up(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range, tails last, then id: pairs every row with the next one."""
+    """Rows sorted by range, then id, the next range's head last: pairs every row with the next one."""
     held: list[tuple] = []  # rows whose successor may still come
-    first, at, ended, size = None, None, False, 0
+    nameless: list[tuple] = []
+    at, size, nameless_size = None, 0, 0
 
-    def close() -> Iterator[pa.RecordBatch]:
-        """The range ended without a tail: only where no id is known; the first row follows the last."""
-        if held:
-            yield _score([*held, first], list(range(1, len(held) + 1)))
+    def alone() -> pa.RecordBatch:
+        return _score([*nameless, (None, "")], [len(nameless)] * len(nameless))
 
     for batch in batches:
         for doc_id, text, part, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             row = (doc_id, text or "")
-            if part != at:
-                yield from close()
-                held, first, at, ended, size = [], row, part, False, 0
-            if ended:
+            if doc_id is None:
+                nameless.append(row)
+                nameless_size += len(row[1])
+                if nameless_size >= limit:
+                    yield alone()
+                    nameless, nameless_size = [], 0
                 continue
+            if part != at:
+                held, at, size = [], part, 0
+            if tail and not held:
+                continue  # a head that occurs repeatedly: the first one was the successor
             held.append(row)
             size += len(row[1])
             if tail or size >= limit and len(held) > 1:
                 yield _score(held, list(range(1, len(held))))
-                held, size, ended = [] if tail else held[-1:], len(row[1]), tail
-    yield from close()
+                held, size = [] if tail else held[-1:], len(row[1])
+    if nameless:
+        yield alone()
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,8 +219,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    heads = _range_heads(rows.select("doc_id"), parts)
-    dealt = rows.mapInArrow(_deal(heads), "doc_id long, text string, part long, tail boolean")
+    heads, parts = _range_heads(rows)
+    dealt = rows.mapInArrow(_deal(heads, _keys_of(spark, parts)), "doc_id long, text string, part long, tail boolean")
     ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "tail", F.asc_nulls_last("doc_id"), "text")
     return ordered.mapInArrow(_pair_up, _EDITED)
