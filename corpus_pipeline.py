@@ -10,6 +10,14 @@ columns of ``documents``:
 * near_dedup keeps one document of each near-duplicate component;
 * secret_scan keeps every document and redacts the secrets in its text;
 * packing cuts and packs all that is left into training sequences.
+
+Null texts count as empty and stay null until packing, where they are one end
+token; exact_dedup keeps one of all texts without a visible character.  Of rows
+repeated under one id with one text, one stays.  Rows without an id cannot be
+named: toxicity judges them like others, then one stays of those that share a
+text, and none if a row with an id has it; near_dedup compares no further.  Ties
+go to the smaller id.  Very long texts are read whole.  Empty tables pass through
+every stage.  Columns beyond those of ``documents`` are kept until packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,24 +29,29 @@ from quarry.llm.common import crc_remainder, keep_marked, write_shared
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score 0.5 or more; null and empty texts score as texts without tokens."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(crc_remainder("doc_id", 5) != 0))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts equal but for white space: the longest, then the smallest id."""
     return keep_marked(docs, exact_dedup.exact_groups(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each near-duplicate component; empty texts are linked with nothing and stay."""
     return keep_marked(docs, near_dedup.near_duplicates(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets replaced; n_chars follows, null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a packed sequence; a null or empty text is one end token."""
     return packing.pack(docs)
 
 
