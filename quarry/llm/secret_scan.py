@@ -11,8 +11,9 @@ forwards and backwards and holds only the latest end, then the earliest start,
 of each role, so it is linear however many parts a text has, and since a scope
 never leaves its text, no rows move between tasks.
 
-Null and empty texts have no spans; very long texts are scanned whole.
-Repeated rows give the same result each.  Offsets are code points, ends
+Null and empty texts have no spans, and an empty table gives an empty result;
+very long texts are scanned whole.  Spans of one start are listed in the order of
+their kinds.  Repeated rows give the same result each, null ids too.  Offsets are code points, ends
 exclusive.  Only the named columns are read.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -80,8 +82,15 @@ def linked_weak_spans(text: str, lower: str, base: list[Span], scope: int) -> li
             if any(reach[o] is not None and near - reach[o] <= 2 * scope for o in others):
                 found.add((start, end, kind))
             reach[role] = far if reach[role] is None else max(reach[role], far)
-    covered = sorted((s, e) for s, e, _ in base)
-    return [p for p in weak if p in found and not any(s < p[1] and p[0] < e for s, e in covered)]
+    starts, ends = [], []  # the base spans as disjoint intervals, so one search tells whether a part meets any
+    for start, end, _ in base:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    free = lambda p: (k := bisect_left(starts, p[1])) == 0 or ends[k - 1] <= p[0]
+    return [p for p in weak if p in found and free(p)]
 
 
 def all_spans(text: str, scope: int) -> tuple[list[Span], list[Span]]:
