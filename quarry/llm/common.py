@@ -7,8 +7,6 @@ counting run as array operations over many documents at once.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,47 +14,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import on_workers_path
+from quarry.session import on_workers_path, write_scratch
 
 #: Bytes of text that one array step handles; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
-_OWN_DIRS: dict[str, str] = {}
+#: Most bytes of one Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Bound the session's Arrow batches to ``rows`` rows and ``BATCH_BYTES``: texts may be long, and a batch is held whole on both sides.
 
-    Only where the session names none, as in local tests, an own temporary
-    folder is set up.
+    Plans run later than they are built, so the bounds stay in the session; a lower bound of its own is kept.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return _OWN_DIRS[app]
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Lower the session's Arrow batch size to ``rows``: texts may be long, and a batch is held whole on both sides."""
     on_workers_path(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(spark.conf.get(name))
-    if not 0 < held <= rows:
-        spark.conf.set(name, str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(name).rstrip("b")
+        held = int(held) if held.lstrip("-").isdigit() else 0
+        if not 0 < held <= most:
+            spark.conf.set(name, str(most))
 
 
 def write_shared(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the reread table.
+    """The table, written to the shared folder and read again (see ``write_scratch``)."""
+    return write_scratch(df, label)
+
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
+#: At most so many keys count as hot, whatever the table: a key is hot beyond this share of the rows.
+HOT_KEYS = 10_000
+
+
+def unique_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", sizes: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """``left`` joined to ``right``, which has one row a key, though one key may hold a third of ``left``.
+
+    ``left`` must be a written table, as it is counted first, unless ``rows`` gives its count.  Keys with more than
+    max(512, rows / ``HOT_KEYS``) rows are split by a hash of the ``spread`` columns, and
+    their row of ``right`` is repeated once a part.  At most ``HOT_KEYS`` keys can
+    be that frequent, so their list is broadcast at every size.  ``sizes`` may give
+    the rows of each key as (keys, n); they are counted otherwise.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    limit = max(512, (left.count() if rows is None else rows) // HOT_KEYS)
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("n")) if sizes is None else sizes
+    hot = F.broadcast(sizes.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = left.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    copies = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies.hint("merge"), [*keys, "_part"], how).drop("_part")
 
 
 def crc_remainder(id_col: str, divisor: int) -> Column:
@@ -115,15 +120,20 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, kept between calls."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps_ = np.full(size, base & ((1 << 64) - 1), np.uint64)
-            steps_[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps_)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Powers that are kept between calls; those of longer texts are made anew.
+_KEPT_POWERS = (1 << 20) + 1
+
+
+def _powers(n: int, which: int) -> np.ndarray:
+    """The first n powers of the base (0) or of its inverse (1)."""
+    if len(_POWERS[which]) < n:
+        made = np.full(max(n, min(2 * n, _KEPT_POWERS)), (_BASE, _INVERSE)[which] & ((1 << 64) - 1), np.uint64)
+        made[0] = 1
+        np.multiply.accumulate(made, out=made)
+        if n > _KEPT_POWERS:
+            return made[:n]
+        _POWERS[which] = made
+    return _POWERS[which][:n]
 
 
 def byte_classes(members: Iterable[int], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -166,15 +176,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
 
 def prefix_hashes(data: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Cumulative polynomial sums; ``span_hashes`` reads any span's hash off them."""
-    power, _ = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((value[data].astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    terms = total[1:]
+    terms[:] = value[data]
+    terms += np.uint64(1)
+    terms *= _powers(len(data) + 1, 0)[: len(data)]
+    np.cumsum(terms, out=terms)
     return total
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
-    _, inverse = _powers(len(prefix))
+    inverse = _powers(len(prefix), 1)
     return mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -202,12 +215,17 @@ def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """``docs`` without the ids that ``marked`` (doc_id, kept) drops.
 
     An id is dropped if none of its rows is kept.  Of rows that repeat under one
-    id with the same text one stays.  Rows with a null id cannot be named and stay.
+    id with the same text one stays.  Rows with a null id cannot be named, so
+    their texts decide: of those with the same text one stays, and none if a row with an id has that text.
     """
     marked = write_shared(marked.select("doc_id", "kept"), "marked")
     by_id = marked.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     left = anti_join_ids(docs, by_id.where("not kept"))
     repeated = by_id.where("kept and n > 1").select("doc_id")
-    if repeated.isEmpty():
+    if not repeated.isEmpty():
+        left = anti_join_ids(left, repeated).unionByName(semi_join_ids(left, repeated, "doc_id").dropDuplicates(["doc_id", "text"]))
+    if marked.where("doc_id is null").isEmpty():
         return left
-    return anti_join_ids(left, repeated).unionByName(semi_join_ids(left, repeated, "doc_id").dropDuplicates(["doc_id", "text"]))
+    named = docs.where("doc_id is not null").select(F.sha2("text", 256).alias("_text"))
+    nameless = docs.where("doc_id is null").withColumn("_text", F.sha2("text", 256)).dropDuplicates(["_text"])
+    return left.where("doc_id is not null").unionByName(nameless.join(named, "_text", "left_anti").select(*docs.columns))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, write_shared
+from quarry.llm.common import bounded_batches, unique_join, write_shared
 
 SPACE = b" \t\n\x0b\x0c\r"
 DIGEST = "doc_id long, n_chars long, digest binary"
@@ -126,8 +126,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     white space) and n_chars (code points of the whole text).
     """
     digests = write_shared(digest_rows(docs, id_col, text_col), "digests")
-    groups = merge_runs(digests).select("digest", "keep_id", "group_size")
-    return digests.join(groups, "digest").select(
+    groups = write_shared(merge_runs(digests).select("digest", "keep_id", "group_size"), "groups")
+    # a text's copies may be a third of all rows: such digests are split
+    joined = unique_join(digests, groups, ["digest"], ["doc_id", "n_chars"], sizes=groups.select("digest", F.col("group_size").alias("n")))
+    return joined.select(
         "doc_id",
         "keep_id",
         "group_size",

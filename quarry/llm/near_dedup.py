@@ -3,7 +3,7 @@
 1. A text's set holds the hashes of its distinct five-word shingles.  Texts of
    equal sets are one *set* from here on, under its least doc_id, so copies are
    never expanded.
-2. Each set has 128 minima, each under its own universal hash (a * x + b), in 32
+2. Each set has 128 minima, each under its own universal hash (multiply-shift), in 32
    bands of four: sets with similarity 0.75 share no band about once in 200,000 pairs.
 3. Sets that share a band are candidates.  In buckets of at most ``small`` sets
    every pair is one; larger buckets first compare every set with the bucket's
@@ -23,6 +23,14 @@
    of sizes.  This loses no pair, and a group of copies edited apart never
    meets itself.
 
+A bucket, a pivot, a hub and a group of copies may each hold a third of all
+rows: joins on them that carry signatures or sets go through ``unique_join``,
+which splits such keys; those of bare ids are left to AQE.
+
+Full sets are sets of 64-bit shingle hashes: two different shingles of a pair
+agree with probability 2**-64, so no result depends on the minima.  (Words
+built to collide, such as Thue-Morse strings of a thousand letters, can.)
+
 Null and empty texts, and those of white space only, have empty sets and no
 links.  Rows with a null id get the component of their set if one of its rows
 has an id, else null.  Repeated rows are copies.  Empty tables give empty
@@ -39,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_WORDS, bounded_batches, byte_view, mix64, prefix_hashes, semi_join_ids, span_hashes, steps, word_spans, write_shared
+from quarry.llm.common import SPACE_WORDS, bounded_batches, byte_view, mix64, prefix_hashes, semi_join_ids, span_hashes, steps, unique_join, word_spans, write_shared
 from quarry.llm.components import components
 
 WORDS = 5
@@ -48,8 +56,9 @@ ROWS = MINIMA // BANDS
 #: A shingle of at most so many sets of mixed buckets is rare.
 RARE = 16
 _DRAW = np.random.default_rng(75)
-_A = _DRAW.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _DRAW.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
+#: Multiply-shift: h(x) = (a * x + b mod 2**64) >> 32 with a, b below 2**64 is pairwise independent for 32-bit x.
+_A = _DRAW.integers(0, 1 << 64, MINIMA, dtype=np.uint64)
+_B = _DRAW.integers(0, 1 << 64, MINIMA, dtype=np.uint64)
 _PLACE = _DRAW.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -83,9 +92,11 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.full((len(offsets) - 1, MINIMA), 0xFFFFFFFF, np.uint32)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        x, heads = (hashes >> np.uint64(32)).astype(np.uint32), offsets[some]
+        x, heads, drawn = hashes >> np.uint64(32), offsets[some], np.empty(len(hashes), np.uint64)
         for k in range(MINIMA):
-            out[some, k] = np.minimum.reduceat(x * _A[k] + _B[k], heads)
+            np.multiply(x, _A[k], out=drawn)
+            drawn += _B[k]
+            out[some, k] = np.minimum.reduceat(drawn, heads) >> np.uint64(32)
     return out
 
 
@@ -134,7 +145,7 @@ def _alike(least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(byte_view(batch.column(k))[0].tobytes(), np.uint32).reshape(-1, MINIMA) for k in (2, 3))
+            x, y = (np.frombuffer(byte_view(batch.column(k))[0], np.uint32).reshape(-1, MINIMA) for k in (2, 3))
             keep = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -160,12 +171,14 @@ def _confirm(percent: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = np.intersect1d(s, t, assume_unique=True).size
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            mask = pa.array(keep, pa.bool_())
+            (left, i), (right, j) = byte_view(batch.column(2)), byte_view(batch.column(3))
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):  # views into the batch: no set is copied
+                x, y = left[i[k] : i[k + 1]].view(np.uint64), right[j[k] : j[k + 1]].view(np.uint64)
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    common = np.intersect1d(x, y, assume_unique=True).size
+                    keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
+            mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     return run
@@ -180,10 +193,18 @@ class _Linker:
         self.least = int(np.ceil(MINIMA * (p - margin * np.sqrt(p * (1 - p) / MINIMA))))
         self.known: DataFrame | None = None  # (node, component)
 
+    @staticmethod
+    def _with_ends(pairs: DataFrame, sides: DataFrame, held: str) -> DataFrame:
+        """Written pairs (a, b) with what ``sides`` (rep, held) has of both ends.
+
+        ``a`` is the end that very many pairs may share (a bucket's least set, a hub), so it is split.
+        """
+        side = lambda end: sides.select(F.col("rep").alias(end), F.col(held).alias(f"{held}_{end}"))
+        return unique_join(pairs, side("a"), ["a"], ["b"]).join(side("b"), "b").select("a", "b", f"{held}_a", f"{held}_b")
+
     def alike(self, pairs: DataFrame) -> DataFrame:
         """Candidates (a, b) whose signatures agree well enough."""
-        side = lambda name, sign: self.sets.select(F.col("rep").alias(name), F.col("signature").alias(sign))
-        joined = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb")
+        joined = self._with_ends(write_shared(pairs, "candidates"), self.sets, "signature")
         alike = joined.mapInArrow(_alike(self.least), "a long, b long")
         return alike.distinct() if self.repeated else alike  # any texts of two ids may be alike
 
@@ -191,26 +212,22 @@ class _Linker:
         """Pairs whose ends are not connected yet."""
         if self.known is None:
             return pairs
-        for end in ("a", "b"):
-            pairs = pairs.join(self.known.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-        return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        return self._components_of(self._components_of(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Confirm pairs on full sets and renew the components."""
+        """Confirm written pairs on full sets and renew the components."""
         ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
         ends = write_shared(ends, "ends")
         full = semi_join_ids(self.docs, ends, "rep").mapInArrow(_sets_of, "rep long, hashes binary")
         if self.repeated:  # any text of an id may confirm its links, but each only once
             full = full.distinct()
-        full = write_shared(full, "sets")
-        side = lambda name, held: full.select(F.col("rep").alias(name), F.col("hashes").alias(held))
-        joined = pairs.join(side("a", "ha"), "a").join(side("b", "hb"), "b").select("a", "b", "ha", "hb")
-        links = write_shared(joined.mapInArrow(_confirm(self.percent), "a long, b long"), "confirmed")
-        if links.isEmpty():
-            return
+        joined = self._with_ends(pairs, write_shared(full, "sets"), "hashes")
+        links = joined.mapInArrow(_confirm(self.percent), "a long, b long")
         if self.known is not None:  # each set's link to its component stands for all links before
             links = links.union(self.known.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-        self.known = write_shared(components(links), "components")
+        links = write_shared(links, "confirmed")
+        if not links.isEmpty():
+            self.known = write_shared(components(links), "components")
 
     def link(self, pairs: DataFrame, sparing: bool = False) -> None:
         """Confirm what is needed of the candidates: all that lies across, if ``sparing`` one pair a set first."""
@@ -224,7 +241,6 @@ class _Linker:
                 return
             self.confirm(left)
 
-
     def _components_of(self, rows: DataFrame, name: str, out: str) -> DataFrame:
         """Adds the component of a set (itself while it has no links)."""
         if self.known is None:
@@ -237,54 +253,71 @@ class _Linker:
         placed = self._components_of(self._components_of(large.select("band", "rep", "pivot"), "rep", "c"), "pivot", "pc")
         mixed = placed.where("c <> pc").select("band").distinct()
         members = write_shared(placed.join(mixed, "band", "left_semi").select("band", "rep", "c"), "members")
+        if members.isEmpty():
+            return
         reps = write_shared(members.select("rep").distinct(), "reps")
         tokens = semi_join_ids(self.docs, reps, "rep").mapInArrow(_tokens_of, "rep long, token long")
         tokens = write_shared(tokens.distinct() if self.repeated else tokens, "tokens")
         spread = tokens.groupBy("token").agg(F.count("*").alias("sets"))
         spread = write_shared(tokens.join(spread, "token").withColumn("rare", F.col("sets") <= RARE), "spread")
-        stats = spread.groupBy("rep").agg(F.avg("sets").alias("common"))
-        rare = spread.where("rare and sets > 1").select("rep", "token")
-        stats = write_shared(stats, "stats")
+        frequent = F.collect_list(F.when(~F.col("rare"), F.col("token"))).alias("frequent")
+        profiles = write_shared(spread.groupBy("rep").agg(F.avg("sets").alias("common"), F.collect_list("token").alias("tokens"), frequent), "profiles")
+        stats = profiles.select("rep", "common")
         hub = F.max_by(F.col("rep"), F.struct("common", -F.col("rep"))).alias("hub")
         hubs = write_shared(members.join(stats, "rep").groupBy("band").agg(hub), "hubs")
-        near_hub = self._components_of(members.join(hubs, "band"), "hub", "hc").where("c <> hc")
-        self.link(self.alike(near_hub.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()))
+        hubbed = members.join(hubs, "band")
+        near_hub = self._components_of(hubbed, "hub", "hc").where("c <> hc")
+        self.link(self.alike(near_hub.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()))
 
-        members = self._components_of(self._components_of(members.drop("c").join(hubs, "band"), "rep", "c"), "hub", "hc")
+        members = self._components_of(self._components_of(hubbed.drop("c"), "rep", "c"), "hub", "hc")
         # sets that meet in several buckets of one component meet once
         members = write_shared(members.groupBy("hc", "rep").agg(F.min("c").alias("c")).withColumn("outside", F.col("c") != F.col("hc")), "members")
-        pairs = self._sharing_rare(members, rare).union(self._near_without(members, spread, stats)).distinct()
-        self.link(self.alike(pairs))
+        if members.where("outside").isEmpty():
+            return
+        pairs = self._sharing_rare(members, spread)
+        if (without := self._near_without(members, profiles)) is not None:
+            pairs = pairs.union(without)
+        self.link(self.alike(pairs.distinct()))
 
     @staticmethod
-    def _sharing_rare(members: DataFrame, rare: DataFrame) -> DataFrame:
+    def _sharing_rare(members: DataFrame, spread: DataFrame) -> DataFrame:
         """Pairs of an outside set and another component's set that share a shingle of few sets."""
-        own = rare.join(members.groupBy("rep").agg(F.min("c").alias("c"), F.bool_or("outside").alias("outside")), "rep")
-        asking = own.where("outside").select("token", F.col("rep").alias("x"), F.col("c").alias("cx"))
-        met = asking.join(own.select("token", F.col("rep").alias("y"), F.col("c").alias("cy")), "token").where("cx <> cy")
+        rare = spread.where("rare and sets > 1").select("rep", "token")
+        own = members.groupBy("rep").agg(F.min("c").alias("c"), F.bool_or("outside").alias("outside"))
+        asking = rare.join(own.where("outside"), "rep").select("token", F.col("rep").alias("x"), F.col("c").alias("cx"))
+        met = asking.join(rare.select("token", F.col("rep").alias("y")), "token").where("x <> y").select("x", "cx", "y").distinct()
+        met = met.join(own.select(F.col("rep").alias("y"), F.col("c").alias("cy")), "y").where("cx <> cy")
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    def _near_without(self, members: DataFrame, spread: DataFrame, stats: DataFrame) -> DataFrame:
-        """Pairs round one hub that may be near enough although they share no rare shingle.
+    def _near_without(self, members: DataFrame, profiles: DataFrame) -> DataFrame | None:
+        """Pairs round one hub that may be near enough although they share no rare shingle, if there can be any.
 
         Their common shingles lie in the hub, at most as many as either has
         there, or outside it and are not rare; that bounds the intersection.
+        Outside sets are bounded first: what is too small for any partner asks nothing.
         """
         need = self.percent / (100 + self.percent)  # of both sizes together
-        best = members.where("not outside").join(stats, "rep").groupBy("hc").agg(F.max_by("rep", F.struct("common", -F.col("rep"))).alias("rep"))
-        centre = best.join(spread.select("rep", "token"), "rep").select("hc", "token", F.lit(True).alias("inner"))
-        placed = members.join(spread, "rep").join(centre, ["hc", "token"], "left")
-        inner = F.coalesce("inner", F.lit(False))
-        if self.repeated:  # texts that share an id are one set here, so nothing bounds what each has
-            size = count = F.lit(1).cast("long")
-            other = F.lit(0).cast("long")
-        else:
-            size, count, other = F.count("*"), F.count_if(inner), F.count_if(~inner & ~F.col("rare"))
-        own = write_shared(placed.groupBy("hc", "rep", "c", "outside").agg(size.alias("size"), count.alias("inner"), other.alias("other")), "bounds")
+        best = members.where("not outside").join(profiles.select("rep", "common"), "rep").groupBy("hc").agg(F.max_by("rep", F.struct("common", -F.col("rep"))).alias("rep"))
+        centre = write_shared(best.join(profiles, "rep").select("hc", F.col("tokens").alias("centre")), "centre")
+        sizes, rows = members.groupBy("hc").agg(F.count("*").alias("n")), members.count()
+
+        def bounds(some: DataFrame) -> DataFrame:
+            """(hc, rep, c, size, inner, other): one row a set; its shingles stay one array."""
+            placed = unique_join(some.join(profiles.drop("common"), "rep"), centre, ["hc"], ["rep"], sizes=sizes, rows=rows)
+            if self.repeated:  # texts that share an id are one set here, so nothing bounds what each has
+                size, inner, other = F.lit(1), F.lit(1), F.lit(0)
+            else:
+                size, inner, other = F.size("tokens"), F.size(F.array_intersect("tokens", "centre")), F.size(F.array_except("frequent", "centre"))
+            return placed.select("hc", "rep", "c", size.alias("size"), inner.alias("inner"), other.alias("other"))
+
         high = (F.col("inner") + F.col("other")) / need - F.col("size")  # the largest partner that these shingles allow
         low = F.col("size") * (self.percent / 100)
+        asking = write_shared(bounds(members.where("outside")).where(high >= low - 1e-6), "asking")
+        if asking.isEmpty():
+            return None
+        own = write_shared(bounds(members.join(asking.select("hc").distinct(), "hc", "left_semi")), "bounds")
         bin_of = lambda x: F.floor(F.ln(F.greatest(x, F.lit(0.5))) / 0.05).cast("int")
-        asking = own.where(F.col("outside") & (high >= low - 1e-6)).withColumn("bin", F.explode(F.sequence(bin_of(low - 1e-6), bin_of(high + 1e-6))))
+        asking = asking.withColumn("bin", F.explode(F.sequence(bin_of(low - 1e-6), bin_of(high + 1e-6))))
         side = lambda df, x, *keep: df.select("hc", *keep, *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "c", "size", "inner", "other")))
         most = F.least("x_inner", "y_inner") + F.least("x_other", "y_other")
         fits = (F.col("x_c") != F.col("y_c")) & (most >= need * (F.col("x_size") + F.col("y_size")) - 1e-6)
@@ -301,17 +334,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = write_shared(source.mapInArrow(_describe, _SETS), "described")
-    least = F.min(F.struct("doc_id", "signature")).alias("least")
-    sets = described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(least)
-    sets = write_shared(sets.select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.signature").alias("signature")), "distinct")
+    # the least id of each set; copies may be a third of all rows, so only aggregates go by set_key
+    sets = described.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    sets = write_shared(sets, "distinct")
+    signed = described.select("set_key", F.col("doc_id").alias("rep"), "signature").join(sets.where("rep is not null").select("set_key", "rep"), ["set_key", "rep"])
     repeated = not described.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     # two texts under one id are one node, linked by their id alone; each is met under its own signature
-    signed = sets.select("rep", "signature")
+    signed = write_shared((signed.dropDuplicates(["set_key"]) if repeated else signed).select("rep", "signature"), "signed")
     bands = signed.mapInArrow(_bands, "rep long, band long")
-    if repeated:
-        bands = bands.distinct()
-    counts = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
-    met = write_shared(bands.join(counts, "band").select("band", "rep", "pivot", "n"), "met")
+    bands = write_shared(bands.distinct() if repeated else bands, "bands")
+    counts = write_shared(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1"), "counts")
+    met = write_shared(unique_join(bands, counts, ["band"], ["rep"], sizes=counts.select("band", "n")).select("band", "rep", "pivot", "n"), "met")
     few = met.where(F.col("n") <= small).groupBy("band").agg(F.collect_list("rep").alias("reps")).select("reps").distinct().mapInArrow(_all_pairs, "a long, b long")
     stars = met.where((F.col("n") > small) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     linker = _Linker(source, signed, percent, repeated)
@@ -320,10 +353,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         linker.settle(large)
     known = linker.known
-    joined = described.select("doc_id", "n_shingles", "set_key").join(sets.select("set_key", "rep"), "set_key", "left")
+    placed = sets.select("set_key", "rep")
     if known is not None:
-        joined = joined.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        placed = placed.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
     else:
-        joined = joined.withColumn("component", F.lit(None).cast("long"))
-    found = F.coalesce("component", "rep", "doc_id")
+        placed = placed.withColumn("component", F.lit(None).cast("long"))
+    placed = write_shared(placed.select("set_key", F.coalesce("component", "rep").alias("component")), "set-components")
+    joined = unique_join(described.select("doc_id", "n_shingles", "set_key"), placed, ["set_key"], ["doc_id"], "left", sizes=sets.select("set_key", "n"))
+    found = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.col("doc_id").isNull() & found.isNull()).alias("kept"))
