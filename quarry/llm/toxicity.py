@@ -57,7 +57,7 @@ def tokenize(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     inside, value = LETTER_WORDS
     starts, ends, row = word_spans(data, offsets, inside)
     prefix = prefix_hashes(data, value)
-    hashes = np.empty((len(starts), 1 + len(BEGINNINGS)), np.uint64)
+    hashes = np.empty((len(starts), 1 + len(BEGINNINGS)), np.uint64, order="F")
     hashes[:, 0] = span_hashes(prefix, starts, ends)
     for k, n in enumerate(BEGINNINGS, 1):
         # a shorter word has no such beginning of its own: the feature is that it is short
@@ -72,19 +72,45 @@ def tokenize(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(starts, ends, row, hashes, np.append(np.flatnonzero(at % MAX_SEQUENCE == 0), len(starts)))
 
 
+def tokenize_steps(texts: list[str], size: int = 1 << 18) -> Tokens:
+    """The same of many texts, some characters at a time: only what is kept of them adds up."""
+    parts, at, row, count = [], 0, 0, 0
+    while at < len(texts):
+        stop, chars = at, 0
+        while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= size):
+            chars += len(texts[stop])
+            stop += 1
+        t = tokenize(*byte_view(pa.array(texts[at:stop], pa.string())))
+        parts.append(Tokens(t.starts, t.ends, t.row + row, t.hashes, t.sequence[:-1] + count))
+        at, row, count = stop, stop, count + len(t.starts)
+    if not parts:
+        return tokenize(*byte_view(pa.array([], pa.string())))
+    hashes = np.empty((count, parts[0].hashes.shape[1]), np.uint64, order="F")
+    for k in range(hashes.shape[1]):
+        hashes[:, k] = np.concatenate([p.hashes[:, k] for p in parts])
+    join = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    return Tokens(join("starts"), join("ends"), join("row"), hashes, np.append(join("sequence"), count))
+
+
 def feature_buckets(tokens: Tokens) -> np.ndarray:
-    """tokens x features: bucket of each feature (own ones, then the words before and after)."""
+    """tokens x features: bucket of each feature (own ones, then the words before and after), column by column."""
     n, own = tokens.hashes.shape
-    keys = np.zeros((n, own + 2), np.uint64)
-    keys[:, :own] = tokens.hashes
+    out = np.empty((n, own + 2), np.int32, order="F")
+    bucket = lambda keys: mix64(keys) >> np.uint64(64 - BITS)
+    for k in range(own):
+        out[:, k] = bucket(tokens.hashes[:, k])
     if n:
-        keys[1:, own] = tokens.hashes[:-1, 0] + np.uint64(101)
-        keys[:-1, own + 1] = tokens.hashes[1:, 0] + np.uint64(202)
         first = tokens.sequence[:-1]
-        keys[first, own] = np.uint64(101)
-        keys[first[1:] - 1, own + 1] = np.uint64(202)
-        keys[-1, own + 1] = np.uint64(202)
-    return (mix64(keys) >> np.uint64(64 - BITS)).astype(np.int32)
+        before = np.empty(n, np.uint64)
+        before[1:] = tokens.hashes[:-1, 0]
+        before[first] = 0
+        out[:, own] = bucket(before + np.uint64(101))
+        after = np.empty(n, np.uint64)
+        after[:-1] = tokens.hashes[1:, 0]
+        after[first[1:] - 1] = 0
+        after[-1] = 0
+        out[:, own + 1] = bucket(after + np.uint64(202))
+    return out
 
 
 @dataclass
@@ -128,11 +154,14 @@ class Chain:
         """Expected number of each move over all sequences."""
         after = np.ones(len(score), bool)
         after[sequence[:-1]] = False
-        at = np.flatnonzero(after)
-        a, b = left[at - 1], score[at] + right[at]
-        logs = np.stack([np.full(len(at), self.moves[0, 0]), self.moves[0, 1] + b, self.moves[1, 0] + a, self.moves[1, 1] + a + b], axis=1)
-        p = np.exp(logs - logs.max(axis=1, keepdims=True)) if len(at) else np.zeros((0, 4))
-        return (p / p.sum(axis=1, keepdims=True)).sum(axis=0).reshape(2, 2) if len(at) else np.zeros((2, 2))
+        places, total = np.flatnonzero(after), np.zeros(4)
+        for k in range(0, len(places), 1 << 15):
+            at = places[k : k + (1 << 15)]
+            a, b = left[at - 1], score[at] + right[at]
+            logs = np.stack([np.full(len(at), self.moves[0, 0]), self.moves[0, 1] + b, self.moves[1, 0] + a, self.moves[1, 1] + a + b], axis=1)
+            p = np.exp(logs - logs.max(axis=1, keepdims=True))
+            total += (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+        return total.reshape(2, 2)
 
 
 def fit_chain(tokens: Tokens, toxic: np.ndarray, rounds: int = 40, rate: float = 0.5, decay: float = 1e-6) -> Chain:
@@ -145,7 +174,7 @@ def fit_chain(tokens: Tokens, toxic: np.ndarray, rounds: int = 40, rate: float =
     after[tokens.sequence[:-1]] = False
     at = np.flatnonzero(after)
     seen_moves = np.bincount(2 * toxic[at - 1].astype(np.int64) + toxic[at], minlength=4).reshape(2, 2).astype(np.float64)
-    weights, buckets = np.zeros(1 << BITS), np.asfortranarray(buckets)
+    weights = np.zeros(1 << BITS)
     g_w, g_m, g_b = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6), 1e-6
     for _ in range(rounds):
         chain.weights = weights
@@ -232,17 +261,17 @@ def fit(rows: list[tuple[str, int]], shares: tuple[float, float]) -> Model:
     prior = shares[1] / max(1e-9, sum(shares))
     if not len(label) or not 0 < label.sum() < len(label):
         return Model(None, np.zeros(4), prior if len(label) else 0.0)
-    view = lambda part: byte_view(pa.array([rows[i][0] for i in part], pa.string()))
+    of = lambda part: tokenize_steps([rows[i][0] for i in part])
     fold = np.zeros(len(rows), bool)
     for y in (0, 1):
         fold[np.flatnonzero(label == y)[::2]] = True
     train, rest = np.flatnonzero(fold), np.flatnonzero(~fold)
     if not 0 < label[rest].sum() < len(rest):
         rest = train
-    tokens = tokenize(*view(train))
+    tokens = of(train)
     chain = fit_chain(tokens, derive_labels(tokens, label[train]))
     del tokens
-    held = tokenize(*view(rest))
+    held = of(rest)
     x = document_features(chain.marginals(held), held.row, len(rest))
     y = label[rest]
     weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
