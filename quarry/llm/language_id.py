@@ -169,16 +169,17 @@ def fit_counts(cells: list[tuple[np.ndarray, np.ndarray]], labels: list[str], ro
     y = code[[languages.index(x) for x in labels]]
     share = np.bincount(g, value, buckets) / max(1, len(texts))
     scale = 1.0 / np.sqrt(share + 1e-4)  # rare grams count as much as common ones
-    weights, bias, seen = np.zeros((buckets, code.shape[1])), np.zeros(code.shape[1]), np.full((buckets, code.shape[1]), 1e-8)
+    value *= scale[g]
+    weights, bias, seen = np.zeros((buckets, code.shape[1]), order="F"), np.zeros(code.shape[1]), np.full((buckets, code.shape[1]), 1e-8, order="F")
     for step in range(rounds):
         for b in range(code.shape[1]):
-            margin = np.bincount(r, value * scale[g] * weights[g, b], len(texts)) + bias[b]
+            margin = np.bincount(r, value * weights[g, b], len(texts)) + bias[b]
             pull = y[:, b] / (1.0 + np.exp(np.clip(y[:, b] * margin, -30, 30))) / len(texts)
-            slope = np.bincount(g, value * scale[g] * pull[r], buckets)
+            slope = np.bincount(g, value * pull[r], buckets)
             seen[:, b] += slope**2
             weights[:, b] += rate * slope / np.sqrt(seen[:, b])
             bias[b] += pull.sum()
-    scores = np.stack([np.bincount(r, value * scale[g] * weights[g, b], len(texts)) for b in range(code.shape[1])], axis=1) + bias
+    scores = np.stack([np.bincount(r, value * weights[g, b], len(texts)) for b in range(code.shape[1])], axis=1) + bias
     right = (scores * y > 0).mean(axis=0)
     tempered = TYPICAL_MARGIN / max(float(np.median(np.abs(scores))), 1e-6)
     return Model(languages, code, (tempered * weights * scale[:, None]).astype(np.float32), tempered * bias, np.clip(2 * right - 1, 0.05, 1.0))
@@ -210,11 +211,12 @@ def sample_labelled(docs: DataFrame, label: Column, text: Column, key: Column, p
     limit = F.create_map(*[F.lit(x) for pair in reach.items() for x in pair])[F.col("label")]
     bounded_batches(docs.sparkSession)
     chosen = labelled.where(F.col("h") < limit).dropDuplicates(["label", "h"])
-    rows = chosen.select("label", "h", "text").mapInArrow(_sampled, "label string, h long, grams array<int>, counts array<int>").toArrow().to_pylist()
+    table = chosen.select("label", "h", "text").mapInArrow(_sampled, "label string, h long, grams array<int>, counts array<int>").toArrow()
+    labels, hashes = table["label"].to_pylist(), table["h"].to_pylist()
     out = []
     for name in sorted(reach):
-        least = sorted((r for r in rows if r["label"] == name), key=lambda r: r["h"])[:per_label]
-        out += [(name, (np.array(r["grams"], np.int64), np.array(r["counts"], np.int64))) for r in least]
+        least = sorted((h, k) for k, (x, h) in enumerate(zip(labels, hashes, strict=True)) if x == name)[:per_label]
+        out += [(name, tuple(table[c][k].values.to_numpy() for c in ("grams", "counts"))) for _, k in least]
     return out
 
 
