@@ -42,6 +42,57 @@ def test_empty_table(no_docs, name):
     assert run(no_docs).count() == 0
 
 
+def test_packing_of_odd_rows(odd_docs):
+    """Nulls and empties are one end id, repeats are packed for each row, a very long text whole."""
+    from collections import Counter
+
+    encode = packing.byte_ids(packing.default_path("byte_bpe_50k.json")).encode
+    expected = Counter()
+    for i, text in ODD_ROWS:
+        expected[i] += len(encode(text or "")) // 4 + 1
+    rows = packing.pack(odd_docs).collect()
+    found = Counter()
+    for r in rows:
+        found[r["doc_id"]] += r["length"]
+    assert found == expected
+    assert all(r["doc_tokens"] == 1 for r in rows if r["doc_id"] in (1, 2))
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
+def test_fingerprints_of_rows_without_id(odd_docs):
+    rows = fingerprint.edited_pairs(odd_docs).collect()
+    lost = next(r for r in rows if r["doc_id"] is None)
+    text = "one two three"
+    assert lost["near_next"] == pytest.approx(fingerprint.compare(*fingerprint.hex_digests(*fingerprint.bucket_codes([text.encode(), b""]))))
+    last = next(r for r in rows if r["doc_id"] == 9)  # the first document follows the last
+    import hashlib
+
+    assert last["edited_sha256"] == hashlib.sha256(ODD_ROWS[-1][1][: last["n_chars"] - last["n_chars"] // 4].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, empty, tmp_path):
+    """Every stage takes odd rows and none; null ids with a text that a named row has do not survive."""
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = (no_docs if empty else odd_docs).select(*columns)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels(None, docs).write.parquet(str(tmp_path / "labels.parquet"))
+    held = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, held, str(tmp_path))
+        assert out.columns == columns
+        out.write.parquet(str(tmp_path / name))
+        held = spark.read.parquet(str(tmp_path / name))
+    if empty:
+        assert held.count() == 0 and corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+        return
+    kept = {r["doc_id"] for r in held.collect()}
+    assert None not in kept and {3, 4, 7, 8} <= kept and 5 not in kept
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept
+
+
 def test_odd_results(odd_docs):
     by = lambda df: {r["doc_id"]: r for r in df.collect()}
     lang = by(OPERATORS["language_id"](odd_docs))

@@ -71,6 +71,64 @@ def test_groups_of_edited_copies(spark, small):
     check_components(near_dedup.near_duplicates(docs, small=small).collect(), texts)
 
 
+def test_large_groups_of_copies(spark):
+    """Hundreds of exact copies, of near copies edited apart, and of texts round one passage: as an exact join links them."""
+    pick = np.random.default_rng(21)
+    word = lambda: "w" + str(pick.integers(0, 10**9))
+    base, passage, texts = [word() for _ in range(90)], [word() for _ in range(60)], {}
+    for i in range(700):
+        texts[i] = " ".join(base)
+    for i in range(700, 1300):
+        copy = list(base)
+        for at in pick.choice(85, int(pick.integers(1, 4)), replace=False):
+            copy[at] = word()
+        texts[i] = " ".join(copy)
+    for i in range(1300, 1600):  # the passage alone makes no links, a little more of it does
+        own = int(pick.choice([4, 12, 40, 90]))
+        texts[i] = " ".join([*passage, *(word() for _ in range(own))])
+    docs = spark.createDataFrame([(i * 7 % 1601, t) for i, t in texts.items()], "doc_id long, text string").repartition(6)
+    named = {i * 7 % 1601: t for i, t in texts.items()}
+    by_text = {}
+    for i, t in named.items():
+        by_text.setdefault(t, []).append(i)
+    sets = {min(ids): shingles(t) for t, ids in by_text.items()}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    common = {}
+    for ids in holders.values():
+        for k, i in enumerate(ids):
+            for j in ids[:k]:
+                common[i, j] = common.get((i, j), 0) + 1
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, j), n in common.items():
+        if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    expected = {i: find(min(by_text[t])) for i, t in named.items()}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == expected
+
+
+def test_split_join_matches_a_plain_join(spark):
+    """Hot keys, cold keys, keys of one side alone, given sizes: the rows of an ordinary join."""
+    from quarry.llm.common import unique_join, write_shared
+
+    left = write_shared(spark.createDataFrame([(1 if k < 4000 else k % 50, k) for k in range(6000)], "key long, v long"), "left")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 60, 2)] + [(1, "hot")], "key long, w string")
+    for how in ("inner", "left"):
+        plain = sorted(map(tuple, left.join(right, "key", how).select("key", "v", "w").collect()), key=str)
+        split = unique_join(left, right, ["key"], ["v"], how)
+        assert sorted(map(tuple, split.select("key", "v", "w").collect()), key=str) == plain
+        assert "_part" not in split.columns
+
+
 @pytest.mark.parametrize("small", [1, 24])
 def test_every_text_of_a_repeated_id_is_met(spark, small):
     pick = np.random.default_rng(12)
@@ -114,6 +172,49 @@ def test_toxicity_held_out(spark):
     assert np.mean([w.startswith(("moron", "vequ")) for w, _ in spans]) > 0.9
 
 
+def test_toxicity_query_against_plain_scores(spark, data, texts):
+    """held_out, labels used, marginals by enumeration free recursion and document scores of the query."""
+    from quarry.llm.common import byte_view, crc_remainder
+
+    import pyarrow as pa
+
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where(crc_remainder("doc_id", 5) != 0))
+    rows = {r["doc_id"]: r for r in queries.op6_toxicity(spark, data).collect()}
+    assert set(rows) == set(texts)
+    for i, text in texts.items():
+        tokens = toxicity.tokenize(*byte_view(pa.array([text])))
+        emission = (model.chain.weights[toxicity.feature_buckets(tokens)].sum(axis=1, dtype=np.float64) + model.chain.bias).tolist()
+        moves, p = model.chain.moves, []
+        for a, b in zip(tokens.sequence, tokens.sequence[1:], strict=False):
+            e = emission[a:b]
+            forward = [(0.0, e[0])] if len(e) else []
+            for x in e[1:]:
+                f0, f1 = forward[-1]
+                forward.append((np.logaddexp(f0 + moves[0, 0], f1 + moves[1, 0]), x + np.logaddexp(f0 + moves[0, 1], f1 + moves[1, 1])))
+            backward = [(0.0, 0.0)]
+            for x in reversed(e[1:]):
+                b0, b1 = backward[-1]
+                backward.append((np.logaddexp(b0 + moves[0, 0], b1 + x + moves[0, 1]), np.logaddexp(b0 + moves[1, 0], b1 + x + moves[1, 1])))
+            p += [1 / (1 + math.exp(min(700, (f0 + b0) - (f1 + b1)))) for (f0, f1), (b0, b1) in zip(forward, reversed(backward), strict=True)]
+        top = min(max(max(p, default=0.0), 1e-4), 1 - 1e-4)
+        x = [1.0, math.log(top / (1 - top)), math.log(sum(p) + 0.05), math.log((sum(p) + 0.01) / (len(p) + 10.0))]
+        score = 1 / (1 + math.exp(-sum(float(u) * v for u, v in zip(model.beta, x, strict=True))))
+        r = rows[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert r["score"] == pytest.approx(score, abs=1e-5) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_toxicity_recall_on_held_out_labels(spark):
+    """Held-out recall and precision on the supplied labels of the larger table."""
+    data = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    rows = queries.op6_toxicity(spark, data).where("held_out").collect()
+    met = [(r["predicted"], truth[r["doc_id"]]) for r in rows if truth.get(r["doc_id"]) is not None]
+    caught = sum(p for p, y in met if y == 1) / sum(y == 1 for _, y in met)
+    assert caught >= 0.8 and np.mean([p == y for p, y in met]) > 0.95
+
+
 def test_chain_marginals_match_enumeration():
     from itertools import product
 
@@ -148,7 +249,7 @@ def test_language_model_counts_and_gain(spark, data, texts):
 
 
 def test_language_model_is_a_distribution(spark, data, texts):
-    """Over all known tokens and the unknown, the next token's probabilities sum to at most 1, and to nearly 1."""
+    """Over the vocabulary, the probabilities of the next token, both factors computed plainly, sum to 1."""
     from quarry.llm import lm_score
     from quarry.llm.common import byte_view
 
@@ -158,11 +259,27 @@ def test_language_model_is_a_distribution(spark, data, texts):
     model, counts = lm_score.train(docs)
     t = lm_score.read_tokens(*byte_view(pa.array([texts[0][:200]])))
     own = model.classes(t)
-    p = model.probabilities(model.context(t, own))
+    p = np.exp(model.log_probabilities(model.context(t, own)).astype(np.float64))
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    vocabulary = counts.toArrow()
-    n = vocabulary["n"].to_numpy()
+    hashes = counts.toArrow()["hash"].to_numpy().view(np.uint64)
+    n = counts.toArrow()["n"].to_numpy()
     assert model.mass[: lm_score.SINGLES + lm_score.CLUSTERS].sum() == pytest.approx((n + 1).sum())
+    # classes of the whole vocabulary: read it as one text
+    words = sorted({w for x in texts.values() for w in WORDS.findall(x.translate(LOWER))})
+    every = lm_score.read_tokens(*byte_view(pa.array([" ".join(words)])))
+    classes, count = model.classes(every), dict(zip(hashes.tolist(), n.tolist(), strict=True))
+    known = np.array([count.get(h, 0) for h in every.hash.tolist()])
+    keep = known > 0
+    digits, rows = lm_score.digits_of(every.hash), model.word_rows(t)
+    for at in (0, 1, len(own) - 1):
+        weight = model.words[0][rows[0, at]].astype(np.float64) + model.words[1][rows[1, at]]
+        plain = (known + 1.0) * np.exp(weight[digits[0]] + weight[lm_score.DIGIT + digits[1]])
+        for c in np.unique(classes[keep]):
+            inside = keep & (classes == c)
+            share = plain[inside] / plain[inside].sum()
+            some = np.flatnonzero(inside)[:5]
+            found, _, _ = model.within(np.repeat(rows[:, at : at + 1], len(some), axis=1), classes[some], digits[:, some])
+            assert np.exp(found) * (known[some] + 1.0) == pytest.approx(share[:5], rel=1e-3)
 
 
 def test_language_model_scores_head_and_tail_alike(spark):
@@ -231,6 +348,52 @@ def test_html_silent_elements_without_an_end_tag():
         assert html_extract.main_text(page) == "One paragraph of the text itself.\n\nTwo.", page
 
 
+def test_html_marks_are_evidence():
+    """A name alone never decides; attribute values are no attributes; raw text holds no markup."""
+    body = "<p>One paragraph of the text itself.</p><p>Two.</p>"
+    text = "One paragraph of the text itself.\n\nTwo."
+    for page in (
+        f'<article class="related-work">{body}</article>',
+        f'<main id="search-main">{body}</main>',
+        f'<article><p title="the hidden truth">One paragraph of the text itself.</p><p data-id="search" data-state="hidden-panel">Two.</p></article>',
+        f'<article><p class="alert-box-explained">One paragraph of the text itself.</p><p>Two.</p></article>',
+        f"<article>{body}</article><script>document.write('<!-- ad ')</script><footer>Foot of the page</footer>",
+        f"<script>if (a <!--b) x()</script><article>{body}</article><footer>Foot</footer>",
+        f"<article>{body}<div hidden><p>Not shown at all here.</p></div><p style='display: none'>Nor this.</p></article>",
+    ):
+        assert html_extract.main_text(page) == text, page
+    long = "<p>" + "word " * 90 + "</p><p>" + "text " * 110 + "</p>"
+    assert html_extract.main_text(f'<div class="widget"><h1>A title here</h1>{long}</div>').count("text") == 110  # nothing else is content
+    assert html_extract.main_text(f'<article>{body}</article><div class="widget">{long}</div>') == text
+    assert html_extract.main_text('<article><p>The text of it all.</p><div class="share-this-story"><a>Send</a> <a>Post</a></div></article>') == "The text of it all."
+
+
+def test_html_tree_uses_neighbours():
+    used = set()
+
+    def walk(node):
+        if node.keep is None:
+            used.add(html_extract.FEATURES[node.feature])
+            walk(node.left)
+            walk(node.right)
+
+    walk(html_extract.default_tree())
+    assert {"words", "link_density", "tag", "name"} <= used and used & {"words_before", "density_before"} and used & {"words_after", "density_after"}
+    rows = html_extract.labelled_rows()
+    assert np.mean([html_extract.default_tree().decide(x) == bool(y) for x, y in rows]) > 0.97
+
+
+@pytest.mark.parametrize("sizes", [(1, 3, 60, 2, 200, 5), (3,), (900, 1, 1, 1), (2, 2, 2, 2), (14, 31, 22, 4, 9)])
+def test_html_articles_of_any_shape(sizes):
+    """Every block of an article stays, and no furniture, whatever their lengths."""
+    pick = np.random.default_rng(sum(sizes))
+    words = lambda n: " ".join("".join(pick.choice(list("abcdefgh"), 5)) for _ in range(n))
+    kept = [words(n) for n in sizes]
+    other = [words(int(n)) for n in pick.integers(1, 120, 4)]
+    page = f"<title>{other[0]}</title><nav><ul><li><a>{other[1]}</a></ul></nav><div class='ad'>{other[2]}</div><article><h1>{kept[0]}</h1>" + "".join(f"<p>{k}</p>" for k in kept[1:]) + f"</article><footer>{other[3]}</footer>"
+    assert html_extract.main_text(page) == "\n\n".join(kept)
+
+
 def test_pipeline_against_plain_stages(spark, data, texts, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     scores = {r["doc_id"]: r["predicted"] for r in queries.op6_toxicity(spark, data).collect()}

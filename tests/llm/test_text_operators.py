@@ -16,8 +16,8 @@ from hypothesis import strategies as st
 from quarry.llm import queries
 from quarry.llm.bpe import WordBpe, default_path, merge_symbols
 from quarry.llm.fingerprint import bucket_codes, compare, hex_digests
-from quarry.llm.language_id import codewords, fit
-from quarry.llm.packing import Packer, byte_ids
+from quarry.llm.language_id import codewords, fit, gram_features
+from quarry.llm.packing import Packer, StepGroups, byte_ids, pack
 from quarry.llm.secret_scan import all_spans, base_spans, redact_text
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -126,11 +126,28 @@ def test_packer_never_pads(sizes, buffer):
 
 
 def test_step_groups_hold_equal_tokens(spark, data):
+    """Exactly equal, but for the last group of each partition."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").repartition(3, "doc_id")
     groups = {}
-    for r in queries.op4_packing(spark, data).collect():
-        groups.setdefault(r["step_group"], {}).setdefault(r["sequence_tokens"], 0)
-        groups[r["step_group"]][r["sequence_tokens"]] += r["length"]
-    assert all(len(sizes) == 1 and sum(sizes.values()) <= 16 * 2048 for sizes in groups.values())
+    for r in pack(docs, group_tokens=4096).collect():
+        groups[r["step_group"]] = groups.get(r["step_group"], 0) + r["length"]
+    last = {max(g for g in groups if g >> 33 == part) for part in {g >> 33 for g in groups}}
+    assert len(last) == 3 and len(groups) > 12
+    assert all(n == 4096 for g, n in groups.items() if g not in last) and all(0 < groups[g] <= 4096 for g in last)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([1, 2, 64, 256, 512, 1024, 2048]), max_size=80))
+def test_step_groups_of_any_sequences(sizes):
+    balance, groups = StepGroups(4096), []
+    for k, size in enumerate(sizes):
+        groups += balance.add(size, (size, k))
+    early = len(groups)
+    groups += balance.finish()
+    assert [g for g, _ in groups] == list(range(len(groups)))
+    assert sorted(x for _, g in groups for x in g) == sorted((n, k) for k, n in enumerate(sizes))
+    assert all(sum(n for n, _ in g) == 4096 for _, g in groups[:-1])
+    assert all(len({n for n, _ in g}) == 1 for _, g in groups[:early])
 
 
 def plain_digest(text):
@@ -253,6 +270,70 @@ def test_language_held_out_accuracy(spark, data):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.97
 
 
+def plain_grams(text):
+    """Hashed n-grams of one text, code point by code point."""
+    from quarry.llm.language_id import BUCKET_BITS
+
+    kept = []
+    for c in text:
+        low = c.lower() if c.isalpha() else " "
+        point = ord(low) if len(low) == 1 else ord(c)
+        if point != 32 or kept and kept[-1] != 32:
+            kept.append(point)
+    out, mask = [], 0xFFFFFFFF
+    for k, c in enumerate(kept):
+        b, a = (kept[k - 1] if k else 32), (kept[k - 2] if k > 1 else 32)
+        one = c * 0x9E3779B1 & mask
+        two = (one ^ (b * 0x85EBCA77 & mask)) * 0xC2B2AE3D & mask
+        three = (two ^ (a * 0x27D4EB2F & mask)) * 0x165667B1 & mask
+        out += [(one * 0x2545F491 & mask) >> 32 - BUCKET_BITS, two >> 32 - BUCKET_BITS, three >> 32 - BUCKET_BITS]
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list("abÄé 1."))), max_size=30), min_size=1, max_size=5))
+def test_language_features_match_plain_grams(texts):
+    grams, at, letters = gram_features(texts)
+    assert [grams[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [plain_grams(t) for t in texts]
+    assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+
+
+def test_language_predictions_match_plain_decoding(spark, data, texts):
+    """Margins, loss-weighted decoding and flags of the query, text by text."""
+    import math
+
+    from quarry.llm import language_id
+    from quarry.llm.common import crc_remainder
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.train(docs.where(crc_remainder("doc_id", 4) != 2))
+    rows = {r["doc_id"]: r for r in queries.op1_language_id(spark, data).collect()}
+    for i, text in texts.items():
+        grams = plain_grams(text or "")
+        if not any(c.isalpha() for c in text or ""):
+            assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
+            continue
+        margin = [sum(float(model.weights[g, b]) for g in grams) / (len(grams) + language_id.SHRINK) + model.bias[b] for b in range(model.code.shape[1])]
+        loss = [sum(t * math.log1p(math.exp(-m * c)) for t, m, c in zip(model.trust, margin, word, strict=True)) for word in model.code]
+        odds = [math.exp(min(loss) - x) for x in loss]
+        best = loss.index(min(loss))
+        assert rows[i]["lang_pred"] == model.languages[best] and rows[i]["score"] == pytest.approx(odds[best] / sum(odds), rel=1e-3)
+        second = sorted(odds)[-2] / sum(odds)
+        assert rows[i]["ambiguous"] == (odds[best] / sum(odds) - second < 0.2)
+
+
+def test_language_sample_is_bounded(spark):
+    """Repeated ids, null ids and copies come back once, and no more than asked for."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm.language_id import sample_labelled
+
+    rows = [(7, "the same text again", "en")] * 400 + [(None, "no id but text", "en")] * 200 + [(k, f"text number {k}", "en") for k in range(300)] + [(k, f"der text {k}", "de") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = sample_labelled(docs, F.col("lang"), F.col("text"), F.col("doc_id"), 100)
+    assert [x for x, _ in found].count("en") == 100 and [x for x, _ in found].count("de") == 40
+
+
 def test_codewords_are_apart_and_every_bit_splits():
     for k in (2, 3, 4, 5, 9, 40):
         code = codewords(k)
