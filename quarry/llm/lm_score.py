@@ -96,9 +96,29 @@ def _shifted(x: np.ndarray, k: int, place: np.ndarray, start: int) -> np.ndarray
     return out
 
 
+def _shifted_exp(logits: np.ndarray) -> np.ndarray:
+    """exp of the logits in place, less a shift for each row, which is returned.
+
+    One shift for all rows is enough where none is so far below the greatest that it would vanish.
+    """
+    top = logits.max() if logits.size else np.float32(0)
+    if logits.size and top - logits.min() > 60:
+        shift = logits.max(axis=-1)
+        logits -= shift[..., None]
+    else:
+        shift = np.full(logits.shape[:-1], top, np.float32)
+        logits -= top
+    np.exp(logits, out=logits)
+    return shift
+
+
+#: Sums of rows are products with a vector of ones, many times as fast as a reduction over a short axis.
+_ONES = np.ones(max(CLASSES, DIGIT), np.float32)
+
+
 def _sum_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct indices and the sums of their rows."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index if index.max(initial=0) >> 16 else index.astype(np.uint16), kind="stable")  # 16 bits sort by radix
     ordered = index[order]
     heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return ordered[heads], np.add.reduceat(rows[order], heads, axis=0)
@@ -199,14 +219,27 @@ class Model:
         h = t.hash.view(np.int64)
         return _shifted(h, 1, t.place, 0) == h, _shifted(h, 2, t.place, 0) == h
 
-    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
-        """tokens x classes, natural logarithms."""
+    def logits(self, rows: np.ndarray) -> np.ndarray:
+        """tokens x classes."""
         logits = self.tables[0][rows[0]]
         logits += self.tables[1][rows[1]]
         logits += self.tables[2][rows[2]]
         logits += self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return logits
+
+    def probabilities(self, rows: np.ndarray) -> np.ndarray:
+        """tokens x classes."""
+        p = self.logits(rows)
+        _shifted_exp(p)
+        p /= (p @ _ONES[:CLASSES])[:, None]
+        return p
+
+    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
+        """tokens x classes, natural logarithms."""
+        logits = self.logits(rows)
+        p = logits.copy()
+        shift = _shifted_exp(p)
+        logits -= (shift + np.log(p @ _ONES[:CLASSES]))[:, None]
         return logits
 
     def word_rows(self, t: Tokens) -> np.ndarray:
@@ -219,11 +252,10 @@ class Model:
         logits = self.words[0][rows[0]]
         logits += self.words[1][rows[1]]
         n = len(own)
-        logits = logits.reshape(n, 2, DIGIT)
-        logits -= logits.max(axis=2, keepdims=True)
         k = np.arange(n)
-        chosen = logits[k, 0, digits[0]].astype(np.float64) + logits[k, 1, digits[1]]
-        first, second = np.exp(logits[:, 0]), np.exp(logits[:, 1])
+        chosen = logits[k, digits[0]].astype(np.float64) + logits[k, DIGIT + digits[1]]
+        first, second = logits[:, :DIGIT].copy(), logits[:, DIGIT:].copy()
+        chosen -= _shifted_exp(first).astype(np.float64) + _shifted_exp(second)
         left, right = np.empty_like(first), np.empty_like(second)
         edges = [*np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), n] if n else []
         for a, b in zip(edges, edges[1:], strict=False):  # one class at a time
@@ -232,7 +264,7 @@ class Model:
             np.matmul(second[a:b], mass.T, out=left[a:b])
         left *= first
         right *= second
-        z = right.sum(axis=1, dtype=np.float64)
+        z = (right @ _ONES[:DIGIT]).astype(np.float64)
         scale = (1.0 / np.maximum(z, 1e-30))[:, None].astype(np.float32)
         return chosen - np.log(np.maximum(z, 1e-30)), left * scale, right * scale
 
@@ -245,11 +277,25 @@ def digits_of(hashes: np.ndarray) -> np.ndarray:
 def _step(weights: np.ndarray, squares: np.ndarray, index: np.ndarray, miss: np.ndarray, rate: float) -> None:
     """One Adagrad update of the rows that a batch uses."""
     kinds, slope = _sum_rows(index, miss)
-    squares[kinds] += slope * slope
-    weights[kinds] += rate * slope / np.sqrt(squares[kinds])
+    seen = squares[kinds]
+    seen += slope * slope
+    squares[kinds] = seen
+    np.sqrt(seen, out=seen)
+    slope *= rate
+    slope /= seen
+    weights[kinds] += slope
+
+
+def _row_step(weights: np.ndarray, squares: np.ndarray, index: np.ndarray, miss: np.ndarray, rate: float) -> None:
+    """The same with one accumulator a row: the rows of words are many, and mostly used a few times."""
+    kinds, slope = _sum_rows(index, miss)
+    seen = squares[kinds] + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
+    squares[kinds] = seen
+    slope *= (rate / np.sqrt(seen))[:, None]
+    weights[kinds] += slope
 
 
-def _learn(model: Model, rate: float = 0.4, word_rate: float = 0.4):
+def _learn(model: Model, rate: float = 0.4, word_rate: float = 0.2):
     """Adagrad over a partition's tokens; yields each table row with its use and use-weighted weights."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +303,7 @@ def _learn(model: Model, rate: float = 0.4, word_rate: float = 0.4):
         words = np.zeros((2, size, 2 * DIGIT), np.float32)
         local = Model(**{**model.__dict__, "tables": model.tables.copy(), "bias": model.bias.copy(), "words": words})
         squares, used = np.full_like(local.tables, 1e-3), np.zeros((3, ROWS))
-        word_squares, word_used = np.full_like(words, 1e-3), np.zeros((2, size))
+        word_squares, word_used = np.full((2, size), 1e-3, np.float32), np.zeros((2, size))
         bias_squares, seen = np.full(CLASSES, 1e-3, np.float32), 0
         for batch in steps(batches, "text"):
             t = read_tokens(*byte_view(batch.column(0)))
@@ -271,7 +317,8 @@ def _learn(model: Model, rate: float = 0.4, word_rate: float = 0.4):
             for at in range(0, len(own), BATCH):
                 z = slice(at, at + BATCH)
                 goal = target[z]
-                miss = -np.exp(local.log_probabilities(rows[:, z]))
+                miss = local.probabilities(rows[:, z])
+                np.negative(miss, out=miss)
                 miss[np.arange(len(goal)), goal] += 1.0
                 for k in range(3):
                     _step(local.tables[k], squares[k], rows[k, z], miss, rate)
@@ -285,11 +332,12 @@ def _learn(model: Model, rate: float = 0.4, word_rate: float = 0.4):
                     continue
                 here, digit, n = word_rows[:, z][:, order], digits[:, z][:, order], np.arange(len(order))
                 _, first, second = local.within(here, goal[order], digit)
-                miss = -np.concatenate([first, second], axis=1)
+                miss = np.concatenate([first, second], axis=1)
+                np.negative(miss, out=miss)
                 miss[n, digit[0]] += 1.0
                 miss[n, DIGIT + digit[1]] += 1.0
                 for k in range(2):
-                    _step(words[k], word_squares[k], here[k], miss, word_rate)
+                    _row_step(words[k], word_squares[k], here[k], miss, word_rate)
                     word_used[k] += np.bincount(here[k], minlength=size)
         weights = np.concatenate([local.tables.reshape(-1, CLASSES), local.bias[None]])
         for start, table, use in ((0, weights, np.append(used.reshape(-1), seen)), (len(weights), words.reshape(-1, 2 * DIGIT), word_used.reshape(-1))):
@@ -302,9 +350,20 @@ def _learn(model: Model, rate: float = 0.4, word_rate: float = 0.4):
     return run
 
 
+#: Bytes of text that one learner reads: each hands on its weights, however little it has read.
+LEARNER_BYTES = 24 << 20
+
+
+def _for_learners(texts: DataFrame) -> DataFrame:
+    """The texts in fewer partitions where they are smaller than a learner's share; no rows are shuffled."""
+    size = texts.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    return texts.coalesce(max(1, texts.sparkSession.sparkContext.defaultParallelism, -(-size // LEARNER_BYTES)))
+
+
 def train(texts: DataFrame) -> tuple[Model | None, DataFrame | None]:
     """Train on the column ``text``; returns the model and the counts (hash, n) of all tokens."""
     bounded_batches(texts.sparkSession)
+    texts = _for_learners(texts.select("text"))
     counted = write_shared(texts.select("text").mapInArrow(_count, "hash long, bin int, n long, block binary"), "counted")
     counts = write_shared(counted.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n"), F.min("bin").alias("bin")), "counts")
     # at most ENDINGS x CELLS rows, whatever the corpus
