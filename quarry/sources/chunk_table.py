@@ -1,18 +1,25 @@
 """A keyed chunk table on Parquet: upsert, delete, scan, statistics.
 
-Tables are folders of immutable, numbered versions.  A reader takes the newest
-one that Spark has marked as complete, so nobody sees half a write and a failed
-job leaves the last version in place.  There is one writer at a time.
+A table is a folder of data folders, each partitioned by project, and numbered
+manifests that say which projects are read from which data folder.  A write
+makes a data folder for the projects it touches and then a new manifest, so other
+projects' files are left alone, nobody sees half a write, and a failed job leaves
+the last manifest in place.  The last ``keep`` manifests' data stay, so a table that
+was read earlier can still be used.  There is one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import write_scratch
+
 CHUNK_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
@@ -74,67 +81,157 @@ def from_points(points: DataFrame) -> DataFrame:
     return coerced(points.select("id", F.col("vector").alias("embedding"), "payload.*"))
 
 
+#: Data folders from which a table is written anew as one.
+COMPACT_AT = 24
+_MANIFEST = "m-"
+
+
 @dataclass
 class ChunkTable:
     """A table at ``path``; every method reads or makes a version."""
 
     spark: SparkSession
     path: str
+    keep: int = 3
+
+    # ---- manifests
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _versions(self) -> list[str]:
-        """Complete versions, oldest first."""
+    def _manifests(self) -> list[str]:
         fs, path = self._fs()
         if not fs.exists(path(self.path)):
             return []
         names = [status.getPath().getName() for status in fs.listStatus(path(self.path))]
-        return sorted(n for n in names if n.startswith("v-") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(n for n in names if n.startswith(_MANIFEST) and n.endswith(".json"))
 
-    def _version(self) -> str | None:
-        return (self._versions() or [None])[-1]
+    def _load(self, name: str) -> list[dict]:
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/{name}"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _parts(self) -> list[dict]:
+        """The newest manifest: data folders with the projects that are read from each."""
+        names = self._manifests()
+        return self._load(names[-1]) if names else []
+
+    def _commit(self, parts: list[dict]) -> None:
+        names = self._manifests()
+        number = int(names[-1][len(_MANIFEST) : -len(".json")]) + 1 if names else 0
+        fs, path = self._fs()
+        draft, final = path(f"{self.path}/draft-{number}"), path(f"{self.path}/{_MANIFEST}{number:012d}.json")
+        stream = fs.create(draft, True)
+        stream.write(bytearray(json.dumps(parts).encode()))
+        stream.close()
+        fs.rename(draft, final)
+        held = [*names, f"{_MANIFEST}{number:012d}.json"]
+        used = {p["folder"] for name in held[-self.keep :] for p in self._load(name)}
+        for name in held[: -self.keep]:
+            for part in self._load(name):
+                if part["folder"] not in used:
+                    fs.delete(path(f"{self.path}/{part['folder']}"), True)
+            fs.delete(path(f"{self.path}/{name}"), False)
+
+    # ---- reading
+
+    def create(self) -> None:
+        """An empty table, if there is none yet."""
+        if not self.exists():
+            self._commit([])
 
     def exists(self) -> bool:
-        return self._version() is not None
-
-    def read(self) -> DataFrame:
-        version = self._version()
-        if version is None:
-            return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/{version}")
+        return bool(self._manifests())
+
+    def projects(self) -> list[str]:
+        return sorted({p for part in self._parts() for p in part["projects"]})
+
+    def read(self, projects: list[str] | None = None) -> DataFrame:
+        """All rows, or those of some projects: only their files are listed and read."""
+        found = None
+        for part in self._parts():
+            wanted = part["projects"] if projects is None else [p for p in part["projects"] if p in projects]
+            if wanted:
+                rows = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/{part['folder']}")
+                # an empty name is stored as null
+                rows = rows.withColumn("project_path", F.coalesce("project_path", F.lit("")))
+                rows = rows if set(wanted) == set(part["written"]) else rows.where(F.col("project_path").isin(wanted))
+                found = rows if found is None else found.unionByName(rows)
+        return self.spark.createDataFrame([], CHUNK_SCHEMA) if found is None else found
+
+    # ---- writing
+
+    def _written(self, rows: DataFrame) -> dict:
+        folder = f"d-{uuid.uuid4().hex}"
+        place = f"{self.path}/{folder}"
+        rows.select(*[f.name for f in CHUNK_SCHEMA.fields]).write.partitionBy("project_path").parquet(place)
+        names = self.spark.read.schema(CHUNK_SCHEMA).parquet(place).select(F.coalesce("project_path", F.lit("")).alias("p")).distinct().collect()
+        projects = sorted(r["p"] for r in names)
+        return {"folder": folder, "projects": projects, "written": projects}
 
     def write(self, rows: DataFrame) -> None:
-        """A new version, partitioned by project so that a project's rows can be pruned and replaced alone."""
-        old = self._versions()
-        version = f"v-{int(old[-1][2:]) + 1 if old else 0:012d}"
-        rows.select(*[f.name for f in CHUNK_SCHEMA.fields]).write.mode("overwrite").partitionBy("project_path").parquet(f"{self.path}/{version}")
-        fs, path = self._fs()
-        for name in old:
-            fs.delete(path(f"{self.path}/{name}"), True)
+        """Replaces all that the table holds."""
+        part = self._written(rows)
+        self._commit([part] if part["projects"] else [])
+
+    def replace(self, projects: list[str], rows: DataFrame) -> None:
+        """Replaces all rows of ``projects`` by ``rows``, which belong to them; other projects' files are left alone."""
+        parts = self._parts()
+        if len(parts) >= COMPACT_AT:
+            self.write(self.read([p for p in self.projects() if p not in set(projects)]).unionByName(rows))
+            return
+        gone = set(projects)
+        kept = [part | {"projects": [p for p in part["projects"] if p not in gone]} for part in parts]
+        made = self._written(rows)
+        self._commit([p for p in [*kept, made] if p["projects"]])
+
+    def _touched(self, ids: DataFrame, key: str = "id") -> list[str]:
+        """Projects in which rows with one of these ids (or paths) lie; reads two columns."""
+        rows = self.read().select(key, "project_path").join(ids.select(key).distinct(), key, "left_semi")
+        return [r["project_path"] for r in rows.select("project_path").distinct().collect()]
 
     def upsert(self, batch: DataFrame, order: str | None = None) -> bool:
         """False if the batch holds nothing to write."""
-        if batch.where("embedding is not null and size(embedding) > 0").isEmpty():
+        batch = batch.where("embedding is not null and size(embedding) > 0")
+        if batch.isEmpty():
+            return False
+        batch = write_scratch(coerced(batch) if order is None else coerced(batch).withColumn(order, batch[order]), "batch")  # ids that are made up must stay the same
+        new = [r["project_path"] for r in batch.select("project_path").distinct().collect()]
+        projects = sorted({*new, *self._touched(batch)})
+        self.replace(projects, upserted(self.read(projects), batch, order))
+        return True
+
+    def replace_files(self, batch: DataFrame) -> bool:
+        """As ``upsert``, but all that the table holds of the batch's files goes first: their old chunks do not linger."""
+        batch = batch.where("embedding is not null and size(embedding) > 0")
+        if batch.isEmpty():
             return False
-        self.write(upserted(self.read(), batch, order))
+        batch = write_scratch(coerced(batch), "batch")
+        new = [r["project_path"] for r in batch.select("project_path").distinct().collect()]
+        projects = sorted({*new, *self._touched(batch), *self._touched(batch, "file_path")})
+        left = self.read(projects).join(batch.select("file_path").distinct(), "file_path", "left_anti").select(*[f.name for f in CHUNK_SCHEMA.fields])
+        self.replace(projects, upserted(left, batch))
         return True
 
     def delete(self, ids: DataFrame) -> bool:
         """Deletes the ids; an empty list is no work and succeeds."""
-        if not ids.isEmpty():
-            self.write(self.read().join(ids.select("id").distinct(), "id", "left_anti"))
+        if projects := self._touched(ids):
+            self.replace(projects, self.read(projects).join(ids.select("id").distinct(), "id", "left_anti"))
         return True
 
     def delete_project(self, project_path: str) -> bool:
-        if project_path:
-            self.write(self.read().where(F.col("project_path") != project_path))
+        """Drops a project from the manifest: nothing is read or written.  An empty name is no work."""
+        if project_path and project_path in self.projects():
+            self._commit([p for part in self._parts() if (p := part | {"projects": [q for q in part["projects"] if q != project_path]})["projects"]])
         return True
 
     def clear(self) -> None:
-        self.write(self.spark.createDataFrame([], CHUNK_SCHEMA))
+        self._commit([])
 
     def info(self) -> dict:
         row = self.read().agg(F.count("*").alias("count"), F.max(F.size("embedding")).alias("dimension")).first()

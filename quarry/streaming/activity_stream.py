@@ -61,13 +61,14 @@ def session_cache_stream(questions: DataFrame) -> DataFrame:
 
 
 def refresh(changed_files: DataFrame, table: ChunkTable, chunk_and_embed: Callable[[DataFrame], DataFrame], checkpoint: str, every: str = "5 seconds"):
-    """Starts a query that upserts the chunks of changed files, one micro-batch at a time.
+    """Starts a query that replaces the chunks of changed files, one micro-batch at a time.
 
-    The trigger's interval debounces bursts of changes.  An upsert by id may be
-    repeated, so a batch that is run again after a failure changes nothing.
+    The trigger's interval debounces bursts of changes.  A file's old chunks go
+    with its new ones' arrival; replacing may be repeated, so a batch that is run
+    again after a failure changes nothing.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        table.upsert(chunk_and_embed(batch))
+        table.replace_files(chunk_and_embed(batch))
 
     return changed_files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -48,6 +48,43 @@ def test_chunk_table(spark, tmp_path):
     assert table.info()["count"] == 0
 
 
+def test_chunk_table_touches_only_its_projects(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "t"))
+    table.write(rows(spark, [(f"i{k}", f"p{k % 3}", k + 1) for k in range(9)]))
+    first = table._parts()[0]["folder"]
+    early = table.read()
+    table.upsert(rows(spark, [("i0", "p0", 50), ("new", "p0", 60)]))
+    parts = table._parts()
+    assert [p["folder"] == first for p in parts] == [True, False] and parts[0]["projects"] == ["p1", "p2"] and parts[1]["projects"] == ["p0"]
+    table.delete_project("p1")
+    table.upsert(rows(spark, [("i2", "p0", 70)]))  # moves from p2 to p0
+    assert {r["id"]: (r["project_path"], r["embedding"][0]) for r in table.read().collect()} == {"i0": ("p0", 50.0), "i3": ("p0", 4.0), "i6": ("p0", 7.0), "new": ("p0", 60.0), "i2": ("p0", 70.0), "i5": ("p2", 6.0), "i8": ("p2", 9.0)}
+    assert early.count() == 9 and table.projects() == ["p0", "p2"]
+    assert [r["id"] for r in table.read(["p2"]).orderBy("id").collect()] == ["i5", "i8"]
+    for k in range(60):
+        table.replace(["p2"], rows(spark, [(f"r{k}", "p2", 1)])) if k % 20 == 0 else table._commit(table._parts())
+    assert len(table._manifests()) == table.keep and table.read(["p2"]).count() == 1
+
+
+def test_chunk_table_of_many_writes_and_odd_names(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "t"))
+    table.create()
+    assert table.exists() and table.read().count() == 0
+    for k in range(28):  # more than are kept apart
+        table.upsert(rows(spark, [(f"i{k}", f"p {k}/é='x'" if k % 3 else "", k + 1)]))
+    assert table.read().count() == 28 and "" in table.projects() and len(table._parts()) < 28
+
+
+def test_replaced_files_leave_no_old_chunks(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "t"))
+    make = lambda values: coerced(spark.createDataFrame([(i, f, p, [1.0]) for i, f, p in values], "id string, file_path string, project_path string, embedding array<float>"))
+    table.replace_files(make([("a1", "a.py", "p"), ("a2", "a.py", "p"), ("b1", "b.py", "p"), ("c1", "c.py", "q")]))
+    table.replace_files(make([("a3", "a.py", "p")]))
+    assert {r["id"] for r in table.read().collect()} == {"a3", "b1", "c1"}
+    table.replace_files(make([("a3", "a.py", "p")]))
+    assert table.read().count() == 3
+
+
 def test_engine(spark, project, tmp_path):
     engine = Engine(spark, str(tmp_path / "index"))
     counts = engine.index(project)
