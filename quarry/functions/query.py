@@ -96,9 +96,13 @@ def signature(query: Column, project: Column) -> Column:
 
 
 def broader_queries(query: Column) -> Column:
-    """Two follow-up questions for each of the first two longer words."""
+    """Two follow-up queries for each of the first two longer words, by the question's type; none for other types."""
     kept = F.slice(F.filter(words(query), lambda w: (F.length(w) > 3) & ~w.isin(BROADER_STOPS)), 1, 2)
-    return F.flatten(F.transform(kept, lambda w: F.array(F.concat(w, F.lit(" implementation")), F.concat(w, F.lit(" process")))))
+    both = lambda a, b: F.flatten(F.transform(kept, lambda w: F.array(a(w), b(w))))
+    how = both(lambda w: F.concat(w, F.lit(" implementation")), lambda w: F.concat(w, F.lit(" process")))
+    use = both(lambda w: F.concat(F.lit("using "), w), lambda w: F.concat(w, F.lit(" example")))
+    kind = query_type(query)
+    return F.when(kind == "IMPLEMENTATION", how).when(kind == "USAGE_EXAMPLES", use).otherwise(F.array().cast("array<string>"))
 
 
 def expansion_queries(query: Column) -> Column:
@@ -118,6 +122,13 @@ def expansion_parameters(tokens: int, top_k: int, level: str) -> tuple[int, int]
     return min(int(tokens * by_tokens), cap), int(top_k * by_results)
 
 
+def expansion_columns(tokens: Column, top_k: Column, level: Column) -> Column:
+    """The same for rows: a struct of max_tokens and top_k."""
+    pick = lambda k: F.when(level == "conservative", F.lit(EXPANSION["conservative"][k])).when(level == "aggressive", F.lit(EXPANSION["aggressive"][k])).otherwise(F.lit(EXPANSION["moderate"][k]))
+    budget = F.least(F.floor(tokens * pick(0)), pick(2)).cast("long")
+    return F.struct(budget.alias("max_tokens"), F.floor(top_k * pick(1)).cast("long").alias("top_k"))
+
+
 def direct_file_question(query: Column) -> Column:
     """Names a source file and asks for its content."""
     return contains_any(query, [".py", ".js", ".ts", ".java", ".kt"]) & contains_any(F.lower(query), ["content", "file"])

@@ -5,6 +5,10 @@ Input: session_id, file_path, activity (edit, open or close), ts, time_spent and
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,21 +54,41 @@ def clean_up(state: DataFrame, now: Column, max_age_days: int = 30) -> DataFrame
     return state.where(~(old("last_edited") & old("last_opened") & (F.col("edit_frequency") == 0)))
 
 
+def _leading_edges(quiet: int):
+    """Of rows sorted by key and time (microseconds) those that fire; one key's last trigger is all that is held."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            times, fired = batch.column(2).to_numpy(), []
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                key = (batch.column(0)[a].as_py(),)
+                at = a if key != held else a + int(np.searchsorted(times[a:b], last + quiet, side="right"))
+                held = key
+                while at < b:
+                    fired.append(at)
+                    last = times[at]
+                    at += int(np.searchsorted(times[at:b], last + quiet, side="right"))
+            yield batch.select([0, 1]).take(pa.array(fired, pa.int64()))
+
+    return run
+
+
 def debounced(events: DataFrame, by: str, quiet_seconds: int = 5) -> DataFrame:
     """(by, ts): leading-edge triggers; one fires only if more than ``quiet_seconds`` passed since the last that fired.
 
-    Events are first cut at pauses longer than the quiet time: the first after
-    a pause always fires, so each burst is folded on its own.
+    Whether an event fires depends on all before it, so a key's events pass one
+    task in order; they stream through a sort that may spill, and only the last
+    trigger is held, however long a key goes without a pause.
     """
-    order = Window.partitionBy(by).orderBy("ts")
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0)
-    timed = events.select(by, "ts", seconds.alias("t")).distinct()
-    paused = F.coalesce(F.col("t") - F.lag("t").over(order) > quiet_seconds, F.lit(True))
-    bursts = timed.withColumn("_p", paused.cast("int")).withColumn("burst", F.sum("_p").over(order))
-    grouped = bursts.groupBy(by, "burst").agg(F.array_sort(F.collect_list(F.struct("t", "ts"))).alias("rows"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.slice(F.transform("rows", lambda r: r["ts"]), 1, 0).alias("fired"))
-    step = lambda s, r: F.when(r["t"] - s["last"] > quiet_seconds, F.struct(r["t"].alias("last"), F.concat(s["fired"], F.array(r["ts"])).alias("fired"))).otherwise(s)
-    return grouped.select(by, F.explode(F.aggregate("rows", start, step)["fired"]).alias("ts"))
+    timed = events.select(by, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t")).where("_t is not null")
+    ordered = timed.repartition(by).sortWithinPartitions(by, "_t")
+    kinds = dict(timed.dtypes)
+    return ordered.mapInArrow(_leading_edges(quiet_seconds * 1_000_000), f"{by} {kinds[by]}, ts {kinds['ts']}")
 
 
 def session_counts(events: DataFrame, by: str = "session_id") -> DataFrame:

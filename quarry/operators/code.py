@@ -24,7 +24,7 @@ IMPORTS = "file_path string, module string, name string, import_text string"
 HEADS = {
     "js": [("class_declaration", r"\bclass\s+([A-Za-z_$][\w$]*)"), ("interface_declaration", r"\binterface\s+([A-Za-z_$][\w$]*)"), ("function_declaration", r"\bfunction\s*\*?\s+([A-Za-z_$][\w$]*)\s*\("), ("function_declaration", r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^()]*\)|[A-Za-z_$][\w$]*)\s*=>\s*(?=\{)")],
     "java": [("class_declaration", r"\b(?:class|enum|record)\s+([A-Za-z_]\w*)"), ("interface_declaration", r"\binterface\s+([A-Za-z_]\w*)"), ("method_declaration", r"(?:public|private|protected|static|final|abstract|synchronized)\s+(?:[\w<>\[\],.?]+\s+)+([a-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w\s,.]+)?(?=\{)")],
-    "kt": [("object_declaration", r"\bobject\s+([A-Za-z_]\w*)"), ("class_declaration", r"\bclass\s+([A-Za-z_]\w*)"), ("interface_declaration", r"\binterface\s+([A-Za-z_]\w*)"), ("function_declaration", r"\bfun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_][\w.]*\.)?([A-Za-z_]\w*)\s*\(")],
+    "kt": [("object_declaration", r"\bobject\s+([A-Za-z_]\w*)"), ("class_declaration", r"\bclass\s+([A-Za-z_]\w*)"), ("interface_declaration", r"\binterface\s+([A-Za-z_]\w*)"), ("function_declaration", r"\bfun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_][\w.]*(?:<[^>]*>)?\??\.)?([A-Za-z_]\w*)\s*\(")],
     "scala": [("trait_declaration", r"\btrait\s+([A-Za-z_]\w*)"), ("object_declaration", r"\bobject\s+([A-Za-z_]\w*)"), ("class_declaration", r"\bclass\s+([A-Za-z_]\w*)"), ("function_declaration", r"\bdef\s+([A-Za-z_]\w*)")],
 }
 #: Which table a suffix uses, and the kinds that hold other declarations (fixed values).
@@ -74,14 +74,21 @@ def body_end(text: str, at: int) -> int | None:
     return None
 
 
+#: Comments and strings of languages with braces.
+_UNSPOKEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|\"\"\".*?(?:\"\"\"|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.DOTALL)
+
+
+def masked(text: str) -> str:
+    """The text with its comments and strings blanked out; lines and offsets stay."""
+    return _UNSPOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
 def brace_declarations(text: str, table: str) -> list[tuple[str, str, int, int]]:
     """(kind, name, start, end) of declarations; of heads at one place the first pattern's, and none inside a container twice."""
-    found: list[tuple[int, int, str, str]] = []
+    text, found = masked(text), []
     for kind, pattern in HEADS[table]:
         for m in re.finditer(pattern, text):
             line = text.rfind("\n", 0, m.start()) + 1
-            if text[line : m.start()].lstrip().startswith(("//", "*", "#")):
-                continue
             end = body_end(text, m.end())
             if end is None:
                 stop = text.find("\n", m.end())
@@ -134,6 +141,32 @@ def python_chunks(path: str, project: str, text: str, context_lines: int = 0, le
     return out
 
 
+def basic_chunks(path: str, project: str, text: str) -> list[tuple]:
+    """The plain form: every Python class and function, nested ones too, in order, each behind all imports.
+
+    Chunks have no id.  More than two imports are a chunk of their own, the last.  Other languages, and
+    what cannot be parsed, give nothing.
+    """
+    if suffix_of(path) != "py":
+        return []
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    place = lambda node: (node.lineno, node.col_offset)
+    segment = lambda node: ast.get_source_segment(text, node) or ""
+    nodes = sorted((n for n in ast.walk(tree) if hasattr(n, "lineno")), key=place)
+    imports = [segment(n) for n in nodes if isinstance(n, ast.Import | ast.ImportFrom)]
+    head, out = "\n".join(imports), []
+    for node in nodes:
+        if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+            kind = "class_definition" if isinstance(node, ast.ClassDef) else "function_definition"
+            out.append(("", path, project, f"{head}\n\n{segment(node)}".strip(), "py", kind, node.name, node.lineno, node.end_lineno))
+    if len(imports) > 2:
+        out.append(("", path, project, head, "py", "imports", "imports", 1, head.count("\n") + 1))
+    return out
+
+
 def brace_chunks(path: str, project: str, text: str, suffix: str, least_module_tokens: int = 30) -> list[tuple]:
     table = TABLES[suffix]
     imports, out, left, at = _import_block(text, table), [], [], 0
@@ -234,14 +267,14 @@ def _table(rows: list[tuple], schema: str, numbered: bool = False) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
+def chunk_files(files: DataFrame, cut=chunk_text) -> DataFrame:
     """All chunks of all files, by language; ``files`` has file_path, project_path and content."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, project, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(*c, k) for k, c in enumerate(chunk_text(path or "", project or "", text or ""))]
+                rows += [(*c, k) for k, c in enumerate(cut(path or "", project or "", text or ""))]
             yield _table(rows, CHUNKS)
 
     return files.select("file_path", "project_path", "content").mapInArrow(run, CHUNKS)

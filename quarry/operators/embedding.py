@@ -27,7 +27,11 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Signed feature hashing of words and character trigrams, L2-normalised."""
+    """Signed feature hashing of words and character trigrams, L2-normalised.
+
+    A gram's MD5 gives its place (the first four hex digits, modulo the dimension) and its
+    sign (the fifth), so any engine can make the same vectors.
+    """
 
     def __init__(self, dimension: int = 256) -> None:
         self.dimension = dimension
@@ -37,8 +41,8 @@ class HashingEmbedder:
         for row, text in enumerate(texts):
             for word in re.findall(r"\w+", text.lower()):
                 for gram in [word, *(word[k : k + 3] for k in range(len(word) - 2))]:
-                    h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
-                    out[row, h % self.dimension] += 1.0 if h >> 63 else -1.0
+                    digest = hashlib.md5(gram.encode("utf-8", "surrogatepass")).digest()
+                    out[row, (digest[0] << 8 | digest[1]) % self.dimension] += 1.0 if digest[2] & 0x80 else -1.0
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size > 0, size, 1)
 

@@ -200,3 +200,14 @@ def group_context(results: DataFrame, question: str, budget: int, least_rest: in
 
     folded = grouped.select(question, F.aggregate("_rows", start, add).alias("_f"))
     return folded.select(question, F.array_join("_f.parts", "\n\n").alias("context"), F.col("_f.used").alias("used"))
+
+
+def symbol_map(symbols: DataFrame) -> DataFrame:
+    """(symbol, file_path, n): the last file, by path, that defines a symbol, and how many do."""
+    return symbols.groupBy("symbol").agg(F.max("file_path").alias("file_path"), F.count("*").alias("n"))
+
+
+def symbols_by_file(symbols: DataFrame) -> DataFrame:
+    """(file_path, symbols): a file's symbols in the order of their lines."""
+    ordered = F.array_sort(F.collect_list(F.struct("start_line", "symbol")))
+    return symbols.groupBy("file_path").agg(F.transform(ordered, lambda x: x["symbol"]).alias("symbols"))

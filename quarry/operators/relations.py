@@ -17,15 +17,23 @@ def _named(df: DataFrame, prefix: str, columns: list[str], *keep: str) -> DataFr
     return df.select(*keep, *(F.col(c).alias(f"{prefix}{c}") for c in columns))
 
 
-def related_chunks(seeds: DataFrame, chunks: DataFrame, fetched: int = 20, kept: int = 5) -> DataFrame:
-    """(seed_id, id, relation, rel_ord): for each seed, related chunks of its file.
+def first_chunks(chunks: DataFrame, most: int, order: tuple[str, ...]) -> DataFrame:
+    """The first ``most`` chunks of each file, with their place; a hot file is cut in every task before it is shuffled."""
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy(*order))
+    return chunks.withColumn("_place", place).where(F.col("_place") <= most)
+
+
+def related_chunks(seeds: DataFrame, chunks: DataFrame, fetched: int = 20, kept: int = 5, order: tuple[str, ...] = ("ord", "id"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., seed_id, id, relation, rel_ord): for each seed, related chunks of its file.
 
     Of the first ``fetched`` other chunks of the file, the first ``kept`` that
     are a parent, a sibling or an overlap.  Whole classes have no relations.
+    ``by`` names further columns that tell seeds apart (a question).  Seeds meet only
+    the first chunks of their file, so the join is bounded by seeds x ``fetched``.
     """
-    side = chunks.select("file_path", "id", "chunk_type", "start_line", "end_line", "ord")
-    joined = _named(seeds.where("chunk_type <> 'class_complete'"), "s_", ["id", "chunk_type", "start_line", "end_line"], "file_path").join(side, "file_path").where("id <> s_id")
-    first = Window.partitionBy("s_id").orderBy("ord", "id")
+    side = first_chunks(chunks.select("file_path", "id", "chunk_type", "start_line", "end_line", *(c for c in order if c not in ("id", "start_line"))), fetched + 1, order)
+    joined = _named(seeds.where("chunk_type <> 'class_complete'"), "s_", ["id", "chunk_type", "start_line", "end_line"], "file_path", *by).join(side, "file_path").where("id <> s_id")
+    first = Window.partitionBy(*by, "s_id").orderBy("_place")
     joined = joined.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= fetched)
     relation = (
         F.when((F.col("chunk_type") == "class_complete") & (F.col("start_line") <= F.col("s_start_line")) & (F.col("end_line") >= F.col("s_end_line")), "parent")
@@ -33,29 +41,47 @@ def related_chunks(seeds: DataFrame, chunks: DataFrame, fetched: int = 20, kept:
         .when((F.col("start_line") <= F.col("s_end_line")) & (F.col("end_line") >= F.col("s_start_line")), "overlap")
     )
     found = joined.withColumn("relation", relation).where("relation is not null")
-    return found.withColumn("rel_ord", F.row_number().over(first).cast("long")).where(F.col("rel_ord") <= kept).select(F.col("s_id").alias("seed_id"), "id", "relation", "rel_ord")
+    return found.withColumn("rel_ord", F.row_number().over(first).cast("long")).where(F.col("rel_ord") <= kept).select(*by, F.col("s_id").alias("seed_id"), "id", "relation", "rel_ord")
 
 
-def with_related(seeds: DataFrame, related: DataFrame, chunks: DataFrame, cap: int | None = None) -> DataFrame:
-    """(id, score, ord): seeds and related chunks, first occurrence of an id, at most ``cap`` rows.
+def with_related(seeds: DataFrame, related: DataFrame, chunks: DataFrame | None = None, cap: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., id, score, seed_ord, rel_ord): seeds and related chunks, first occurrence of an id, at most ``cap`` rows (for each ``by``).
 
-    ``seeds`` has id, score and ord.
+    ``seeds`` has id, score and ord.  ``chunks``, if given, are the ids that exist.
     """
     factor = F.coalesce(F.create_map(*[F.lit(x) for pair in FACTORS.items() for x in pair])[F.col("relation")], F.lit(0.5))
-    ids = chunks.select("id").distinct()
-    more = related.join(seeds.select(F.col("id").alias("seed_id"), "score", F.col("ord").alias("seed_ord")), "seed_id").join(ids, "id", "left_semi")
-    own = seeds.select("id", "score", F.struct("ord", F.lit(0).cast("long").alias("k")).alias("at"))
-    both = own.union(more.select("id", F.col("score") * factor, F.struct("seed_ord", "rel_ord")))
-    first = both.groupBy("id").agg(F.min(F.struct("at", "score")).alias("f")).select("id", "f.score", "f.at")
-    ranked = first.orderBy("at", "id").limit(cap) if cap is not None else first
-    return ranked.select("id", "score", F.col("at.ord").alias("seed_ord"), F.col("at.k").alias("rel_ord"))
+    more = related.join(seeds.select(*by, F.col("id").alias("seed_id"), "score", F.col("ord").alias("seed_ord")), [*by, "seed_id"])
+    if chunks is not None:
+        more = more.join(chunks.select("id").distinct(), "id", "left_semi")
+    own = seeds.select(*by, "id", "score", F.struct("ord", F.lit(0).cast("long").alias("k")).alias("at"))
+    both = own.union(more.select(*by, "id", F.col("score") * factor, F.struct("seed_ord", "rel_ord")))
+    first = both.groupBy(*by, "id").agg(F.min(F.struct("at", "score")).alias("f")).select(*by, "id", "f.score", "f.at")
+    if cap is not None and by:
+        first = first.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("at", "id"))).where(F.col("_n") <= cap)
+    elif cap is not None:
+        first = first.orderBy("at", "id").limit(cap)
+    return first.select(*by, "id", "score", F.col("at.ord").alias("seed_ord"), F.col("at.k").alias("rel_ord"))
+
+
+#: Lines of one bucket in joins of line ranges.
+BUCKET_LINES = 64
+
+
+def _bucketed(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """One row for each bucket of lines that a range touches."""
+    bucket = lambda c: F.floor(F.col(c) / BUCKET_LINES)
+    return ranges.withColumn("_bucket", F.explode(F.sequence(bucket(start), F.greatest(bucket(start), bucket(end)))))
 
 
 def parents(chunks: DataFrame) -> DataFrame:
-    """(id, parent_id): the first other chunk, by start line, that contains a chunk's lines."""
-    side = _named(chunks, "p_", ["id", "start_line", "end_line", "ord"], "file_path")
-    joined = chunks.select("file_path", "id", "start_line", "end_line").join(side, "file_path")
-    inside = joined.where("p_id <> id and p_start_line <= start_line and p_end_line >= end_line")
+    """(id, parent_id): the first other chunk, by start line, that contains a chunk's lines.
+
+    A chunk meets those that touch the bucket of its first line, so a long file
+    is not joined with itself.
+    """
+    side = _bucketed(_named(chunks, "p_", ["id", "start_line", "end_line", "ord"], "file_path"), "p_start_line", "p_end_line")
+    child = chunks.select("file_path", "id", "start_line", "end_line", F.floor(F.col("start_line") / BUCKET_LINES).alias("_bucket"))
+    inside = child.join(side, ["file_path", "_bucket"]).where("p_id <> id and p_start_line <= start_line and p_end_line >= end_line")
     return inside.groupBy("id").agg(F.min_by("p_id", F.struct("p_start_line", "p_ord", "p_id")).alias("parent_id"))
 
 
@@ -67,9 +93,14 @@ def siblings(chunks: DataFrame, parent_of: DataFrame) -> DataFrame:
 
 
 def overlap_edges(chunks: DataFrame, shared_lines: int = 1) -> DataFrame:
-    """(src_id, dst_id): chunks of one file whose line ranges share lines, both ways."""
-    other = _named(chunks, "o_", ["id", "start_line", "end_line"], "file_path")
-    joined = chunks.select("file_path", "id", "start_line", "end_line").join(other, "file_path").where("id < o_id and o_start_line <= end_line and start_line <= o_end_line")
+    """(src_id, dst_id): chunks of one file whose line ranges share lines, both ways.
+
+    Two ranges that share lines meet in the bucket of the later one's first line.
+    """
+    own = _bucketed(chunks.select("file_path", "id", "start_line", "end_line"), "start_line", "end_line")
+    other = _named(own, "o_", ["id", "start_line", "end_line"], "file_path", "_bucket")
+    joined = own.join(other, ["file_path", "_bucket"]).where("id < o_id and o_start_line <= end_line and start_line <= o_end_line")
+    joined = joined.where(F.col("_bucket") == F.floor(F.greatest("start_line", "o_start_line") / BUCKET_LINES))
     found = joined.where(F.least("end_line", "o_end_line") - F.greatest("start_line", "o_start_line") + 1 >= shared_lines).select(F.col("id").alias("src_id"), F.col("o_id").alias("dst_id"))
     return found.union(found.select("dst_id", "src_id"))
 
@@ -85,9 +116,8 @@ def same_file_expansion(seeds: DataFrame, chunks: DataFrame, fetched: int, kept:
     Of ``fetched`` chunks in file order ``kept`` are taken; the score is the
     seed's times ``factor``, or ``fixed`` where no factor is given.
     """
-    order = Window.partitionBy("seed_id").orderBy("ord", "id")
-    joined = seeds.select(F.col("id").alias("seed_id"), F.col("score").alias("seed_score"), "file_path").join(chunks.select("file_path", "id", "ord"), "file_path")
-    first = joined.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fetched)
+    order = Window.partitionBy("seed_id").orderBy("_place")
+    first = seeds.select(F.col("id").alias("seed_id"), F.col("score").alias("seed_score"), "file_path").join(first_chunks(chunks.select("file_path", "id", "ord"), fetched, ("ord", "id")), "file_path")
     new = first.join(seeds.select("id"), "id", "left_anti").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= kept)
     return new.select("seed_id", "id", (F.col("seed_score") * factor if factor is not None else F.lit(fixed)).alias("score"))
 
@@ -102,14 +132,30 @@ def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: tuple[str, .
     return candidates.join(files.select(F.col("file_path").alias("target")).distinct(), "target", "left_semi").distinct().select("file_path", "target")
 
 
-def symbol_references(symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(file_path, name, defined_in): symbols whose name is one of an import's words, in other files.
+def symbol_references(symbols: DataFrame, imports: DataFrame, gram: int = 3) -> DataFrame:
+    """(file_path, name, defined_in): symbols whose name occurs anywhere in an import of another file.
 
-    Import texts are cut into identifiers first, so the join is by equality.
+    Names and imports meet on the name's first ``gram`` characters, which the import must
+    hold, so the join is by equality and only such candidates are tested whole.
     """
-    words = imports.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("import_text", F.lit(r"[\p{L}\p{N}_]+"), 0))).alias("name"))
-    defined = symbols.select("name", F.col("file_path").alias("defined_in"))
-    return words.join(defined, "name").where("file_path <> defined_in").select("file_path", "name", "defined_in").distinct()
+    text = F.col("import_text")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda at: F.array(*[F.substring(text, at, n) for n in range(1, gram + 1)]))))
+    held = imports.select("file_path", "import_text", F.explode(grams).alias("_key"))
+    defined = symbols.where("name <> ''").select("name", F.col("file_path").alias("defined_in"), F.substring("name", 1, gram).alias("_key"))
+    return held.join(defined, "_key").where("file_path <> defined_in and contains(import_text, name)").select("file_path", "name", "defined_in").distinct()
+
+
+def dependency_context(items: DataFrame, dependencies: DataFrame, shown: DataFrame, key: str, importance: str, most: int) -> DataFrame:
+    """The items that selected ones depend on and that are not shown yet: the ``most`` important."""
+    wanted = items.join(dependencies.select(key).distinct(), key, "left_semi").join(shown.select(key).distinct(), key, "left_anti")
+    return wanted.orderBy(F.desc(importance), key).limit(most)
+
+
+def replaced_imports(relations: DataFrame, file: str, target: str, order: str) -> DataFrame:
+    """(file, target): the import map after updates in ``order``; the last one of a file replaces its targets."""
+    last = relations.groupBy(file).agg(F.max(order).alias(order))
+    return relations.join(last, [file, order], "left_semi").select(file, target).distinct()
 
 
 def neighbours(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:

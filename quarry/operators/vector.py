@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import write_scratch
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -70,51 +72,71 @@ def post_filtered_top_k(vectors: DataFrame, query: Iterable[float], k: int, filt
     return near.where(matches(filters)).orderBy(F.desc("score"), F.asc(options.get("key", "vec_id"))).limit(k)
 
 
-def _nearest(queries: np.ndarray, ids: np.ndarray, k: int, metric: str):
-    """The k best of each partition for each query: running arrays of queries x k."""
+#: Bytes of question vectors that one scan of the vectors serves, and questions scored at once.
+SCAN_BYTES, BLOCK = 64 << 20, 2048
+
+
+def _nearest(queries: np.ndarray, ids: np.ndarray, k: int, metric: str, kind: pa.DataType, block: int):
+    """The k best of each partition for each query: running arrays of queries x k, scored in blocks of queries."""
 
-    def scores(block: np.ndarray) -> np.ndarray:
+    def scores(rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
         if metric == "dot_product":
-            return block @ queries.T
+            return rows @ asked.T
         if metric == "cosine":
-            scale = np.linalg.norm(block, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None]
+            scale = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(asked, axis=1)[None]
             with np.errstate(invalid="ignore", divide="ignore"):
-                return (block @ queries.T) / scale
-        out = np.empty((len(block), len(queries)))
-        for j, q in enumerate(queries):
-            out[:, j] = -(np.abs(block - q).sum(axis=1) if metric == "manhattan" else np.sqrt(((block - q) ** 2).sum(axis=1)))
+                return (rows @ asked.T) / scale
+        out = np.empty((len(rows), len(asked)))
+        for j, q in enumerate(asked):
+            out[:, j] = -(np.abs(rows - q).sum(axis=1) if metric == "manhattan" else np.sqrt(((rows - q) ** 2).sum(axis=1)))
         return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, keys = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+        blocks = [slice(at, at + block) for at in range(0, len(ids), block)]
+        held: list[tuple | None] = [None] * len(blocks)
         for batch in batches:
             batch = batch.filter(batch.column(1).is_valid())
             if not batch.num_rows:
                 continue
-            block = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            found = scores(block).T
-            best = np.concatenate([best, np.where(np.isnan(found), -np.inf, found)], axis=1)
-            keys = np.concatenate([keys, np.broadcast_to(batch.column(0).to_numpy(), found.shape)], axis=1)
-            order = np.lexsort((keys, -best), axis=1)[:, :k]
-            best, keys = np.take_along_axis(best, order, 1), np.take_along_axis(keys, order, 1)
-        row, column = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys[row, column]), pa.array(best[row, column])], ["query_id", "id", "score"])
+            rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+            names = np.array(batch.column(0).to_pylist())
+            for b, z in enumerate(blocks):
+                found = scores(rows, queries[z]).T
+                best, keys = np.where(np.isnan(found), -np.inf, found), np.broadcast_to(names, found.shape)
+                if held[b] is not None:
+                    best, keys = np.concatenate([held[b][0], best], axis=1), np.concatenate([held[b][1], keys], axis=1)
+                order = np.lexsort((keys, -best), axis=1)[:, :k]
+                held[b] = np.take_along_axis(best, order, 1), np.take_along_axis(keys, order, 1)
+        for z, best in zip(blocks, held, strict=True):
+            if best is not None:
+                row, column = np.nonzero(np.isfinite(best[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[z][row].tolist(), kind), pa.array(best[1][row, column].tolist(), kind), pa.array(best[0][row, column])], ["query_id", "id", "score"])
 
     return run
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 2048, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(query_id, id, score, ord): the k nearest rows for every query, exact.
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK, vector: str = "embedding", key: str = "vec_id", scan_bytes: int = SCAN_BYTES) -> DataFrame:
+    """(query_id, id, score, ord): the k nearest rows for every query, exact; keys are numbers or strings.
 
-    Queries go out in blocks of ``block`` vectors; one scan of the vectors per
-    block scores them by matrix products and keeps k rows a query and
-    partition, so only queries x partitions x k rows are shuffled.
+    One scan of the vectors serves ``scan_bytes`` of questions, which go out with
+    its tasks and are scored in blocks by matrix products; each partition keeps k
+    rows a question, so only queries x partitions x k rows are shuffled.  More
+    questions are dealt into written parts, one scan each: the driver never
+    holds more than one.
     """
-    asked = queries.select(key, vector).where(F.col(vector).isNotNull()).toArrow()
-    ids, found = asked[key].to_numpy(), None
-    matrix = np.array(asked[vector].to_pylist(), np.float64).reshape(len(ids), -1)
-    for at in range(0, max(1, len(ids)), block):
-        part = vectors.select(F.col(key).cast("long"), vector).mapInArrow(_nearest(matrix[at : at + block], ids[at : at + block], k, metric), "query_id long, id long, score double")
+    kind = "string" if dict(vectors.dtypes)[key] == "string" else "long"
+    asked = queries.select(F.col(key).cast(kind).alias(key), vector).where(F.col(vector).isNotNull())
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first()
+    parts = max(1, -(-size["n"] * (size["width"] or 0) * 8 // scan_bytes))
+    if parts > 1:
+        asked = write_scratch(asked.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))), "questions")
+    found = None
+    for p in range(parts):
+        here = (asked.where(F.col("_part") == p) if parts > 1 else asked).select(key, vector).toArrow()
+        ids = np.array(here[key].to_pylist())
+        matrix = np.array(here[vector].to_pylist(), np.float64).reshape(len(ids), -1)
+        run = _nearest(matrix, ids, k, metric, pa.string() if kind == "string" else pa.int64(), block)
+        part = vectors.select(F.col(key).cast(kind), vector).mapInArrow(run, f"query_id {kind}, id {kind}, score double")
         found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return found.withColumn("ord", F.row_number().over(order).cast("long")).where(F.col("ord") <= k)

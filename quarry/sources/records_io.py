@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -33,3 +34,27 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
+
+
+HISTORY = "owner string, history array<string>, saved_at timestamp, total_calculations long"
+
+
+def save_history(entries: DataFrame, path: str, saved_at) -> None:
+    """One JSON row an owner: its entries (owner, at, entry) in order, their number and the time."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "entry"))), lambda x: x["entry"])
+    rows = entries.groupBy("owner").agg(ordered.alias("history"), F.count("*").alias("total_calculations"))
+    rows.select("owner", "history", F.lit(saved_at).cast("timestamp").alias("saved_at"), "total_calculations").write.mode("overwrite").json(path)
+
+
+def load_history(spark: SparkSession, path: str) -> DataFrame:
+    """The saved rows; none where nothing was saved."""
+    return read_state(spark, path, HISTORY)
+
+
+def file_info(spark: SparkSession, path: str) -> dict:
+    """Does a file or folder exist, how many bytes has it, and when was it changed?"""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return {"exists": False}
+    return {"exists": True, "size_bytes": fs.getContentSummary(place).getLength(), "modified": fs.getFileStatus(place).getModificationTime(), "filename": path}

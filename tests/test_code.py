@@ -59,3 +59,35 @@ def test_paired_and_semantic_pieces():
     assert code.paired_pieces(text)[0].startswith("import x\ndef a()")
     windows = code.semantic_windows("import x\n" + "".join(f"def f{k}():\n    return {'1 + ' * 200}1\n" for k in range(20)), 500)
     assert len(windows) > 1 and all(w.startswith("import x") for w in windows)
+
+
+def test_semantic_windows_of_the_query(spark):
+    """The registered query's windows: they hold every line, within the budget where a segment allows it."""
+    from quarry.plans import code_plans
+
+    data = "/root/testdata/sf0.001"
+    texts = {r["file_path"]: r["content"] for r in code_plans.code_files(spark, data, "py").collect()}
+    found = {}
+    for r in code_plans.t13(spark, data).orderBy("file_path", "ord").collect():
+        found.setdefault(r["file_path"], []).append(r["content"])
+    assert set(found) == set(texts)
+    for path, windows in found.items():
+        imports = [x for x in texts[path].split("\n") if x.startswith(("import ", "from "))]
+        first, *more = windows
+        assert first + "".join(w.split("\n", len(imports))[-1] for w in more) == texts[path]
+        assert all(w.split("\n")[: len(imports)] == imports for w in windows)
+
+
+@pytest.mark.parametrize(
+    ("suffix", "text", "expected"),
+    [
+        ("ts", "interface Shape<T> {\n  area(): number;\n}\nexport default class A extends B {\n  private m<T>(x: T): T { return x; }\n}\nexport const f = async (a: number) => {\n  return a;\n};\n", [("interface_declaration", "Shape"), ("class_declaration", "A")]),
+        ("java", "package a;\n// class Hidden { }\n/* class Other { } */\npublic final class A<T extends B> extends C<T> implements D {\n  static class Inner { }\n  void m() { String s = \"} class X {\"; }\n}\nrecord P(int x) { }\n", [("class_declaration", "A"), ("class_declaration", "P")]),
+        ("kt", "sealed class A {\n  class B : A()\n  companion object { val x = 1 }\n}\nfun <T> List<T>.second(): T {\n  return this[1]\n}\nfun short(x: Int) = x + 1\n", [("class_declaration", "A"), ("function_declaration", "second"), ("function_declaration", "short")]),
+        ("scala", "sealed trait T {\n  def a: Int\n}\ncase object O extends T { def a = 1 }\ndef top(x: Int): Int = {\n  x\n}\n", [("trait_declaration", "T"), ("object_declaration", "O"), ("function_declaration", "top")]),
+    ],
+)
+def test_declarations_in_real_shapes(suffix, text, expected):
+    """Generics, nested types, comments and strings that look like code, extension functions: nothing inside a container is cut twice."""
+    found = [(c[5], c[6]) for c in code.brace_chunks(f"a.{suffix}", "p", text, suffix) if c[5] != "module"]
+    assert [x for x in found if x in expected] == expected and not {"Inner", "B", "Hidden", "Other", "X", "m", "area"} & {n for _, n in found}

@@ -1,5 +1,6 @@
 """Operators whose folds are hard to see in SQL, on small hand-made rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,93 @@ def test_truncation_and_fuzzy(spark):
     row = spark.createDataFrame([("one\ntwo\nthree", "usr", "my_user", "my_usr2")], "c string, t string, a string, b string")
     got = row.select(X.truncate_at_lines(F.col("c"), 9), X.fuzzy_contains(F.col("t"), F.col("b")), X.fuzzy_contains(F.col("t"), F.lit("abc")), X.class_name(F.lit("x\nclass Foo(Bar):"))).first()
     assert list(got) == ["one\ntwo\n# ... (truncated)", True, False, "Foo"]
+
+
+def test_batch_search_in_several_scans(spark):
+    """Questions beyond one scan's bytes, number and text keys: the same results."""
+    from quarry.operators import vector
+
+    pick = np.random.default_rng(2)
+    rows = [(i, f"k{i:03d}", [float(x) for x in pick.normal(size=6)]) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "vec_id long, name string, embedding array<float>").repartition(4)
+    whole = {(r["query_id"], r["ord"]): r["id"] for r in vector.batch_top_k(vectors, vectors.where("vec_id % 3 = 0"), 4).collect()}
+    cut = {(r["query_id"], r["ord"]): r["id"] for r in vector.batch_top_k(vectors, vectors.where("vec_id % 3 = 0"), 4, scan_bytes=500).collect()}
+    named = {(int(r["query_id"][1:]), r["ord"]): int(r["id"][1:]) for r in vector.batch_top_k(vectors, vectors.where("vec_id % 3 = 0"), 4, key="name").collect()}
+    assert len(whole) == 160 and whole == cut == named
+
+
+def test_packed_context_against_a_plain_fold(spark):
+    """Repeats dropped, neighbours merged, packed by score: the query's contexts, made again row by row."""
+    import hashlib
+
+    from quarry.operators import retrieval
+    from quarry.plans import retrieval_plans as plans
+
+    data = "/root/testdata/sf0.001"
+    found = [r.asDict() for r in retrieval.retrieve(plans.asked_rows(spark, data), plans.chunk_rows(spark, data), plans.K).collect()]
+    made = {r["question"]: r for r in plans.x4_answers(spark, data).collect()}
+    assert set(made) == {r["question"] for r in found}
+    for question in made:
+        rows = sorted((r for r in found if r["question"] == question), key=lambda r: (-r["score"], r["id"]))
+        kept = []
+        for r in rows:
+            same = any(k["content"].strip(" ") == r["content"].strip(" ") for k in kept)
+            inside = any(k["file_path"] == r["file_path"] and k["start_line"] <= r["end_line"] and k["end_line"] >= r["start_line"] and r["end_line"] - r["start_line"] <= k["end_line"] - k["start_line"] for k in kept)
+            if not same and not inside:
+                kept.append(r)
+        islands = []
+        for path in sorted({r["file_path"] for r in kept}):
+            for r in sorted((r for r in kept if r["file_path"] == path), key=lambda r: (r["start_line"], rows.index(r))):
+                last = islands[-1] if islands and islands[-1]["file_path"] == path else None
+                if last is None or r["start_line"] > last["end_line"] + 5:
+                    islands.append({**r, "n": 1})
+                    continue
+                lines, shared = r["content"].split("\n"), last["end_line"] - r["start_line"] + 1
+                if r["start_line"] <= last["end_line"] and 0 < shared < len(lines):
+                    rest = "\n".join(lines[shared:])
+                    last["content"] += "\n" + rest if rest.strip(" ") else ""
+                elif r["start_line"] <= last["end_line"] + 2:
+                    last["content"] += "\n" + r["content"]
+                else:
+                    last["content"] += "\n\n# ... (gap) ...\n\n" + r["content"]
+                last |= {"end_line": max(last["end_line"], r["end_line"]), "score": max(last["score"], r["score"]), "n": last["n"] + 1}
+        used, parts = 0, []
+        for r in sorted(islands, key=lambda r: (-r["score"], r["file_path"], r["start_line"])):
+            text = f"# {r['file_path']}:{r['start_line']}-{r['end_line']}\n{r['content']}"
+            size = max(1, len(text) // 4)
+            if used + size <= 4000:
+                parts.append(text)
+                used += size
+                continue
+            fit, n = 0, 0
+            for line in text.split("\n"):
+                if fit + len(line) + 1 > (4000 - used) * 4:
+                    break
+                fit, n = fit + len(line) + 1, n + 1
+            if 4000 - used >= 50 and n:
+                parts.append("\n".join(text.split("\n")[:n]))
+                used += fit // 4
+            break
+        row = made[question]
+        assert (row["tokens"], row["chunks"]) == (used, sum(r["n"] for r in islands))
+        assert row["digest"] == hashlib.md5("\n\n".join(parts).encode()).hexdigest()
+
+
+def test_line_ranges_meet_in_buckets(spark):
+    """Parents and overlaps of long and short ranges, against all pairs."""
+    from quarry.operators import relations
+
+    pick = np.random.default_rng(7)
+    rows = []
+    for i in range(150):
+        start = int(pick.integers(1, 900))
+        rows.append((f"c{i:03d}", f"f{i % 3}", start, start + int(pick.choice([0, 3, 60, 64, 200, 500])), i))
+    chunks = spark.createDataFrame(rows, "id string, file_path string, start_line long, end_line long, ord long")
+    met = {(a, b) for a, f, s, e, _ in rows for b, g, t, u, _ in rows if a != b and f == g and s <= u and t <= e}
+    assert {tuple(r) for r in relations.overlap_edges(chunks).collect()} == met
+    held = {}
+    for a, f, s, e, _ in rows:
+        over = [(t, k, b) for b, g, t, u, k in rows if a != b and f == g and t <= s and u >= e]
+        if over:
+            held[a] = min(over)[2]
+    assert {r["id"]: r["parent_id"] for r in relations.parents(chunks).collect()} == held
