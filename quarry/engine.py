@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import query as Q
 from quarry.functions.text import estimated_tokens
-from quarry.operators import code, embedding, expansion, fusion, relations, rerank, vector
+from quarry.operators import code, embedding, retrieval
 from quarry.sources.chunk_table import ChunkTable, coerced
 from quarry.sources.files import INDEX_EXTENSIONS, read_files
 
@@ -39,64 +39,47 @@ class Engine:
         row = self.table.read().where(F.col("project_path") == project_path).agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("chunks"), F.count("embedding").alias("embedded")).first()
         return row.asDict()
 
+    def _asked(self, question: str) -> DataFrame:
+        vector = [float(x) for x in self.make_embedder().encode([question])[0]]
+        return self.spark.createDataFrame([(0, question, vector)], "question long, query string, vector array<float>")
+
+    def _embed(self, more: DataFrame) -> DataFrame:
+        return embedding.embed(more, F.col("query"), self.make_embedder, "vector")
+
+    def _rows(self, project_path: str | None) -> DataFrame:
+        return self.table.read([project_path] if project_path else None)
+
     def retrieve(self, question: str, project_path: str | None = None, top_k: int = 10) -> DataFrame:
         """Nearest chunks, with related ones of their files, re-ranked by words and by what the question is."""
-        asked = self.make_embedder().encode([question])[0]
-        rows = self.table.read()
-        if project_path:
-            rows = rows.where(F.col("project_path") == project_path)
-        rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id")).cast("long"))
-        near = vector.top_k(rows, asked, 2 * top_k, key="id")
-        seeds = near.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
-        united = relations.with_related(seeds, relations.related_chunks(seeds, rows), rows, int(1.5 * top_k))
-        found = united.join(rows.drop("score", "ord"), "id")
-        analysed = found.withColumn("_q", F.lit(question))
-        score = rerank.lexical(F.col("score"), F.col("_q"), F.col("chunk_type"), F.col("content"))
-        score = rerank.by_question_type(score, Q.query_type(F.col("_q")), Q.symbols(F.col("_q")), F.col("chunk_type"), F.col("content"), F.col("file_path"))
-        return analysed.withColumn("score", score).drop("_q").orderBy(F.desc("score"), "seed_ord", "rel_ord", "id").limit(top_k)
+        return retrieval.retrieve(self._asked(question), self._rows(project_path), top_k).orderBy("ord")
 
     def multi_stage(self, question: str, project_path: str | None = None, top_k: int = 10) -> DataFrame:
         """(id, score, sightings): exact-symbol, semantic and broader stages fused by id, best first."""
-        one = self.spark.createDataFrame([(question,)], "q string")
-        asked = one.select(Q.symbols(F.col("q")).alias("symbols"), Q.broader_queries(F.col("q")).alias("broader")).first()
-        stages = []
-        for symbol in asked["symbols"][:3]:
-            near = self.retrieve(symbol, project_path, max(1, top_k // max(1, len(asked["symbols"])) + 2))
-            stages.append(near.withColumn("score", rerank.exact_symbol(F.col("score"), F.lit(symbol), F.col("content"))).where("score is not null"))
-        stages.append(self.retrieve(question, project_path, top_k))
-        for broader in asked["broader"][:2]:
-            stages.append(self.retrieve(broader, project_path, max(1, top_k // 2)).withColumn("score", F.col("score") * 0.7))
-        seen = None
-        for k, stage in enumerate(stages):
-            rows = stage.select("id", "score", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) + k * 10_000).alias("ord"))
-            seen = rows if seen is None else seen.unionByName(rows)
-        return fusion.fuse_scores(seen, ["id"]).orderBy(F.desc("score"), "id").limit(top_k)
+        return retrieval.multi_stage(self._asked(question), self._rows(project_path), top_k, self._embed).orderBy("ord").select("id", "score", "sightings")
 
     def boosted(self, question: str, activity_state: DataFrame, now, project_path: str | None = None, top_k: int = 10) -> DataFrame:
         """Twice the results, re-scored by recent work on their files (clamped), the best ``top_k``.
 
         ``activity_state`` has file_path, last_edited, last_opened and edit_frequency.
         """
-        found = self.retrieve(question, project_path, 2 * top_k).join(activity_state, "file_path", "left")
-        hours = lambda c: (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col(c).cast("timestamp"))) / F.lit(3600e6)
-        boost = rerank.edit_recency(hours("last_edited")) * rerank.open_recency(hours("last_opened")) * rerank.edit_frequency(F.coalesce("edit_frequency", F.lit(0))) * rerank.name_patterns(F.col("file_path"), F.lit(question))
-        return found.withColumn("score", rerank.clamped(F.col("score"), boost)).orderBy(F.desc("score"), "id").limit(top_k)
+        return retrieval.boosted(self._asked(question), self._rows(project_path), activity_state, now, top_k).orderBy("ord")
 
     def query(self, question: str, project_path: str | None = None, max_tokens: int = 8000, top_k: int = 10, expand: bool = False, level: str | None = None, seen: DataFrame | None = None) -> DataFrame:
-        """One row: the packed context, its tokens and the number of chunks in it."""
+        """One row: the packed context, its tokens and the number of chunks in it.
+
+        ``level`` widens budget and results and adds what that level of expansion finds;
+        ``expand`` shows the lines round each result; ``seen`` ids are left out.
+        """
+        asked, rows = self._asked(question), self._rows(project_path)
         if level is not None:
             max_tokens, top_k = Q.expansion_parameters(max_tokens, top_k, level)
-        found = self.retrieve(question, project_path, top_k)
-        if seen is not None:
-            found = relations.unseen(found, seen)
-        if expand:
-            found = expansion.expand_windows(found, read_files(self.spark, project_path, INDEX_EXTENSIONS, project=project_path)) if project_path else found
-        ranked = found.withColumn("question", F.lit(question)).withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
-        merged = fusion.merge_adjacent(fusion.drop_repeats(ranked).select("id").join(ranked, "id"), ["question", "file_path"])
-        ordered = merged.withColumn("ord", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "file_path", "start_line")).cast("long"))
-        headed = ordered.withColumn("content", F.concat(F.lit("# "), "file_path", F.lit(":"), "start_line", F.lit("-"), "end_line", F.lit("\n"), "content"))
-        packed = fusion.group_context(headed, "question", max_tokens)
-        return packed.select("question", "context", F.col("used").alias("tokens"), F.lit(top_k).alias("top_k"))
+            more = retrieval.expanded(asked, rows, top_k, level, self._embed).where(F.col("ord") <= top_k)
+            found = more.join(rows.select("id", "file_path", "chunk_type", "start_line", "end_line", "content"), "id")
+        else:
+            found = retrieval.retrieve(asked, rows, top_k)
+        files = read_files(self.spark, project_path, INDEX_EXTENSIONS, project=project_path) if expand and project_path else None
+        packed = retrieval.packed(found, max_tokens, files, seen)
+        return packed.select(F.lit(question).alias("question"), "context", "tokens", "chunks", F.lit(top_k).alias("top_k"))
 
     def context(self, project_path: str, question: str | None = None, max_tokens: int = 8000) -> DataFrame:
         """Whole files of a project by size and name within the budget, or those a question's words occur in."""
