@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.chunking import line_windows
@@ -35,11 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_path() -> Column:
+    """The path that stands for a document."""
+    return F.concat(F.lit("src/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files: file_path, project_path, language, content."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("src/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return docs.select(path.alias("file_path"), F.col("source").alias("project_path"), F.col("lang").alias("language"), F.coalesce("text", F.lit("")).alias("content"))
+    return docs.select(file_path().alias("file_path"), F.col("source").alias("project_path"), F.col("lang").alias("language"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 #: The same as DuckDB CTEs; a query's SQL goes on after them.
@@ -92,3 +96,22 @@ activity AS (
            CASE WHEN event_type IN ('view', 'click') THEN 'open' WHEN event_type = 'purchase' THEN 'edit' ELSE 'close' END AS activity,
            ts, coalesce(value, 0.0) AS time_spent
     FROM events)"""
+
+
+def embedded_sql(rows: str, keys: str, text: str, dimension: int) -> str:
+    """CTEs that end in ``embedded``: keys, and the sum of (place + 1) x value over a text's hashed vector."""
+    digit = lambda n: f"(strpos('0123456789abcdef', substring(m, {n}, 1)) - 1)"
+    place = " + ".join(f"{16 ** (4 - n)} * {digit(n)}" for n in range(1, 5))
+    return rf"""
+asked_texts AS (SELECT {keys}, {text} AS t FROM {rows}),
+ws AS (SELECT {keys}, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+')) AS w FROM asked_texts),
+grams AS (SELECT {keys}, md5(w) AS m FROM ws UNION ALL SELECT {keys}, md5(substring(w, k, 3)) FROM (SELECT {keys}, w, unnest(range(1, length(w) - 1)) AS k FROM ws)),
+cells AS (SELECT {keys}, ({place}) % {dimension} AS b, sum(CASE WHEN {digit(5)} >= 8 THEN 1 ELSE -1 END) AS x FROM grams GROUP BY ALL),
+sums AS (SELECT {keys}, sum((b + 1) * x) / nullif(sqrt(sum(x * x)), 0) AS total FROM cells GROUP BY ALL),
+embedded AS (SELECT {keys}, round(coalesce(total, 0), 3) AS total FROM asked_texts LEFT JOIN sums USING ({keys}))"""
+
+
+def vector_total(vector: Column) -> Column:
+    """The same of a made vector."""
+    places = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), 3)

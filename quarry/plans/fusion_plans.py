@@ -10,6 +10,7 @@ from quarry.operators import fusion as U
 from quarry.plans.base import FILES, QUESTIONS, chunks, chunks_sql, files, query, questions, table
 from quarry.plans.relation_plans import SEEDS, TYPED, seed_rows, typed_chunks
 from quarry.plans.vector_plans import _BATCH, _COS, _DOT, RESULTS, results
+from quarry.sources.chunk_table import coerced, latest_by_id
 
 
 def found_texts(spark, sf_dir):
@@ -95,9 +96,12 @@ def u8(spark, sf_dir):
     return names.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("s")), ",").alias("symbols"))
 
 
-@query("u9_keep_last_by_id", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+@query("u9_keep_last_by_id", "SELECT 'e' || user_id AS id, arg_max(event_type, event_id) AS content FROM events GROUP BY user_id")
 def u9(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    """A batch of chunk rows in which ids repeat: the last one of each stays."""
+    events = table(spark, sf_dir, "events")
+    batch = coerced(events.select(F.concat(F.lit("e"), "user_id").alias("id"), F.col("event_type").alias("content"), F.timestamp_seconds("event_id").alias("updated_at")))
+    return latest_by_id(batch).select("id", "content")
 
 
 @query("a1_group_by_file", f"WITH {SEEDS} SELECT file_path AS group_key, count(*) AS n, array_to_string(list(CAST(start_line AS VARCHAR) ORDER BY start_line, id), ',') AS starts FROM seeds GROUP BY file_path")
@@ -112,14 +116,14 @@ def a2(spark, sf_dir):
 
 
 _ISLANDS = """
-strong AS (SELECT * FROM chunks WHERE score > 0.5),
+strong AS (SELECT * FROM chunks),
 m AS (SELECT *, max(end_line) OVER (PARTITION BY file_path ORDER BY start_line, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM strong),
 isl AS (SELECT *, sum(CASE WHEN start_line > reach + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY start_line, ord ROWS UNBOUNDED PRECEDING) AS island FROM m)"""
 
 
 @query("a3_adjacent_spans", f"WITH {chunks_sql(8)},{_ISLANDS} SELECT file_path, CAST(island AS BIGINT) AS island, min(start_line) AS start_line, max(end_line) AS end_line, round(max(score), 6) AS score, count(*) AS merged FROM isl GROUP BY file_path, island")
 def a3(spark, sf_dir):
-    return U.merge_adjacent(chunks(spark, sf_dir, 8).where("score > 0.5"), ["file_path"]).drop("content").withColumn("score", F.round("score", 6))
+    return U.merge_adjacent(chunks(spark, sf_dir, 8), ["file_path"]).drop("content").withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -132,7 +136,7 @@ def a3(spark, sf_dir):
              ELSE a.c || chr(10) || chr(10) || '# ... (gap) ...' || chr(10) || chr(10) || x.c END, 's': a.s, 'e': greatest(a.e, x.e)}}).c AS content FROM g""",
 )
 def a3_content(spark, sf_dir):
-    return U.merge_adjacent(chunks(spark, sf_dir, 8).where("score > 0.5"), ["file_path"]).select("file_path", "island", "content")
+    return U.merge_adjacent(chunks(spark, sf_dir, 8), ["file_path"]).select("file_path", "island", "content")
 
 
 _GROUPS = """
@@ -166,7 +170,23 @@ def a6(spark, sf_dir):
     return U.first_by_id(U.group_scores(typed_chunks(spark, sf_dir), ["project_path", "file_path"]).withColumn("k", -F.col("group_score")), ["project_path"], ["k", "file_path"]).select("project_path", "file_path")
 
 
-@query("a7_group_context")
+#: Characters of the leading lines (each with its end) that fit into the rest of a budget, and how many lines those are.
+_PREFIX = "list_filter(range(1, len({ls}) + 1), lambda n: list_sum(list_transform({ls}[1:n], lambda y: length(y) + 1)) <= {room})"
+_A7_FIT = _PREFIX.format(ls="string_split(x.c, chr(10))", room="(400 - a.used) * 4")
+_A7_SIZE = f"CAST(coalesce(list_sum(list_transform(string_split(x.c, chr(10))[1:len({_A7_FIT})], lambda y: length(y) + 1)), 0) AS BIGINT)"
+
+
+@query(
+    "a7_group_context",
+    f"""WITH {chunks_sql(8)},
+    g AS (SELECT file_path, list({{'c': content, 't': CAST(greatest(1, length(content) // 4) AS BIGINT), 'used': 0::BIGINT, 'done': false, 'parts': []::VARCHAR[]}} ORDER BY ord) AS l FROM chunks GROUP BY file_path),
+    r AS (SELECT file_path, list_reduce(list_prepend({{'c': '', 't': 0::BIGINT, 'used': 0::BIGINT, 'done': false, 'parts': []::VARCHAR[]}}, l), lambda a, x:
+        CASE WHEN a.done THEN a
+             WHEN a.used + x.t <= 400 THEN {{'c': x.c, 't': x.t, 'used': a.used + x.t, 'done': false, 'parts': list_append(a.parts, x.c)}}
+             WHEN 400 - a.used >= 50 AND len({_A7_FIT}) > 0 THEN {{'c': x.c, 't': x.t, 'used': a.used + {_A7_SIZE} // 4, 'done': true, 'parts': list_append(a.parts, array_to_string(string_split(x.c, chr(10))[1:len({_A7_FIT})], chr(10)))}}
+             ELSE {{'c': x.c, 't': x.t, 'used': a.used, 'done': true, 'parts': a.parts}} END) AS f FROM g)
+    SELECT file_path, array_to_string(f.parts, chr(10) || chr(10)) AS context, f.used AS used FROM r""",
+)
 def a7(spark, sf_dir):
     return U.group_context(chunks(spark, sf_dir, 8), "file_path", 400)
 
@@ -199,7 +219,23 @@ def a11(spark, sf_dir):
     return items.select("question").distinct().join(taken, "question", "left").select("question", F.coalesce("taken", F.lit("")).alias("taken"))
 
 
-@query("a11_greedy_packing_files")
+_A11_FIT = _PREFIX.format(ls="x.ls", room="(2000 - a.used) * 4")
+_A11_SIZE = f"CAST(coalesce(list_sum(list_transform(x.ls[1:len({_A11_FIT})], lambda y: length(y) + 1)), 0) AS BIGINT)"
+_A11_NONE = "[]::STRUCT(id BIGINT, tokens BIGINT, truncated BOOLEAN)[]"
+
+
+@query(
+    "a11_greedy_packing_files",
+    f"""WITH {FOUND},
+    l AS (SELECT question, list({{'id': id, 't': CAST(greatest(1, length(content) // 4) AS BIGINT), 'ls': string_split(content, chr(10)), 'used': 0::BIGINT, 'done': false, 'taken': {_A11_NONE}}} ORDER BY score DESC, ord) AS l FROM found GROUP BY question),
+    r AS (SELECT question, list_reduce(list_prepend({{'id': 0::BIGINT, 't': 0::BIGINT, 'ls': []::VARCHAR[], 'used': 0::BIGINT, 'done': false, 'taken': {_A11_NONE}}}, l), lambda a, x:
+        CASE WHEN a.done THEN a
+             WHEN a.used + x.t <= 2000 THEN {{'id': x.id, 't': x.t, 'ls': x.ls, 'used': a.used + x.t, 'done': false, 'taken': list_append(a.taken, {{'id': x.id, 'tokens': x.t, 'truncated': false}})}}
+             WHEN a.used < 1800 AND {_A11_SIZE} > 0 THEN {{'id': x.id, 't': x.t, 'ls': x.ls, 'used': a.used + greatest(1, {_A11_SIZE} // 4), 'done': true, 'taken': list_append(a.taken, {{'id': x.id, 'tokens': greatest(1, {_A11_SIZE} // 4), 'truncated': true}})}}
+             ELSE a END).taken AS taken FROM l),
+    u AS (SELECT question, unnest(range(0, len(taken))) AS ord, unnest(taken) AS t FROM r)
+    SELECT question, t.id AS id, ord, t.tokens AS tokens, t.truncated AS truncated FROM u""",
+)
 def a11_files(spark, sf_dir):
     items = found_texts(spark, sf_dir).select("question", "id", "ord", "content", F.col("score").alias("relevance"), F.lit(1.0).alias("importance"), F.lit("file").alias("kind"))
     return U.greedy_packing(items, "question", 2000)
@@ -231,16 +267,32 @@ def a15(spark, sf_dir):
     return chunks(spark, sf_dir, 8).groupBy("language", "chunk_type").agg(F.count("*").alias("n"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines")).orderBy(F.desc("n"), "language").limit(5)
 
 
-@query("a21_project_dump", f"WITH {FILES} SELECT project_path, md5(array_to_string(list('# ' || file_path || chr(10) || content ORDER BY file_path), chr(10))) AS digest, count(*) AS files FROM files GROUP BY project_path")
+@query("a21_project_dump", f"WITH {FILES} SELECT project_path, file_path, md5('# ' || file_path || chr(10) || content) AS digest, CAST(sum(length(file_path) + length(content) + 4) OVER (PARTITION BY project_path ORDER BY file_path) - length(file_path) - length(content) - 4 AS BIGINT) AS starts_at FROM files")
 def a21(spark, sf_dir):
-    part = F.struct("file_path", "content")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: F.concat(F.lit("# "), x["file_path"], F.lit("\n"), x["content"])), "\n")
-    return files(spark, sf_dir).groupBy("project_path").agg(F.md5(text.cast("binary")).alias("digest"), F.count("*").alias("files"))
+    """The dump of a project as its files' parts in order, each with the place where it begins: no task holds a whole project."""
+    part = F.concat(F.lit("# "), "file_path", F.lit("\n"), "content")
+    size = F.length(part) + 1  # and the line end between parts
+    rows = files(spark, sf_dir).select("project_path", "file_path", F.md5(part.cast("binary")).alias("digest"), size.alias("size"))
+    before = F.sum("size").over(Window.partitionBy("project_path").orderBy("file_path"))
+    return rows.select("project_path", "file_path", "digest", (before - F.col("size")).cast("long").alias("starts_at"))
+
+
+def part_symbols(spark, sf_dir):
+    words = F.posexplode(F.split("p_name", " ")).alias("pos", "symbol")
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("file_path"), words).select("file_path", "symbol", (F.col("pos") + 1).alias("start_line"))
+
 
+_PART_SYMBOLS = "syms AS (SELECT 'f' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS file_path, unnest(string_split(p_name, ' ')) AS symbol, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS start_line FROM part)"
 
-@query("a22_symbol_to_file", "SELECT p_name AS symbol, max(p_partkey) AS last_file, count(*) AS n FROM part GROUP BY p_name")
+
+@query("a22_symbol_to_file", f"WITH {_PART_SYMBOLS} SELECT symbol, max(file_path) AS last_file, count(*) AS n FROM syms GROUP BY symbol")
 def a22(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("symbol")).agg(F.max("p_partkey").alias("last_file"), F.count("*").alias("n"))
+    return U.symbol_map(part_symbols(spark, sf_dir)).select("symbol", F.col("file_path").alias("last_file"), "n")
+
+
+@query("a22_symbols_by_file", f"WITH {_PART_SYMBOLS} SELECT file_path, array_to_string(list(symbol ORDER BY start_line, symbol), ',') AS symbols FROM syms GROUP BY file_path")
+def a22_files(spark, sf_dir):
+    return U.symbols_by_file(part_symbols(spark, sf_dir)).select("file_path", F.array_join("symbols", ",").alias("symbols"))
 
 
 @query("o1_top_by_score", f"WITH {chunks_sql(8)} SELECT id, round(score, 6) AS score FROM chunks ORDER BY chunks.score DESC, id LIMIT 25")

@@ -8,35 +8,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions import query as Q
 from quarry.functions.text import estimated_tokens
-from quarry.operators import code, embedding, fusion, relations, rerank, vector
-from quarry.plans.base import FILES, chunks, chunks_sql, files, query, questions, table
-from quarry.plans.relation_plans import SEEDS, seed_rows, typed_chunks
-from quarry.plans.source_plans import code_files, stored
+from quarry.operators import activity, embedding, fusion, relations, rerank, vector
+from quarry.plans.base import FILES, QUESTIONS, chunks, chunks_sql, embedded_sql, files, query, questions, table, vector_total
+from quarry.plans.relation_plans import SEEDS, TYPED, seed_rows, typed_chunks
+from quarry.plans.source_plans import stored
 from quarry.plans.vector_plans import RESULTS, results
 from quarry.session import scratch_path
 from quarry.sources import records_io
-from quarry.sources.files import EMBED_EXTENSIONS, INDEX_EXTENSIONS
-
-def _by_suffix(spark, sf_dir, extensions):
-    suffix = F.regexp_extract("file_path", r"(\.[a-z]+)$", 1)
-    return code_files(spark, sf_dir).where(suffix.isin(*extensions)).groupBy(suffix.alias("suffix")).agg(F.count("*").alias("files"))
-
-
-@query("s2_scan_by_patterns", "SELECT unnest(['.py', '.java', '.js', '.kt', '.scala']) AS suffix, (SELECT count(*) FROM nation) AS files")
-def s2(spark, sf_dir):
-    return _by_suffix(spark, sf_dir, INDEX_EXTENSIONS)
-
-
-@query("s3_scan_and_parse", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, 5::BIGINT AS symbols FROM nation")
-def s3(spark, sf_dir):
-    symbols, _ = code.extract_symbols(code_files(spark, sf_dir))
-    return symbols.where(F.endswith("file_path", F.lit(".py"))).groupBy("file_path").agg(F.count("*").alias("symbols"))
-
-
-@query("s4_scan_for_index", "SELECT unnest(['.py', '.java', '.js', '.kt']) AS suffix, (SELECT count(*) FROM nation) AS files")
-def s4(spark, sf_dir):
-    return _by_suffix(spark, sf_dir, EMBED_EXTENSIONS)
-
 
 @query("s5_tolerant_decoding", "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
 def s5(spark, sf_dir):
@@ -46,19 +24,9 @@ def s5(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(decoded(broken).cast("binary")).alias("digest"))
 
 
-@query("s6_file_lookup", f"WITH {SEEDS} SELECT id, length(f.content) AS file_chars FROM seeds JOIN files f USING (file_path)")
+@query("s6_file_lookup", f"WITH {TYPED} SELECT id, length(f.content) AS file_chars FROM typed JOIN files f USING (file_path)")
 def s6(spark, sf_dir):
-    return seed_rows(spark, sf_dir).select("id", "file_path").join(files(spark, sf_dir).select("file_path", F.length("content").cast("long").alias("file_chars")), "file_path").select("id", "file_chars")
-
-
-@query("s13_clear", "SELECT CAST(0 AS BIGINT) AS n")
-def s13(spark, sf_dir):
-    return stored(spark, sf_dir).where(F.lit(False)).agg(F.count("*").alias("n"))
-
-
-@query("s16_health_probe", "SELECT 1::BIGINT AS alive")
-def s16(spark, sf_dir):
-    return stored(spark, sf_dir).limit(1).agg(F.count("*").alias("alive"))
+    return typed_chunks(spark, sf_dir).select("id", "file_path").join(files(spark, sf_dir).select("file_path", F.length("content").cast("long").alias("file_chars")), "file_path").select("id", "file_chars")
 
 
 @query("s17_index_round_trip", "SELECT vec_id, label, len(embedding) AS dimension FROM embeddings")
@@ -82,6 +50,15 @@ def k5(spark, sf_dir):
     return records_io.restore(spark, path, "c_custkey long, c_name string, c_acctbal double")
 
 
+@query("k23_history_round_trip", "SELECT 'c' || o_custkey AS owner, count(*) AS total_calculations, md5(array_to_string(list(o_orderkey || ' = ' || o_orderpriority ORDER BY o_orderdate, o_orderkey), ';')) AS digest FROM orders GROUP BY o_custkey")
+def k23(spark, sf_dir):
+    orders, path = table(spark, sf_dir, "orders"), scratch_path(spark, "history")
+    entry = F.concat("o_orderkey", F.lit(" = "), "o_orderpriority")
+    records_io.save_history(orders.select(F.concat(F.lit("c"), "o_custkey").alias("owner"), F.struct("o_orderdate", "o_orderkey").alias("at"), entry.alias("entry")), path, "2024-01-10")
+    assert records_io.file_info(spark, path)["exists"] and not records_io.file_info(spark, path + "-none")["exists"]
+    return records_io.load_history(spark, path).select("owner", "total_calculations", F.md5(F.array_join("history", ";").cast("binary")).alias("digest"))
+
+
 @query("k8_csv_round_trip", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
 def k8(spark, sf_dir):
     path = scratch_path(spark, "csv")
@@ -89,50 +66,11 @@ def k8(spark, sf_dir):
     return records_io.read_csv(spark, path)
 
 
-def _kinds(spark, sf_dir, *languages):
-    return code.chunk_files(code_files(spark, sf_dir)).where(F.col("language").isin(*languages)).groupBy("language", "chunk_type").agg(F.count("*").alias("n"))
-
-
-@query("t1_dispatch", "SELECT unnest(['py', 'java', 'js', 'kt', 'scala']) AS language, (SELECT count(*) FROM nation) AS files")
-def t1(spark, sf_dir):
-    return code.chunk_files(code_files(spark, sf_dir)).groupBy("language").agg(F.countDistinct("file_path").alias("files"))
-
-
-@query("t3_class_chunks", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, true AS has_imports, 6::INTEGER AS start_line FROM nation")
-def t3(spark, sf_dir):
-    found = code.chunk_files(code_files(spark, sf_dir)).where("chunk_type = 'class_complete'")
-    return found.select("file_path", F.startswith("content", F.lit("import os\nfrom region")).alias("has_imports"), "start_line")
-
-
-@query("t5_module_chunks", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, 1::BIGINT AS modules FROM nation")
-def t5(spark, sf_dir):
-    constants = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.concat(F.lit("NAME_"), k.cast("string"), F.lit(" = 'a constant of the module'"))), "\n")
-    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py"))).withColumn("content", F.concat("content", F.lit("\n"), constants))
-    return code.chunk_files(python).where("chunk_type = 'module'").groupBy("file_path").agg(F.count("*").alias("modules"))
-
-
-@query("t6_script_chunks", "SELECT * FROM (VALUES ('js', 'class_declaration', 25::BIGINT), ('js', 'function_declaration', 50)) t(language, chunk_type, n)")
-def t6(spark, sf_dir):
-    return _kinds(spark, sf_dir, "js")
-
-
-@query("t7_java_chunks", "SELECT * FROM (VALUES ('java', 'class_declaration', 25::BIGINT), ('java', 'interface_declaration', 25)) t(language, chunk_type, n)")
-def t7(spark, sf_dir):
-    return _kinds(spark, sf_dir, "java")
-
-
-@query("t8_kotlin_scala_chunks", "SELECT * FROM (VALUES ('kt', 'class_declaration', 25::BIGINT), ('kt', 'function_declaration', 25), ('scala', 'class_declaration', 25), ('scala', 'object_declaration', 25)) t(language, chunk_type, n)")
-def t8(spark, sf_dir):
-    return _kinds(spark, sf_dir, "kt", "scala")
-
-
 @query("p1_exact_tokens")
 def p1(spark, sf_dir):
-    """With the tokenizer file of the environment; the estimate where there is none."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return files(spark, sf_dir).select("file_path", estimated_tokens(F.col("content")).alias("tokens"))
+    """Byte-level BPE counts with the environment's 50k vocabulary, which stands for one that is not on the box; an error without it."""
+    import public_tokenizers
+
     from quarry.functions.tokens import with_token_counts
 
     return with_token_counts(files(spark, sf_dir).select("file_path", "content"), "content", public_tokenizers.path("byte_bpe_50k.json")).drop("content")
@@ -143,34 +81,21 @@ def p5(spark, sf_dir):
     return files(spark, sf_dir).select("file_path", F.when(Q.contains_any(F.col("content"), ["class ", "def "]), "code").otherwise("text").alias("kind"))
 
 
-@query("e4_embedded_questions", "SELECT conv_id AS session_id, turn, 64 AS dimension FROM conversations WHERE role = 'user'")
+@query("e4_embedded_questions", f"WITH {QUESTIONS},{embedded_sql('questions', 'session_id, turn', 'query', 64)} SELECT session_id, turn, total FROM embedded")
 def e4(spark, sf_dir):
     made = embedding.embed(questions(spark, sf_dir), F.col("query"), lambda: embedding.HashingEmbedder(64))
-    return made.select("session_id", "turn", F.size("embedding").alias("dimension"))
+    return made.select("session_id", "turn", vector_total(F.col("embedding")).alias("total"))
 
 
-@query("e6_ingest_without_blanks", f"WITH {chunks_sql(8)} SELECT id, 32 AS dimension FROM chunks WHERE trim(content) <> ''")
+@query("e6_ingest_without_blanks", f"WITH {chunks_sql(8)}, shown AS (SELECT * FROM chunks WHERE trim(content) <> ''),{embedded_sql('shown', 'id', 'content', 32)} SELECT id, total FROM embedded")
 def e6(spark, sf_dir):
     kept = chunks(spark, sf_dir, 8).where(F.trim("content") != "").select("id", "content")
-    return embedding.embed(kept, F.col("content"), lambda: embedding.HashingEmbedder(32)).select("id", F.size("embedding").alias("dimension"))
-
-
-@query("v12_retrieval_with_context", f"WITH {SEEDS}, x AS (SELECT id, score * (1 + 0.1::DOUBLE * len(list_filter(['the', 'der'], lambda w: contains(lower(content), w)))) * CASE WHEN chunk_type = 'class_complete' THEN 1.2::DOUBLE ELSE 1 END AS s, project_path FROM seeds) SELECT project_path, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY project_path ORDER BY s DESC, id) AS n FROM x) WHERE n <= 2")
-def v12(spark, sf_dir):
-    c = F.col
-    scored = seed_rows(spark, sf_dir).withColumn("score", _asked(c("score"), c("chunk_type"), c("content")))
-    order = Window.partitionBy("project_path").orderBy(F.desc("score"), "id")
-    return scored.withColumn("_n", F.row_number().over(order)).where("_n <= 2").select("project_path", "id", F.round("score", 6).alias("score"))
-
-
-def _asked(score, chunk_type, content):
-    """The lexical re-rank for the words ``the`` and ``der`` of a question about a class."""
-    return rerank.lexical(score, F.lit("the der"), chunk_type, content) * F.when(chunk_type == "class_complete", 1.2).otherwise(1.0)
+    return embedding.embed(kept, F.col("content"), lambda: embedding.HashingEmbedder(32)).select("id", vector_total(F.col("embedding")).alias("total"))
 
 
-@query("j11_import_replacement", "SELECT l_orderkey, max(l_linenumber) AS line, max(struct_pack(a := l_linenumber, b := l_partkey)).b AS target FROM lineitem GROUP BY l_orderkey")
+@query("j11_import_replacement", "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1) USING (l_orderkey) WHERE l_linenumber = m")
 def j11(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("line"), F.max(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("target"))
+    return relations.replaced_imports(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_partkey", "l_linenumber")
 
 
 @query("a9_fallback_fusion", f"WITH {SEEDS}, r AS (SELECT project_path, id, ord, CAST(sum(greatest(1, length(content) // 4)) OVER (PARTITION BY project_path ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM seeds) SELECT * FROM r WHERE running <= 500")
@@ -178,28 +103,6 @@ def a9(spark, sf_dir):
     return fusion.prefix_packing(seed_rows(spark, sf_dir), "project_path", 500, estimated_tokens(F.col("content"))).select("project_path", "id", "ord", "running")
 
 
-_THREE = f"""{RESULTS},
-st AS (SELECT query_id, id, ord, score * 1.2::DOUBLE AS score FROM results WHERE ord <= 3 UNION ALL SELECT query_id, id, 1000 + ord, score FROM results UNION ALL SELECT query_id, id, 2000 + ord, score * 0.7::DOUBLE FROM results WHERE ord <= 5),
-g AS (SELECT query_id, id, list({{'s': score, 'n': 1}} ORDER BY ord) AS l FROM st GROUP BY ALL),
-f AS (SELECT query_id, id, list_reduce(l, lambda a, x: {{'s': ((a.s + x.s) / 2) * (1 + 0.15::DOUBLE * a.n), 'n': a.n + 1}}).s AS score FROM g)"""
-
-
-@query("r5_multi_stage", f"WITH {_THREE} SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM f) WHERE n <= 5")
-def r5(spark, sf_dir):
-    found = results(spark, sf_dir).select("query_id", "id", "ord", "score")
-    stage = lambda most, shift, factor: found.where(F.col("ord") <= most).select("query_id", "id", (F.col("ord") + shift).alias("ord"), (F.col("score") * factor).alias("score"))
-    fused = fusion.fuse_scores(stage(3, 0, 1.2).union(stage(10, 1000, 1.0)).union(stage(5, 2000, 0.7)), ["query_id", "id"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return fused.withColumn("_n", F.row_number().over(order)).where("_n <= 5").select("query_id", "id", F.round("score", 6).alias("score"))
-
-
-@query("r9_boosted_retrieval", f"WITH {RESULTS}, b AS (SELECT query_id, id, greatest(score * 0.5::DOUBLE, least(score * 3, score * CASE WHEN id % 4 = 0 THEN 2.0::DOUBLE ELSE 1 END)) AS score FROM results) SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM b) WHERE n <= 5")
-def r9(spark, sf_dir):
-    boosted = results(spark, sf_dir).withColumn("score", rerank.clamped(F.col("score"), F.when(F.col("id") % 4 == 0, 2.0).otherwise(1.0)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return boosted.withColumn("_n", F.row_number().over(order)).where("_n <= 5").select("query_id", "id", F.round("score", 6).alias("score"))
-
-
 @query("o3_by_importance", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 def o3(spark, sf_dir):
     return table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select("p_partkey", "p_retailprice")
@@ -217,23 +120,11 @@ def o6(spark, sf_dir):
     return seed_rows(spark, sf_dir).orderBy("ord", "id").limit(15).select("id", "ord")
 
 
-@query("o7_oldest_first", "SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20")
+@query("o7_oldest_first", "SELECT o_orderkey AS session_id FROM orders EXCEPT SELECT * FROM (SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 200)")
 def o7(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").limit(20).select("o_orderkey")
-
-
-@query("x2_expansion_levels", f"WITH {SEEDS}, x0 AS (SELECT s.id AS seed_id, c.id, c.ord, s.score, row_number() OVER (PARTITION BY s.id ORDER BY c.ord, c.id) AS n FROM seeds s JOIN typed c USING (file_path)), x1 AS (SELECT id, max(score * 0.7::DOUBLE) AS score FROM x0 WHERE n <= 8 AND id NOT IN (SELECT id FROM seeds) GROUP BY id) SELECT id, round(score, 6) AS score FROM (SELECT id, score FROM seeds UNION ALL SELECT id, score FROM x1)")
-def x2(spark, sf_dir):
-    seeds, both = seed_rows(spark, sf_dir), typed_chunks(spark, sf_dir)
-    more = relations.same_file_expansion(seeds, both, 8, 8, 0.7).groupBy("id").agg(F.max("score").alias("score"))
-    return seeds.select("id", "score").union(more).select("id", F.round("score", 6).alias("score"))
-
-
-@query("x3_moderate_expansion", f"WITH {RESULTS} SELECT query_id, id, round(score * 0.8::DOUBLE, 6) AS score FROM results WHERE ord BETWEEN 5 AND 8")
-def x3(spark, sf_dir):
-    found = results(spark, sf_dir)
-    shown = found.where("ord <= 4").select("query_id", "id")
-    return found.where("ord <= 8").join(shown, ["query_id", "id"], "left_anti").select("query_id", "id", F.round(F.col("score") * 0.8, 6).alias("score"))
+    """A cache of a thousand sessions is full: the oldest fifth of its capacity goes."""
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("ts"))
+    return activity.evict_oldest(sessions, 1_000).select("session_id")
 
 
 @query("x4_answer_summary", f"WITH {SEEDS}, l AS (SELECT project_path, greatest(1, length(content) // 4) AS t, sum(greatest(1, length(content) // 4)) OVER (PARTITION BY project_path ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS running FROM seeds) SELECT project_path, count(*) AS chunks, CAST(sum(t) AS BIGINT) AS tokens FROM l WHERE running <= 2000 GROUP BY project_path")

@@ -50,11 +50,6 @@ def r3(spark, sf_dir):
     return G.rank_within(hits, "symbol", [F.desc("score"), F.asc("id")], 5).select("symbol", "id", F.round("score", 6).alias("score"))
 
 
-@query("r4_broader_stage", f"WITH {RESULTS} SELECT query_id, id, round(score * 0.7::DOUBLE, 6) AS score FROM results WHERE ord <= 5")
-def r4(spark, sf_dir):
-    return results(spark, sf_dir).where("ord <= 5").select("query_id", "id", F.round(F.col("score") * 0.7, 6).alias("score"))
-
-
 @query("r6_relevance_feedback", f"WITH {RESULTS} SELECT query_id, id, round(score * CASE WHEN id % 10 = 1 THEN 1.5::DOUBLE WHEN id % 5 = 1 THEN 0.5::DOUBLE ELSE 1 END, 6) AS score FROM results")
 def r6(spark, sf_dir):
     ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
@@ -117,11 +112,11 @@ def r11(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().select("name", R.symbol_relevance(F.col("name"), terms).alias("relevance"))
 
 
-@query("r12_file_item_score", f"WITH {SEEDS} SELECT id, round(score * CASE WHEN ends_with(file_path, '.txt') THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN contains(lower(content), 'model') OR contains(lower(content), 'data') THEN 1.3::DOUBLE ELSE 1 END, 6) AS score FROM seeds")
+@query("r12_file_item_score", f"WITH {TYPED} SELECT id, round(score * CASE WHEN ends_with(file_path, '.txt') THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN contains(lower(content), 'model') OR contains(lower(content), 'data') THEN 1.3::DOUBLE ELSE 1 END, 6) AS score FROM typed")
 def r12(spark, sf_dir):
     low = F.lower("content")
     score = F.col("score") * F.when(F.endswith("file_path", F.lit(".txt")), 1.5).otherwise(1.0) * F.when(Q.contains_any(low, ["model", "data"]), 1.3).otherwise(1.0)
-    return seed_rows(spark, sf_dir).select("id", F.round(score, 6).alias("score"))
+    return typed_chunks(spark, sf_dir).select("id", F.round(score, 6).alias("score"))
 
 
 @query("r13_symbol_item_score", f"WITH {_NAMES} SELECT DISTINCT name, round(0.1::DOUBLE * importance + CASE WHEN name = 'steel' THEN 5 ELSE 0 END + CASE WHEN contains(name, 'steel') THEN 2 ELSE 0 END + CASE WHEN contains(lower(name), 'blue') THEN 1 ELSE 0 END, 6) * CASE WHEN starts_with(name, '_') THEN 1 ELSE 1.05::DOUBLE END AS score FROM names")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import relations as R
-from quarry.plans.base import ACTIVITY, activity, chunks, chunks_sql, query, table
+from quarry.plans.base import ACTIVITY, activity, chunks, chunks_sql, file_path, query, table
+from quarry.plans.vector_plans import RESULTS, results
 
 
 def typed_chunks(spark, sf_dir):
@@ -25,14 +26,22 @@ typed AS (SELECT * REPLACE (row_number() OVER (PARTITION BY file_path ORDER BY s
 
 
 def seed_rows(spark, sf_dir):
-    """Per project the three best chunks: a small retrieval result."""
-    order = Window.partitionBy("project_path").orderBy(F.desc("score"), "id")
-    best = typed_chunks(spark, sf_dir).withColumn("_n", F.row_number().over(order)).where("_n <= 3")
-    return best.withColumn("ord", F.row_number().over(Window.partitionBy("project_path").orderBy(F.desc("score"), "id")).cast("long")).drop("_n")
+    """What the batch of vector questions retrieves, as chunks: of every file found the best small chunk, with the file's best hit as score.
 
+    ``ord`` ranks the seeds of a project.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), file_path().alias("file_path"))
+    hits = results(spark, sf_dir).join(docs, "id").groupBy("file_path").agg(F.round(F.max("score"), 6).alias("hit"))
+    best = Window.partitionBy("file_path").orderBy(F.desc("score"), "id")
+    small = typed_chunks(spark, sf_dir).where("chunk_type = 'text'").join(hits, "file_path").withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    ranked = small.withColumn("score", F.col("hit")).drop("_n", "hit")
+    return ranked.withColumn("ord", F.row_number().over(Window.partitionBy("project_path").orderBy(F.desc("score"), "id")).cast("long"))
 
-SEEDS = f"""{TYPED},
-seeds AS (SELECT * EXCLUDE (n) REPLACE (n AS ord) FROM (SELECT *, row_number() OVER (PARTITION BY project_path ORDER BY score DESC, id) AS n FROM typed) WHERE n <= 3)"""
+
+SEEDS = f"""{TYPED},{RESULTS},
+hits AS (SELECT 'src/' || source || '/doc_' || doc_id || '.txt' AS file_path, round(max(score), 6) AS hit FROM results JOIN documents ON doc_id = id GROUP BY 1),
+small AS (SELECT t.*, hit, row_number() OVER (PARTITION BY t.file_path ORDER BY score DESC, id) AS best FROM typed t JOIN hits ON hits.file_path = t.file_path WHERE chunk_type = 'text'),
+seeds AS (SELECT * EXCLUDE (hit, best) REPLACE (hit AS score, row_number() OVER (PARTITION BY project_path ORDER BY hit DESC, id) AS ord) FROM small WHERE best = 1)"""
 
 _RELATED = """
 rel0 AS (SELECT s.id AS seed_id, c.id, c.ord, c.chunk_type, c.start_line, c.end_line, s.start_line AS ss, s.end_line AS se, s.chunk_type AS st,
@@ -106,20 +115,26 @@ def j7(spark, sf_dir):
     return R.resolve_imports(imports, known)
 
 
-@query("j8_symbol_references", "WITH w AS (SELECT DISTINCT s_suppkey, unnest(regexp_extract_all(s_name, '[\\p{L}\\p{N}_]+')) AS name FROM supplier), d AS (SELECT p_partkey, unnest(regexp_extract_all(p_name, '[\\p{L}\\p{N}_]+')) AS name FROM part) SELECT DISTINCT 'part_' || p_partkey AS file_path, d.name, 'names' AS defined_in FROM d WHERE d.name IN (SELECT split_part(p_type, ' ', 1) FROM part) OR d.name IN (SELECT lower(split_part(p_name, ' ', 1)) FROM part)")
+@query(
+    "j8_symbol_references",
+    """WITH names AS (SELECT DISTINCT name FROM (SELECT split_part(p_type, ' ', 1) AS name FROM part UNION ALL SELECT lower(split_part(p_name, ' ', 1)) FROM part UNION ALL SELECT 'a' UNION ALL SELECT left(p_brand, 2) FROM part) WHERE name <> ''),
+    imports AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS import_text, 'part_' || p_partkey AS file_path FROM part)
+    SELECT DISTINCT file_path, name, 'names' AS defined_in FROM imports JOIN names ON contains(import_text, name)""",
+)
 def j8(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    names = part.select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("name")).union(part.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))).distinct()
-    imports = part.select(F.concat(F.lit("part_"), "p_partkey").alias("file_path"), F.col("p_name").alias("import_text"))
-    return R.symbol_references(names.select("name", F.lit("names").alias("file_path")), imports)
+    word = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    names = part.select(word("p_type").alias("name")).union(part.select(F.lower(word("p_name")))).union(part.select(F.substring("p_brand", 1, 2))).union(spark.createDataFrame([("a",)], "name string"))
+    imports = part.select(F.concat(F.lit("part_"), "p_partkey").alias("file_path"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("import_text"))
+    return R.symbol_references(names.where("name <> ''").distinct().select("name", F.lit("names").alias("file_path")), imports)
 
 
 @query("j9_dependency_context", "WITH sel AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'), deps AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM sel)), seen AS (SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F') SELECT p_partkey, p_retailprice FROM part WHERE p_partkey IN (SELECT l_partkey FROM deps) AND p_partkey NOT IN (SELECT l_partkey FROM seen) ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
 def j9(spark, sf_dir):
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    of = lambda status: lines.join(orders.where(F.col("o_orderstatus") == status), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    of = lambda status: lines.join(orders.where(F.col("o_orderstatus") == status), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_partkey").alias("p_partkey"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    return part.join(of("P"), "p_partkey", "left_semi").join(of("F"), "p_partkey", "left_anti").orderBy(F.desc("p_retailprice"), "p_partkey").limit(25)
+    return R.dependency_context(part, of("P"), of("F"), "p_partkey", "p_retailprice", 25)
 
 
 @query("j10_temporal_band_join", f"WITH {ACTIVITY}, e AS (SELECT DISTINCT file_path, session_id, ts FROM activity WHERE activity = 'edit') SELECT DISTINCT a.session_id, a.file_path AS a, b.file_path AS b FROM e a JOIN e b ON a.session_id = b.session_id AND a.file_path <> b.file_path AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < 600 * 1000000")
@@ -127,9 +142,9 @@ def j10(spark, sf_dir):
     return R.band_pairs(activity(spark, sf_dir).where("activity = 'edit'"), 600, within=["session_id"]).select("session_id", "a", "b")
 
 
-@query("j12_unseen_results", f"WITH {SEEDS} SELECT id FROM typed WHERE id NOT IN (SELECT id FROM seeds) AND score > 0.9")
+@query("j12_unseen_results", f"WITH {SEEDS} SELECT id FROM typed WHERE id NOT IN (SELECT id FROM seeds)")
 def j12(spark, sf_dir):
-    return R.unseen(typed_chunks(spark, sf_dir).where("score > 0.9"), seed_rows(spark, sf_dir)).select("id")
+    return R.unseen(typed_chunks(spark, sf_dir), seed_rows(spark, sf_dir)).select("id")
 
 
 _EXPANSION = """

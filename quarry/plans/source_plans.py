@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import code, embedding, expansion, relations
-from quarry.plans.base import FILES, chunks, chunks_sql, files, query, table
-from quarry.plans.relation_plans import SEEDS, seed_rows, typed_chunks
+from quarry.operators import embedding, expansion, relations
+from quarry.plans.base import FILES, chunks, chunks_sql, embedded_sql, files, query, table, vector_total
+from quarry.plans.relation_plans import _PARENTS, TYPED, typed_chunks
+from quarry.session import scratch_path
 from quarry.sources import chunk_table as S
 
 
@@ -17,12 +18,22 @@ def stored(spark, sf_dir):
     return S.coerced(rows)
 
 
+def kept_table(spark, sf_dir):
+    """A chunk table of its own that holds ``stored``."""
+    made = S.ChunkTable(spark, scratch_path(spark, "table"))
+    made.write(stored(spark, sf_dir))
+    return made
+
+
 @query("s7_upsert", "SELECT 'v' || vec_id AS id, CASE WHEN label >= 5 THEN 'moved' ELSE 'p' || label END AS project_path FROM embeddings UNION ALL SELECT 'w' || vec_id, 'moved' FROM embeddings WHERE label >= 5")
 def s7(spark, sf_dir):
+    """Rows move between projects, an id occurs twice in the batch (the last wins), rows without a vector are skipped."""
     vectors = table(spark, sf_dir, "embeddings").where("label >= 5")
     made = lambda p, n: vectors.select(F.concat(F.lit(p), "vec_id").alias("id"), F.lit("moved" if n else "stale").alias("project_path"), "embedding", F.lit(n).alias("_at"))
-    batch = made("v", 0).union(made("v", 1)).union(made("w", 1))
-    return S.upserted(stored(spark, sf_dir), _ordered(batch)).select("id", "project_path")
+    bare = vectors.select(F.concat(F.lit("u"), "vec_id").alias("id"), F.lit("moved").alias("project_path"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(2).alias("_at"))
+    held = kept_table(spark, sf_dir)
+    held.upsert(_ordered(made("v", 0).union(made("v", 1)).union(made("w", 1)).union(bare)))
+    return held.read().select("id", "project_path")
 
 
 def _ordered(batch):
@@ -30,6 +41,15 @@ def _ordered(batch):
     return batch.withColumn("updated_at", F.timestamp_seconds(F.col("_at"))).drop("_at")
 
 
+@query("s8_upsert_points", "SELECT 'v' || vec_id AS id, len(embedding) AS dimension, CASE WHEN label < 2 THEN 'again' ELSE 'p' || label END AS project FROM embeddings")
+def s8(spark, sf_dir):
+    """Points of a vector service, written over those of the same id."""
+    points = S.as_points(stored(spark, sf_dir))
+    again = S.as_points(stored(spark, sf_dir).where("project_path in ('p0', 'p1')").withColumn("project_path", F.lit("again")))
+    merged = S.upserted(S.from_points(points), S.from_points(again))
+    return S.as_points(merged).select("id", F.size("vector").cast("long").alias("dimension"), F.col("payload.project_path").alias("project"))
+
+
 @query("s9_points", "SELECT 'v' || vec_id AS id, len(embedding) AS dimension, 'p' || label AS project FROM embeddings")
 def s9(spark, sf_dir):
     points = S.as_points(stored(spark, sf_dir))
@@ -44,13 +64,45 @@ def s10(spark, sf_dir):
 
 @query("s11_delete_by_ids", "SELECT 'v' || vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT s_suppkey FROM supplier)")
 def s11(spark, sf_dir):
-    ids = table(spark, sf_dir, "supplier").select(F.concat(F.lit("v"), "s_suppkey").alias("id"))
-    return stored(spark, sf_dir).join(ids, "id", "left_anti").select("id")
+    held = kept_table(spark, sf_dir)
+    held.delete(table(spark, sf_dir, "supplier").select(F.concat(F.lit("v"), "s_suppkey").alias("id")))
+    held.delete(spark.createDataFrame([], "id string"))
+    return held.read().select("id")
 
 
 @query("s12_delete_project", "SELECT 'v' || vec_id AS id FROM embeddings WHERE label <> 3")
 def s12(spark, sf_dir):
-    return stored(spark, sf_dir).where("project_path <> 'p3'").select("id")
+    held = kept_table(spark, sf_dir)
+    held.delete_project("p3")
+    held.delete_project("")
+    return held.read().select("id")
+
+
+@query("s13_clear", "SELECT 'before' AS state, count(*) AS n FROM embeddings UNION ALL SELECT 'after', 0 UNION ALL SELECT 'written again', count(*) FROM embeddings WHERE label = 1")
+def s13(spark, sf_dir):
+    held = kept_table(spark, sf_dir)
+    count = lambda state: held.read().agg(F.count("*").alias("n")).select(F.lit(state).alias("state"), "n")
+    before = count("before")  # read lazily, after the table has been cleared
+    held.clear()
+    after = count("after")
+    held.upsert(stored(spark, sf_dir).where("project_path = 'p1'"))
+    return before.union(after).union(count("written again"))
+
+
+@query("s14_table_init", "SELECT 'p' || label AS project_path, count(*) AS n FROM embeddings WHERE label <= 2 GROUP BY 1")
+def s14(spark, sf_dir):
+    """An empty table with its schema, then one write for each project: only that project's files are made."""
+    held = S.ChunkTable(spark, scratch_path(spark, "table"))
+    held.create()
+    for k in range(3):
+        held.upsert(stored(spark, sf_dir).where(F.col("project_path") == f"p{k}"))
+    return held.read().groupBy("project_path").agg(F.count("*").alias("n"))
+
+
+@query("s16_health_probe", "SELECT 'kept' AS which, 'healthy' AS status UNION ALL SELECT 'empty', 'healthy'")
+def s16(spark, sf_dir):
+    empty = S.ChunkTable(spark, scratch_path(spark, "table"))
+    return spark.createDataFrame([("kept", kept_table(spark, sf_dir).health()["status"]), ("empty", empty.health()["status"])], "which string, status string")
 
 
 @query("s1_scan_by_extension", f"WITH {FILES} SELECT language, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS chars FROM files WHERE ends_with(file_path, '.txt') GROUP BY language")
@@ -65,59 +117,9 @@ def t14(spark, sf_dir):
     return spark.createDataFrame([(common_directory(files(spark, sf_dir)),)], "common string")
 
 
-def code_files(spark, sf_dir):
-    """Small source files written from table rows, in five languages."""
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.initcap(F.regexp_replace(F.lower("n_name"), " ", "_")).alias("n"))
-    python = F.concat(F.lit("import os\nfrom region import find\n\nLIMIT = "), "k", F.lit("\n\nclass "), "n", F.lit(":\n    \"\"\"A nation.\"\"\"\n    def __init__(self, key: int):\n        self.key = key\n\n    def path(self) -> str:\n        return os.path.join('n', str(self.key))\n\ndef make_"), "k", F.lit("(key, name='x'):\n    return "), "n", F.lit("(key)\n"))
-    java = F.concat(F.lit("package nations;\nimport java.util.List;\n\npublic class "), "n", F.lit(" {\n  private int key = "), "k", F.lit(";\n  public int key() { return key; }\n}\n\ninterface Has"), "n", F.lit(" { int key(); }\n"))
-    script = F.concat(F.lit("import { find } from './region';\n\nexport class "), "n", F.lit(" {\n  key() { return '}'; }\n}\n\nexport function make"), "k", F.lit("(a) {\n  return new X(a); // }\n}\nconst go"), "k", F.lit(" = (a) => { return a; };\n"))
-    kotlin = F.concat(F.lit("import x.y\n\ndata class "), "n", F.lit("(val key: Int) {\n  fun key() = key\n}\n\nfun make"), "k", F.lit("(a: Int): Int {\n  return a\n}\n"))
-    scala = F.concat(F.lit("import x.y\n\ncase class "), "n", F.lit("(key: Int) {\n  def one = 1\n}\n\nobject Make"), "k", F.lit(" {\n  def two = 2\n}\n"))
-    rows = F.array(*[F.struct(F.concat(F.lit("src/"), F.lower("n"), F.lit(s)).alias("file_path"), c.alias("content")) for s, c in ((".py", python), (".java", java), (".js", script), (".kt", kotlin), (".scala", scala))])
-    return nation.select(F.explode(rows).alias("f")).select("f.file_path", F.lit("nations").alias("project_path"), "f.content")
-
-
-@query("t2_code_chunks", "SELECT * FROM (VALUES ('class_complete', 'py', 25::BIGINT), ('function_definition', 'py', 25), ('class_declaration', 'java', 25), ('interface_declaration', 'java', 25), ('class_declaration', 'js', 25), ('function_declaration', 'js', 50), ('class_declaration', 'kt', 25), ('function_declaration', 'kt', 25), ('class_declaration', 'scala', 25), ('object_declaration', 'scala', 25)) t(chunk_type, language, n)")
-def t2(spark, sf_dir):
-    return code.chunk_files(code_files(spark, sf_dir)).groupBy("chunk_type", "language").agg(F.count("*").alias("n")).where("chunk_type <> 'module'")
-
-
-@query("t17_code_symbols", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, 4::BIGINT + 1 AS symbols, 2::BIGINT AS methods FROM nation")
-def t17(spark, sf_dir):
-    symbols, _ = code.extract_symbols(code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py"))))
-    return symbols.groupBy("file_path").agg(F.count("*").alias("symbols"), F.count_if(F.col("type") == "method").alias("methods"))
-
-
-@query("t4_code_imports", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, 'os,region' AS modules FROM nation")
-def t4(spark, sf_dir):
-    _, imports = code.extract_symbols(code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py"))))
-    return imports.groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_set("module")), ",").alias("modules"))
-
-
-@query("p8_class_structure", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, '__init__,path' AS methods, '' AS bases FROM nation")
-def p8(spark, sf_dir):
-    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py")))
-    s = embedding.class_structure(F.col("content"))
-    return python.select("file_path", F.array_join(s["methods"], ",").alias("methods"), F.array_join(s["bases"], ",").alias("bases"))
-
-
-@query("p9_function_structure", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, 'make_' || n_nationkey AS name, 'key,name' AS parameters, 'value' AS returns FROM nation")
-def p9(spark, sf_dir):
-    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py")))
-    s = embedding.function_structure(F.regexp_extract("content", r"(?s)(def make_.*)$", 1))
-    return python.select("file_path", s["name"].alias("name"), F.array_join(s["parameters"], ",").alias("parameters"), s["returns"].alias("returns"))
-
-
-@query("p10_import_structure", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, 'os,region' AS modules, 'find' AS names FROM nation")
-def p10(spark, sf_dir):
-    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py")))
-    s = embedding.import_structure(F.col("content"))
-    return python.select("file_path", F.array_join(s["modules"], ",").alias("modules"), F.array_join(s["names"], ",").alias("names"))
-
-
-@query("p4_embedding_strategy", f"WITH {SEEDS} SELECT id, CASE WHEN chunk_type = 'class_complete' THEN 'class' ELSE 'general' END AS strategy FROM seeds")
+@query("p4_embedding_strategy", f"WITH {TYPED} SELECT id, CASE WHEN chunk_type = 'class_complete' THEN 'class' ELSE 'general' END AS strategy FROM typed")
 def p4(spark, sf_dir):
-    return seed_rows(spark, sf_dir).select("id", embedding.strategy(F.col("chunk_type")).alias("strategy"))
+    return typed_chunks(spark, sf_dir).select("id", embedding.strategy(F.col("chunk_type")).alias("strategy"))
 
 
 @query("p3_embedding_text", f"WITH {chunks_sql(8)} SELECT id, md5('type: general | language: ' || language || ' | file: ' || string_split(file_path, '/')[-1] || CASE WHEN trim(regexp_extract(content, 'class ([^(:\\n]*)', 1)) <> '' THEN ' | class: ' || trim(regexp_extract(content, 'class ([^(:\\n]*)', 1)) ELSE '' END || ' | ' || content) AS digest FROM chunks")
@@ -132,19 +134,24 @@ def p7(spark, sf_dir):
     return files(spark, sf_dir).select("file_path", F.round(embedding.keyword_density(F.col("content"), ["the", "and", "der", "que"]), 6).alias("density"))
 
 
-@query("e1_embed_chunks", f"WITH {chunks_sql(50)} SELECT id, 64 AS dimension, true AS unit FROM chunks")
+@query("e1_embed_chunks", f"WITH {chunks_sql(50)},{embedded_sql('chunks', 'id', chr(39) + 'x ' + chr(39) + ' || content', 64)} SELECT id, 64 AS dimension, total FROM embedded")
 def e1(spark, sf_dir):
     made = embedding.embed(chunks(spark, sf_dir, 50).select("id", "content"), F.concat(F.lit("x "), "content"), lambda: embedding.HashingEmbedder(64))
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return made.select("id", F.size("embedding").alias("dimension"), (F.abs(size - 1) < 1e-4).alias("unit"))
+    return made.select("id", F.size("embedding").alias("dimension"), vector_total(F.col("embedding")).alias("total"))
 
 
-@query("e2_embedding_contexts")
+@query(
+    "e2_embedding_contexts",
+    f"""WITH {TYPED},{_PARENTS},
+    sib AS (SELECT a.id, count(*) AS n FROM parents a JOIN parents b ON a.parent_id = b.parent_id AND a.id <> b.id GROUP BY a.id)
+    SELECT t.id, length(p.content) AS parent_chars, CAST(least(3, coalesce(sib.n, 0)) AS INTEGER) AS siblings
+    FROM typed t LEFT JOIN parents x ON x.id = t.id LEFT JOIN typed p ON p.id = x.parent_id LEFT JOIN sib ON sib.id = t.id""",
+)
 def e2(spark, sf_dir):
     both = typed_chunks(spark, sf_dir)
     parents = relations.parents(both)
     found = embedding.embedding_contexts(both, parents, relations.siblings(both, parents))
-    return found.select("id", F.length("parent_content").alias("parent_chars"), F.size("sibling_contents").alias("siblings"))
+    return found.select("id", F.length("parent_content").alias("parent_chars"), F.coalesce(F.size("sibling_contents"), F.lit(0)).alias("siblings"))
 
 
 @query("e3_parent_blend", "SELECT e.vec_id, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: 0.95::DOUBLE * e.embedding[i]::DOUBLE + 0.05::DOUBLE * q.embedding[i]::DOUBLE)), 5) AS total FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q")
@@ -156,47 +163,21 @@ def e3(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(blended, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("x1_window_expansion", f"WITH {SEEDS}, l AS (SELECT s.*, string_split(f.content, chr(10)) AS ls, greatest(1, length(s.content) // 4) <= 1500 AS small FROM seeds s JOIN files f USING (file_path)) SELECT id AS base_id, small AS expanded, CAST(CASE WHEN small THEN greatest(1, start_line - 15) ELSE start_line END AS BIGINT) AS start_line, CAST(CASE WHEN small THEN least(len(ls), end_line + 15) ELSE end_line END AS BIGINT) AS end_line FROM l")
+@query("x1_window_expansion", f"WITH {TYPED}, l AS (SELECT s.*, string_split(f.content, chr(10)) AS ls, greatest(1, length(s.content) // 4) <= 1500 AS small FROM typed s JOIN files f USING (file_path)) SELECT id AS base_id, small AS expanded, CAST(CASE WHEN small THEN greatest(1, start_line - 15) ELSE start_line END AS BIGINT) AS start_line, CAST(CASE WHEN small THEN least(len(ls), end_line + 15) ELSE end_line END AS BIGINT) AS end_line FROM l")
 def x1(spark, sf_dir):
-    return expansion.expand_windows(seed_rows(spark, sf_dir), files(spark, sf_dir)).select("base_id", "expanded", "start_line", "end_line")
-
-
-@query("p19_expanded_content")
+    return expansion.expand_windows(typed_chunks(spark, sf_dir), files(spark, sf_dir)).select("base_id", "expanded", "start_line", "end_line")
+
+
+@query(
+    "p19_expanded_content",
+    f"""WITH {TYPED},
+    l AS (SELECT s.*, string_split(f.content, chr(10)) AS ls, greatest(1, length(s.content) // 4) <= 1500 AS small FROM typed s JOIN files f USING (file_path)),
+    p AS (SELECT *, array_to_string(ls[greatest(1, start_line - 15) : start_line - 1], chr(10)) AS before, array_to_string(ls[end_line + 1 : end_line + 15], chr(10)) AS after FROM l)
+    SELECT CASE WHEN small THEN id || '_expanded' ELSE id END AS id,
+           md5(CASE WHEN small THEN concat_ws(chr(10), CASE WHEN before <> '' THEN '# --- Context Before ---' || chr(10) || before END, '# --- Main ---', content, CASE WHEN after <> '' THEN '# --- Context After ---' || chr(10) || after END) ELSE content END) AS digest
+    FROM p""",
+)
 def p19(spark, sf_dir):
-    return expansion.expand_windows(seed_rows(spark, sf_dir), files(spark, sf_dir)).select("id", "content")
-
-
-@query("flagship_context", f"""WITH {SEEDS}, l AS (SELECT project_path, id, greatest(1, length(content) // 4) AS tokens, sum(greatest(1, length(content) // 4)) OVER (PARTITION BY project_path ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS running FROM seeds) SELECT project_path, id, tokens, CAST(running AS BIGINT) AS running FROM l WHERE running <= 2000""")
-def flagship(spark, sf_dir):
-    """Per project: the best chunks, packed in order of score into 2,000 estimated tokens."""
-    from quarry.functions.text import estimated_tokens
-    from quarry.operators.fusion import prefix_packing
-
-    tokens = estimated_tokens(F.col("content"))
-    packed = prefix_packing(seed_rows(spark, sf_dir), "project_path", 2000, tokens)
-    return packed.select("project_path", "id", tokens.alias("tokens"), "running")
-
-
-@query("p6_symbols_by_pattern", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, 4::BIGINT AS n FROM nation")
-def p6(spark, sf_dir):
-    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py")))
-    return python.select("file_path", F.size(embedding.symbols_by_pattern(F.col("content"), F.lit("py"))).cast("long").alias("n"))
-
-
-@query("p11_parent_summary", "SELECT 'src/' || lower(replace(n_name, ' ', '_')) || '.py' AS file_path, '__init__,path' AS methods FROM nation")
-def p11(spark, sf_dir):
-    found = code.chunk_files(code_files(spark, sf_dir)).where("chunk_type = 'class_complete'")
-    shown = embedding.parent_summary(F.col("chunk_type"), F.col("content"))
-    return found.select("file_path", F.regexp_replace(F.regexp_extract(shown, "with (.*)$", 1), ", ", ",").alias("methods"))
-
-
-@query("t12_paired_pieces")
-def t12(spark, sf_dir):
-    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py")))
-    return code.text_pieces(python, code.paired_pieces)
+    return expansion.expand_windows(typed_chunks(spark, sf_dir), files(spark, sf_dir)).select("id", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query("t13_semantic_windows")
-def t13(spark, sf_dir):
-    python = code_files(spark, sf_dir).where(F.endswith("file_path", F.lit(".py")))
-    return code.text_pieces(python, code.semantic_windows)

@@ -94,7 +94,13 @@ def p14(spark, sf_dir):
 _KEPT = lambda stops, n: f"list_filter({_WORDS}, lambda w: length(w) > 3 AND NOT list_contains([{', '.join(repr(s) for s in stops)}], w))[1:{n}]"
 
 
-@query("p15_broader_queries", f"WITH {QUESTIONS} SELECT session_id, turn, array_to_string(flatten(list_transform({_KEPT(Q.BROADER_STOPS, 2)}, lambda w: [w || ' implementation', w || ' process'])), '; ') AS broader FROM questions")
+#: A question's type as DuckDB SQL over the column ``query``.
+TYPE_SQL = f"CASE WHEN len({_WORDS}) <= 3 THEN 'SYMBOL_LOOKUP' WHEN greatest({', '.join(_P13.values())}) = 0 THEN 'IMPLEMENTATION' {' '.join(f'WHEN {e} = greatest({chr(44).join(_P13.values())}) THEN {chr(39)}{k}{chr(39)}' for k, e in _P13.items())} END"
+BROADER_SQL = f"""CASE {TYPE_SQL} WHEN 'IMPLEMENTATION' THEN flatten(list_transform({_KEPT(Q.BROADER_STOPS, 2)}, lambda w: [w || ' implementation', w || ' process']))
+    WHEN 'USAGE_EXAMPLES' THEN flatten(list_transform({_KEPT(Q.BROADER_STOPS, 2)}, lambda w: ['using ' || w, w || ' example'])) ELSE [] END"""
+
+
+@query("p15_broader_queries", f"WITH {QUESTIONS} SELECT session_id, turn, array_to_string({BROADER_SQL}, '; ') AS broader FROM questions")
 def p15(spark, sf_dir):
     return questions(spark, sf_dir).select("session_id", "turn", F.array_join(Q.broader_queries(F.col("query")), "; ").alias("broader"))
 
@@ -121,13 +127,6 @@ def p17(spark, sf_dir):
     return chunks(spark, sf_dir, 20).select("id", X.numbered(F.col("content"), F.col("start_line")).alias("shown"))
 
 
-@query("p18_class_name", r"SELECT page_id, trim(regexp_extract(html, 'class ([^(:\n]*)', 1)) AS class_name, trim(regexp_extract(html, '<div ([^(:\n]*)', 1)) AS div_head FROM pages")
-def p18(spark, sf_dir):
-    from quarry.plans.base import table
-
-    return table(spark, sf_dir, "pages").select("page_id", X.class_name(F.col("html")).alias("class_name"), F.trim(F.regexp_extract("html", r"<div ([^(:\n]*)", 1)).alias("div_head"))
-
-
 @query(
     "p20_path_parts",
     f"""WITH {FILES} SELECT file_path, string_split(file_path, '/')[-1] AS name, regexp_replace(string_split(file_path, '/')[-1], '\\.[^.]*$', '') AS stem,
@@ -175,10 +174,22 @@ def p24(spark, sf_dir):
     return files(spark, sf_dir).select("file_path", X.project_match(F.col("project_path"), F.lit("src1")).alias("matches"))
 
 
-@query("p25_expansion_parameters", "SELECT * FROM (VALUES ('conservative', 12000::BIGINT, 15::BIGINT), ('moderate', 16000, 20), ('aggressive', 24000, 25), ('other', 16000, 20)) t(level, max_tokens, top_k)")
+_LEVEL = "CASE o_orderkey % 4 WHEN 0 THEN 'conservative' WHEN 1 THEN 'moderate' WHEN 2 THEN 'aggressive' ELSE 'other' END"
+
+
+@query(
+    "p25_expansion_parameters",
+    f"""WITH o AS (SELECT o_orderkey, {_LEVEL} AS level, CAST(o_custkey * 20 + 100 AS BIGINT) AS tokens, CAST(o_orderkey % 30 + 1 AS BIGINT) AS top_k FROM orders)
+    SELECT o_orderkey, CAST(CASE level WHEN 'conservative' THEN least(floor(tokens * 1.5::DOUBLE), 16000) WHEN 'aggressive' THEN least(tokens * 3, 32000) ELSE least(tokens * 2, 24000) END AS BIGINT) AS max_tokens,
+           CAST(floor(top_k * CASE level WHEN 'conservative' THEN 1.5::DOUBLE WHEN 'aggressive' THEN 2.5::DOUBLE ELSE 2.0::DOUBLE END) AS BIGINT) AS top_k FROM o""",
+)
 def p25(spark, sf_dir):
-    rows = [(level, *Q.expansion_parameters(8000, 10, level)) for level in ("conservative", "moderate", "aggressive", "other")]
-    return spark.createDataFrame(rows, "level string, max_tokens long, top_k long")
+    from quarry.plans.base import table
+
+    key = F.col("o_orderkey")
+    level = F.when(key % 4 == 0, "conservative").when(key % 4 == 1, "moderate").when(key % 4 == 2, "aggressive").otherwise("other")
+    made = Q.expansion_columns((F.col("o_custkey") * 20 + 100).cast("long"), (key % 30 + 1).cast("long"), level)
+    return table(spark, sf_dir, "orders").select("o_orderkey", made["max_tokens"].alias("max_tokens"), made["top_k"].alias("top_k"))
 
 
 @query(
