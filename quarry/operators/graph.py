@@ -16,13 +16,15 @@ def importance(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: fl
     """(key, importance): starts at 1; each round 0.15 + 0.85 * sum over dependents of score / out-degree.
 
     Not divided by the number of nodes, and nothing is redistributed from nodes
-    without dependencies.  One join and one partial aggregation a round.
+    without dependencies.  Edges get their source's out-degree once; then a round is
+    one join and one partial aggregation, and one join that keeps nodes without dependents.
     """
-    out = edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("degree"))
+    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    weighted = write_scratch(edges.select("src", "dst").join(out, "src"), "weighted")
     scores = nodes.select("key").distinct().withColumn("importance", F.lit(1.0))
     for k in range(1, rounds + 1):
-        given = scores.join(out, "key").select(F.col("key").alias("src"), (F.col("importance") / F.col("degree")).alias("gift"))
-        received = edges.join(given, "src").groupBy(F.col("dst").alias("key")).agg(F.sum("gift").alias("got"))
+        gifts = weighted.join(scores.withColumnRenamed("key", "src"), "src").select(F.col("dst").alias("key"), (F.col("importance") / F.col("degree")).alias("gift"))
+        received = gifts.groupBy("key").agg(F.sum("gift").alias("got"))
         scores = scores.select("key").join(received, "key", "left").select("key", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("importance"))
         if k % cut_every == 0 and k < rounds:
             scores = write_scratch(scores, "importance")
