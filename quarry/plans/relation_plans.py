@@ -31,7 +31,7 @@ def seed_rows(spark, sf_dir):
     ``ord`` ranks the seeds of a project.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), file_path().alias("file_path"))
-    hits = results(spark, sf_dir).join(docs, "id").groupBy("file_path").agg(F.round(F.max("score"), 6).alias("hit"))
+    hits = results(spark, sf_dir).join(docs, "id").groupBy("file_path").agg(F.round(F.max("score"), 5).alias("hit"))
     best = Window.partitionBy("file_path").orderBy(F.desc("score"), "id")
     small = typed_chunks(spark, sf_dir).where("chunk_type = 'text'").join(hits, "file_path").withColumn("_n", F.row_number().over(best)).where("_n = 1")
     ranked = small.withColumn("score", F.col("hit")).drop("_n", "hit")
@@ -39,7 +39,7 @@ def seed_rows(spark, sf_dir):
 
 
 SEEDS = f"""{TYPED},{RESULTS},
-hits AS (SELECT 'src/' || source || '/doc_' || doc_id || '.txt' AS file_path, round(max(score), 6) AS hit FROM results JOIN documents ON doc_id = id GROUP BY 1),
+hits AS (SELECT 'src/' || source || '/doc_' || doc_id || '.txt' AS file_path, round(max(score), 5) AS hit FROM results JOIN documents ON doc_id = id GROUP BY 1),
 small AS (SELECT t.*, hit, row_number() OVER (PARTITION BY t.file_path ORDER BY score DESC, id) AS best FROM typed t JOIN hits ON hits.file_path = t.file_path WHERE chunk_type = 'text'),
 seeds AS (SELECT * EXCLUDE (hit, best) REPLACE (hit AS score, row_number() OVER (PARTITION BY project_path ORDER BY hit DESC, id) AS ord) FROM small WHERE best = 1)"""
 
@@ -129,12 +129,13 @@ def j8(spark, sf_dir):
     return R.symbol_references(names.where("name <> ''").distinct().select("name", F.lit("names").alias("file_path")), imports)
 
 
-@query("j9_dependency_context", "WITH sel AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'), deps AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM sel)), seen AS (SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F') SELECT p_partkey, p_retailprice FROM part WHERE p_partkey IN (SELECT l_partkey FROM deps) AND p_partkey NOT IN (SELECT l_partkey FROM seen) ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
+@query("j9_dependency_context", "WITH sel AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'), deps AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM sel)), seen AS (SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') SELECT p_partkey, p_retailprice FROM part WHERE p_partkey IN (SELECT l_partkey FROM deps) AND p_partkey NOT IN (SELECT l_partkey FROM seen) ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
 def j9(spark, sf_dir):
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    of = lambda status: lines.join(orders.where(F.col("o_orderstatus") == status), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_partkey").alias("p_partkey"))
+    of = lambda wanted: lines.join(orders.where(wanted), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_partkey").alias("p_partkey"))
+    selected = F.col("o_orderstatus") == "P"
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    return R.dependency_context(part, of("P"), of("F"), "p_partkey", "p_retailprice", 25)
+    return R.dependency_context(part, of(selected), of(selected & (F.col("o_orderpriority") == "1-URGENT")), "p_partkey", "p_retailprice", 25)
 
 
 @query("j10_temporal_band_join", f"WITH {ACTIVITY}, e AS (SELECT DISTINCT file_path, session_id, ts FROM activity WHERE activity = 'edit') SELECT DISTINCT a.session_id, a.file_path AS a, b.file_path AS b FROM e a JOIN e b ON a.session_id = b.session_id AND a.file_path <> b.file_path AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < 600 * 1000000")
