@@ -34,7 +34,8 @@ built to collide, such as Thue-Morse strings of a thousand letters, can.)
 Null and empty texts, and those of white space only, have empty sets and no
 links.  Rows with a null id get the component of their set if one of its rows
 has an id, else null.  Repeated rows are copies.  Empty tables give empty
-results.  Only the named columns are read.
+results.  Of equally widespread sets the one of the least id is a hub.  Very long
+texts are read whole.  Only the named columns are read.
 """
 
 from __future__ import annotations
