@@ -351,7 +351,7 @@ def _learn(model: Model, rate: float = 0.4, word_rate: float = 0.2):
 
 
 #: Bytes of text that one learner reads: each hands on its weights, however little it has read.
-LEARNER_BYTES = 24 << 20
+LEARNER_BYTES = 40 << 20
 
 
 def _for_learners(texts: DataFrame) -> DataFrame:
