@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import query as Q
 from quarry.operators import expansion, fusion, relations, rerank, vector
+from quarry.session import write_scratch
 
 #: Order of a file's chunks.
 PLACE = ("start_line", "id")
@@ -69,29 +70,45 @@ def _retrieved_apart(parts: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return found.join(parts.select("question", "owner", "part", F.col("query").alias("asked")), "question")
 
 
+def _broader(asked: DataFrame) -> DataFrame:
+    """Up to two follow-up queries of a question, as parts 3 and 4."""
+    return asked.select("question", F.posexplode(F.slice(Q.broader_queries(F.col("query")), 1, 2)).alias("part", "query")).withColumn("part", F.col("part") + 3)
+
+
+def _symbols(asked: DataFrame) -> DataFrame:
+    """Up to three symbols of a question, as parts 0 to 2."""
+    return asked.select("question", F.posexplode(F.slice(Q.symbols(F.col("query")), 1, 3)).alias("part", "query"))
+
+
+def _broader_of(found: DataFrame, k: int) -> DataFrame:
+    return found.where((F.col("part") >= 3) & (F.col("ord") <= max(1, k // 2))).withColumn("score", F.col("score") * 0.7)
+
+
+def _exact_of(found: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    many = asked.select(F.col("question").alias("owner"), F.size(Q.symbols(F.col("query"))).alias("many"))
+    share = F.greatest(F.floor(F.lit(k) / F.col("many")), F.lit(1))
+    kept = found.where("part < 3").join(many, "owner").where(F.col("ord") <= share).drop("many")
+    return kept.withColumn("score", rerank.exact_symbol(F.col("score"), F.col("asked"), F.col("content"))).where("score is not null")
+
+
 def broader_stage(asked: DataFrame, rows: DataFrame, k: int, embed: Embed) -> DataFrame:
     """Results of up to two follow-up queries a question, half of ``k`` each, at seven tenths of their score."""
-    more = asked.select("question", F.posexplode(F.slice(Q.broader_queries(F.col("query")), 1, 2)).alias("part", "query")).withColumn("part", F.col("part") + 3)
-    found = _retrieved_apart(_apart(more, embed), rows, k)
-    return found.where(F.col("ord") <= max(1, k // 2)).withColumn("score", F.col("score") * 0.7)
+    return _broader_of(_retrieved_apart(_apart(_broader(asked), embed), rows, k), k)
 
 
 def symbol_stage(asked: DataFrame, rows: DataFrame, k: int, embed: Embed) -> DataFrame:
     """Results that contain one of up to three symbols of a question, which share ``k``; raised where it is defined."""
-    symbols = Q.symbols(F.col("query"))
-    more = asked.select("question", F.size(symbols).alias("many"), F.posexplode(F.slice(symbols, 1, 3)).alias("part", "query"))
-    many = more.select(F.col("question").alias("owner"), "many").distinct()
-    found = _retrieved_apart(_apart(more.drop("many"), embed), rows, k).join(many, "owner")
-    share = F.greatest(F.floor(F.lit(k) / F.col("many")), F.lit(1))
-    return found.where(F.col("ord") <= share).withColumn("score", rerank.exact_symbol(F.col("score"), F.col("asked"), F.col("content"))).where("score is not null").drop("many")
+    return _exact_of(_retrieved_apart(_apart(_symbols(asked), embed), rows, k), asked, k)
 
 
 def multi_stage(asked: DataFrame, rows: DataFrame, k: int, embed: Embed) -> DataFrame:
     """(question, id, score, sightings, ord): exact-symbol, semantic and broader stages, in that order, fused by id."""
     stage = lambda df, owner, part: df.select(F.col(owner).cast("string").alias("question"), F.col("id").cast("string").alias("id"), "score", (part * 10_000 + F.col("ord")).cast("long").alias("ord"))
-    exact = stage(symbol_stage(asked, rows, k, embed), "owner", F.col("part"))
+    # one search serves the queries of both outer stages
+    further = write_scratch(_retrieved_apart(_apart(_symbols(asked).unionByName(_broader(asked)), embed), rows, k), "further")
+    exact = stage(_exact_of(further, asked, k), "owner", F.col("part"))
     semantic = stage(retrieve(asked, rows, k), "question", F.lit(3))
-    broader = stage(broader_stage(asked, rows, k, embed), "owner", F.col("part") + 1)
+    broader = stage(_broader_of(further, k), "owner", F.col("part") + 1)
     return ranked(fusion.fuse_scores(exact.unionByName(semantic).unionByName(broader), ["question", "id"]), k)
 
 
