@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import write_scratch
+
 #: Factor on the score of a related chunk (fixed values).
 FACTORS = {"parent": 0.9, "sibling": 0.7, "overlap": 0.8, "child": 0.85}
 
@@ -132,18 +134,28 @@ def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: tuple[str, .
     return candidates.join(files.select(F.col("file_path").alias("target")).distinct(), "target", "left_semi").distinct().select("file_path", "target")
 
 
-def symbol_references(symbols: DataFrame, imports: DataFrame, gram: int = 3) -> DataFrame:
+#: Most first characters of names that are broadcast; beyond it the same join shuffles.
+KEY_LIMIT = 100_000
+
+
+def symbol_references(symbols: DataFrame, imports: DataFrame, gram: int = 3, limit: int = KEY_LIMIT) -> DataFrame:
     """(file_path, name, defined_in): symbols whose name occurs anywhere in an import of another file.
 
     Names and imports meet on the name's first ``gram`` characters, which the import must
-    hold, so the join is by equality and only such candidates are tested whole.
+    hold, so the join is by equality and only such candidates are tested whole.  Each text is
+    cut once, however many files have it.  The cuts are many times the imports and their size is
+    not seen ahead, so they are never broadcast; those that begin no name go before any shuffle.
     """
     text = F.col("import_text")
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     grams = F.array_distinct(F.flatten(F.transform(starts, lambda at: F.array(*[F.substring(text, at, n) for n in range(1, gram + 1)]))))
-    held = imports.select("file_path", "import_text", F.explode(grams).alias("_key"))
-    defined = symbols.where("name <> ''").select("name", F.col("file_path").alias("defined_in"), F.substring("name", 1, gram).alias("_key"))
-    return held.join(defined, "_key").where("file_path <> defined_in and contains(import_text, name)").select("file_path", "name", "defined_in").distinct()
+    defined = write_scratch(symbols.where("name <> ''").select("name", F.col("file_path").alias("defined_in"), F.substring("name", 1, gram).alias("_key")).distinct(), "symbols")
+    keys = defined.select("_key").distinct()
+    cuts = imports.select("import_text").where("import_text is not null").distinct().select("import_text", F.explode(grams).alias("_key"))
+    held = cuts.join(F.broadcast(keys) if keys.count() <= limit else keys.hint("merge"), "_key", "left_semi")
+    named = held.hint("merge").join(defined, "_key").where("contains(import_text, name)").select("import_text", "name", "defined_in")
+    found = imports.select("file_path", "import_text").join(named.hint("merge"), "import_text")
+    return found.where("file_path <> defined_in").select("file_path", "name", "defined_in").distinct()
 
 
 def dependency_context(items: DataFrame, dependencies: DataFrame, shown: DataFrame, key: str, importance: str, most: int) -> DataFrame:

@@ -185,3 +185,21 @@ def test_line_ranges_meet_in_buckets(spark):
         if over:
             held[a] = min(over)[2]
     assert {r["id"]: r["parent_id"] for r in relations.parents(chunks).collect()} == held
+
+
+@pytest.mark.parametrize("options", [{}, {"limit": 1}])
+def test_cuts_of_imports_are_never_broadcast(spark, tmp_path, options):
+    """A small table of imports is many times as large once it is cut; no plan may send the cuts to all tasks."""
+    texts = [None, "", "a", "import abc", "import \U0001d4d0bc", "xyzabc", "ab"]
+    spark.createDataFrame([(f"f{i}", texts[i % len(texts)]) for i in range(40)], "file_path string, import_text string").write.parquet(f"{tmp_path}/imports")
+    names = [("a", "f2"), ("abc", "f3"), ("\U0001d4d0b", "n"), ("", "n"), (None, "n"), ("abc", "n"), ("zz", "n")]
+    spark.createDataFrame(names, "name string, file_path string").write.parquet(f"{tmp_path}/names")
+    found = relations.symbol_references(spark.read.parquet(f"{tmp_path}/names"), spark.read.parquet(f"{tmp_path}/imports"), **options)
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == sorted((f"f{i}", n, d) for i in range(40) for n, d in names if n and n in (texts[i % len(texts)] or "") and d != f"f{i}")
+    lines = [(line.find("- "), line) for line in found._jdf.queryExecution().executedPlan().toString().split("\n")]
+    assert any("Generate explode" in line for _, line in lines)
+    for k, (depth, line) in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = lines[k + 1 : next((j for j in range(k + 1, len(lines)) if lines[j][0] <= depth), len(lines))]
+            assert not any("Generate explode" in x for _, x in below)
