@@ -11,31 +11,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import on_workers_path, write_scratch
+from quarry.session import BATCH_BYTES, bounded_batches, write_scratch  # noqa: F401 - the operators take their bounds from here
 
 #: Bytes of text that one array step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 
-#: Most bytes of one Arrow batch on its way to a Python worker.
-BATCH_BYTES = 8 << 20
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Bound the session's Arrow batches to ``rows`` rows and ``BATCH_BYTES``: texts may be long, and a batch is held whole on both sides.
-
-    Plans run later than they are built, so the bounds stay in the session; a lower bound of its own is kept.
-    """
-    on_workers_path(spark)
-    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{name}"
-        held = spark.conf.get(name).rstrip("b")
-        held = int(held) if held.lstrip("-").isdigit() else 0
-        if not 0 < held <= most:
-            spark.conf.set(name, str(most))
-
 
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """The table, written to the shared folder and read again (see ``write_scratch``)."""

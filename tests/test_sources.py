@@ -1,5 +1,6 @@
 """Files, the chunk table, the engine end to end, and streaming state."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -120,6 +121,39 @@ def test_records_and_config(spark, tmp_path):
     assert all(r["tokens"] > 0 for r in counted.collect())
 
 
+def test_tokens_are_counted_in_bounded_steps(spark, monkeypatch):
+    """Long texts and many texts are encoded little by little, with the counts of whole texts."""
+    from quarry.functions import tokens
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    whole, pick, steps = tokens._tokenizer(path), random.Random(5), []
+    parts = ["a", "word", "don't", "'s", "7", "+=", " ", "  ", "\n", "\t ", "\u00a0", "\u3000", "é", "語", "\U0001f600", "<|endoftext|>", "_", "\x1c"]
+    texts = [None, "", " ", "x" * 900, " " * 900] + ["".join(pick.choice(parts) + pick.choice(["", " "]) for _ in range(pick.randrange(300))) for _ in range(150)]
+
+    class Watched:
+        def encode_batch_fast(self, held, **options):
+            steps.append(held)
+            return whole.encode_batch_fast(held, **options)
+
+    monkeypatch.setattr(tokens, "_tokenizer", lambda _: Watched())
+    expected = [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for limit in (1, 20, 300):
+        steps.clear()
+        assert tokens.count_tokens(texts, path, limit) == expected
+        assert all(len(held) == 1 or sum(map(len, held)) <= limit for held in steps)
+    steps.clear()
+    assert tokens.count_tokens(["many words " * 1000] * 3, path, 500) == [len(whole.encode("many words " * 1000, add_special_tokens=False).ids)] * 3
+    assert len(steps) > 60 and max(sum(map(len, held)) for held in steps) < 520
+    monkeypatch.setattr(tokens, "_cuts_at_spaces", lambda _: False)
+    assert tokens.count_tokens(texts, path, 20) == expected
+
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    tokens.with_token_counts(spark.createDataFrame([("a",)], "v string"), "v", path)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
 def test_debounce_and_sessions(spark, tmp_path):
     start = datetime(2024, 1, 1)
     events = spark.createDataFrame([(1, start + timedelta(seconds=s)) for s in (0, 2, 6, 8, 20)], "session_id long, ts timestamp")
