@@ -72,45 +72,91 @@ def post_filtered_top_k(vectors: DataFrame, query: Iterable[float], k: int, filt
     return near.where(matches(filters)).orderBy(F.desc("score"), F.asc(options.get("key", "vec_id"))).limit(k)
 
 
-#: Bytes of question vectors that one scan of the vectors serves, and questions scored at once.
-SCAN_BYTES, BLOCK = 64 << 20, 2048
+#: Bytes of question vectors that one scan of the vectors serves, and questions and rows scored at once.
+SCAN_BYTES, BLOCK, STEP_ROWS = 64 << 20, 2048, 1_000
+#: Pairs of a question and a row that are scored in order at once.
+PAIRS = 1 << 14
+
+#: The terms that each metric adds up.
+_TERMS = {"cosine": np.multiply, "dot_product": np.multiply, "euclidean": lambda x, y: (x - y) * (x - y), "manhattan": lambda x, y: np.abs(x - y)}
+
+
+def _in_order(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` and ``y`` the sum of its terms from the first place to the last, as ``_sum`` and SQL add them."""
+    total = np.zeros(len(x))
+    for at in range(0, len(x), PAIRS):
+        for term in np.ascontiguousarray(_TERMS[metric](x[at : at + PAIRS], y[at : at + PAIRS]).T):
+            total[at : at + PAIRS] += term
+    return total
 
 
 def _nearest(queries: np.ndarray, ids: np.ndarray, k: int, metric: str, kind: pa.DataType, block: int):
-    """The k best of each partition for each query: running arrays of queries x k, scored in blocks of queries."""
-
-    def scores(rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        if metric == "dot_product":
-            return rows @ asked.T
-        if metric == "cosine":
-            scale = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(asked, axis=1)[None]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                return (rows @ asked.T) / scale
-        out = np.empty((len(rows), len(asked)))
+    """The k best of each partition for each query, scored in blocks of queries.
+
+    A matrix product's last digits depend on its shape and on the machine, which breaks or makes ties.  So it only
+    finds the pairs that can be among the best within its error; these are scored again in order of the places.
+    """
+    slack = 4 * (queries.shape[1] + 4) * np.finfo(np.float64).eps
+
+    def near(rows: np.ndarray, asked: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of queries x rows, and how far they may be off."""
+        if metric in ("cosine", "dot_product"):
+            found = asked @ rows.T
+            return (found / scale, np.full((1, 1), slack)) if metric == "cosine" else (found, slack * scale)
+        out = np.empty((len(asked), len(rows)))
         for j, q in enumerate(asked):
-            out[:, j] = -(np.abs(rows - q).sum(axis=1) if metric == "manhattan" else np.sqrt(((rows - q) ** 2).sum(axis=1)))
-        return out
+            out[j] = -(np.abs(rows - q).sum(axis=1) if metric == "manhattan" else np.sqrt(((rows - q) ** 2).sum(axis=1)))
+        return out, slack * np.abs(out)
+
+    def best_of(parts: list[tuple]) -> tuple:
+        """Of (query, score, key) the k best of each query, and the score that the next one must reach."""
+        row, best, keys = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((keys, -best, row))
+        row, best, keys = row[order], best[order], keys[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        floor = np.full(block, -np.inf)
+        floor[row[rank == k - 1]] = best[rank == k - 1]
+        return (row[rank < k], best[rank < k], keys[rank < k]), floor
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [slice(at, at + block) for at in range(0, len(ids), block)]
         held: list[tuple | None] = [None] * len(blocks)
+        length = np.sqrt(_in_order("dot_product", queries, queries))
         for batch in batches:
             batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows:
-                continue
-            rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            names = np.array(batch.column(0).to_pylist())
-            for b, z in enumerate(blocks):
-                found = scores(rows, queries[z]).T
-                best, keys = np.where(np.isnan(found), -np.inf, found), np.broadcast_to(names, found.shape)
-                if held[b] is not None:
-                    best, keys = np.concatenate([held[b][0], best], axis=1), np.concatenate([held[b][1], keys], axis=1)
-                order = np.lexsort((keys, -best), axis=1)[:, :k]
-                held[b] = np.take_along_axis(best, order, 1), np.take_along_axis(keys, order, 1)
-        for z, best in zip(blocks, held, strict=True):
-            if best is not None:
-                row, column = np.nonzero(np.isfinite(best[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[z][row].tolist(), kind), pa.array(best[1][row, column].tolist(), kind), pa.array(best[0][row, column])], ["query_id", "id", "score"])
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(at, STEP_ROWS)
+                rows = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                names = np.array(part.column(0).to_pylist())
+                size = np.sqrt(_in_order("dot_product", rows, rows))
+                if metric == "cosine":  # without length there is no angle
+                    rows, names, size = rows[size != 0], names[size != 0], size[size != 0]
+                if not len(rows):
+                    continue
+                for b, z in enumerate(blocks):
+                    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                        scale = length[z][:, None] * size[None]
+                        found, off = near(rows, queries[z], scale)
+                        # k rows of this step reach ``least``, and k rows held so far ``floor``: no row below both errors can be among the best
+                        low = np.where(np.isnan(found), -np.inf, found - off)
+                        least = np.partition(low, -k, axis=1)[:, -k] if len(rows) >= k else np.full(len(low), -np.inf)
+                        floor = held[b][1][: len(low)] if held[b] is not None else least
+                        row, column = np.nonzero(~(found + off < np.maximum(least, floor)[:, None]))
+                        best = np.empty(len(row))
+                        for n in range(0, len(row), PAIRS):
+                            pairs = slice(n, n + PAIRS)
+                            best[pairs] = _in_order(metric, rows[column[pairs]], queries[z][row[pairs]])
+                        if metric == "cosine":
+                            best /= scale[row, column]
+                        elif metric != "dot_product":
+                            best = -(np.sqrt(best) if metric == "euclidean" else best)
+                    fine = np.isfinite(best)
+                    fresh = (row[fine], best[fine], names[column[fine]])
+                    held[b] = best_of([fresh] if held[b] is None else [held[b][0], fresh])
+        for z, kept in zip(blocks, held, strict=True):
+            if kept is not None:
+                row, best, keys = kept[0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[z][row].tolist(), kind), pa.array(keys.tolist(), kind), pa.array(best)], ["query_id", "id", "score"])
 
     return run
 
