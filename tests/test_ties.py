@@ -1,12 +1,16 @@
-"""Vectors with many scores that are equal or differ in the last digit only, against plain sums."""
+"""Retrievals over vectors with many scores that are equal or differ in the last digit only, against their SQL."""
 
 import math
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 
 from quarry.operators import vector
+from quarry.plans import catalog
+from tests.test_oracles import rows_of
 
 
 def in_order(metric, x, y):
@@ -36,3 +40,30 @@ def test_batch_scores_are_sums_in_order(metric):
             for r in batch.to_pylist():
                 found[r["query_id"]].append((-r["score"], r["id"]))
         assert [sorted(f) for f in found.values()] == [s[:k] for s in scored]
+
+
+@pytest.fixture(scope="module")
+def tied(tmp_path_factory):
+    """1,500 chunks and 30 questions; vectors are made of three values, so many scores are nearly equal."""
+    folder, pick, n = tmp_path_factory.mktemp("tied"), np.random.default_rng(11), 1500
+    words = ["class", "def", "Data", "Find", "Node", "process", "words", "tokens", "example", "test", "usage", "error"]
+    texts = [" ".join(pick.choice(words, pick.integers(1, 40))) for _ in range(n)]
+    duck = duckdb.connect()
+    tables = {
+        "documents": pa.table({"doc_id": range(n), "text": texts, "lang": ["en"] * n, "source": [f"s{k % 20}" for k in range(n)], "n_chars": [len(t) for t in texts]}),
+        "embeddings": pa.table({"vec_id": range(n), "label": [0] * n, "embedding": pa.array(pick.choice([-0.1, 0.1, 0.3], (n, 64)).tolist(), pa.list_(pa.float32()))}),
+        "conversations": pa.table({"conv_id": range(30), "turn": [0] * 30, "role": ["user"] * 30, "text": [" ".join(pick.choice(words, 4)) for _ in range(30)]}),
+    }
+    for name, made in tables.items():
+        pa.parquet.write_table(made, f"{folder}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return str(folder), duck
+
+
+@pytest.mark.parametrize("name", ["r5_multi_stage_retrieval"])
+def test_retrievals_keep_the_order_of_their_sql(spark, tied, name):
+    folder, duck = tied
+    frame = catalog.QUERIES[name](spark, folder)
+    expected = duck.execute(catalog.ORACLES[name])
+    names = [d[0] for d in expected.description]
+    assert rows_of(frame.columns, [tuple(r) for r in frame.collect()]) == rows_of(names, expected.fetchall())
