@@ -60,7 +60,7 @@ def tied(tmp_path_factory):
     return str(folder), duck
 
 
-@pytest.mark.parametrize("name", ["r5_multi_stage_retrieval"])
+@pytest.mark.parametrize("name", ["flagship_context", "r5_multi_stage_retrieval"])
 def test_retrievals_keep_the_order_of_their_sql(spark, tied, name):
     folder, duck = tied
     frame = catalog.QUERIES[name](spark, folder)
