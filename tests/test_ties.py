@@ -69,7 +69,7 @@ def test_retrievals_keep_the_order_of_their_sql(spark, tied, name):
     assert rows_of(frame.columns, [tuple(r) for r in frame.collect()]) == rows_of(names, expected.fetchall())
 
 
-@pytest.mark.parametrize("name", ["x2_expansion_aggressive", "x2_expansion_conservative"])
+@pytest.mark.parametrize("name", ["x2_expansion_aggressive", "x2_expansion_conservative", "x2_expansion_moderate"])
 def test_chosen_chunks_do_not_hang_on_a_product_s_last_digit(spark, tmp_path, name):
     """98 vectors with the same values in other places are equally near to both questions, but for the last digit of the sums."""
     pick, n, duck = np.random.default_rng(4), 100, duckdb.connect()
