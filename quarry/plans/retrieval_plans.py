@@ -29,7 +29,7 @@ def chunk_rows(spark, sf_dir):
 
 
 def asked_rows(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
     first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")).select((F.col("conv_id") * 50).alias("question"), "text")
     vectors = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
     more = F.element_at(F.array(F.lit("how does the class Data process the words and tokens"), F.lit("example usage: how to use the function Find with words"), F.lit("what is the meaning of class Node")), (F.col("question") / 50 % 3 + 1).cast("int"))
