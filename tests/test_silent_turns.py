@@ -10,7 +10,7 @@ from quarry.plans import catalog
 from tests.test_oracles import rows_of
 
 
-@pytest.mark.parametrize("name", ["flagship_context", "r5_multi_stage_retrieval", "x2_expansion_aggressive", "x2_expansion_conservative"])
+@pytest.mark.parametrize("name", ["flagship_context", "r5_multi_stage_retrieval", "x2_expansion_aggressive", "x2_expansion_conservative", "x2_expansion_moderate"])
 def test_a_turn_without_text_asks_nothing(spark, tmp_path, name):
     """SQL's arg_min passes over a first turn without text and takes the next that has one; conversation 1 has none at all."""
     pick, n, duck = np.random.default_rng(5), 100, duckdb.connect()
